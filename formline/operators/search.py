@@ -23,29 +23,25 @@ def _word_runs(name) -> F.Column:
     return F.array_distinct(runs)
 
 
-def whole_word_matches(guesses: DataFrame, players: DataFrame) -> DataFrame:
-    """Players for each (guess_id, guess): the guess equals a run of complete words of the name.
-
-    Each name offers its word runs as join keys, so this is an equi-join and not
-    a comparison of every guess with every name.
-    """
-    keyed = players.select(F.col("id").alias("player_id"), "full_name", F.explode(_word_runs(F.col("full_name"))).alias("__run"))
-    wanted = guesses.withColumn("__run", F.lower(F.trim("guess")))
-    return wanted.join(keyed, "__run").drop("__run")
-
-
 def validated_guesses(guesses: DataFrame, players: DataFrame, members: DataFrame) -> DataFrame:
     """Guesses (guess_id, guess, letter, category) with the lowest player that fits all three, or none.
 
-    ``members`` lists (category, player_id).
+    ``members`` lists (category, player_id). A player fits if the guess is a run of
+    complete words of the name, any word starts with the letter, and the player is
+    in the category. The best player of each (word run, letter, category) is
+    found first, so that popular names do not multiply with popular guesses.
     """
-    starts = F.exists(F.split(F.lower("full_name"), " +"), lambda w: w.startswith(F.lower(F.col("letter"))))
-    named = whole_word_matches(guesses, players)
-    fits = named.filter(starts).join(members.distinct(), ["category", "player_id"], "left_semi")
-    found = fits.groupBy("guess_id").agg(F.min(F.struct("player_id", "full_name")).alias("hit"))
-    exists = named.select("guess_id").distinct().withColumn("__named", F.lit(True))
+    runs = players.select(F.col("id").alias("player_id"), "full_name", F.explode(_word_runs(F.col("full_name"))).alias("__run"))
+    initials = F.array_distinct(F.transform(F.split(F.lower("full_name"), " +"), lambda w: F.substring(w, 1, 1)))
+    best = (
+        runs.withColumn("__letter", F.explode(initials)).join(members.distinct(), "player_id")
+        .groupBy("__run", "__letter", "category")
+        .agg(F.min(F.struct("player_id", "full_name")).alias("hit"))
+    )
+    wanted = guesses.withColumns({"__run": F.lower(F.trim("guess")), "__letter": F.lower("letter")})
+    known = runs.select("__run").distinct().withColumn("__named", F.lit(True))
     return (
-        guesses.join(found, "guess_id", "left").join(exists, "guess_id", "left")
+        wanted.join(best, ["__run", "__letter", "category"], "left").join(known, "__run", "left")
         .select(
             "guess_id", "guess", "letter", "category", F.col("hit").isNotNull().alias("valid"),
             F.col("hit.player_id").alias("player_id"), F.col("hit.full_name").alias("full_name"),
