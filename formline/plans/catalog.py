@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from formline.plans import listings  # noqa: F401
+from formline.plans import aggregates, listings  # noqa: F401
 from formline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

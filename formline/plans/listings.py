@@ -66,7 +66,7 @@ def page_totals(spark, sf):
 
 
 @query("page_concat", sql("""
-    SELECT id, full_name, part FROM (
+    SELECT id, full_name, CAST(part AS BIGINT) AS part FROM (
         SELECT id, full_name, CASE WHEN is_active THEN 0 ELSE 1 END AS part FROM players)
     ORDER BY part, full_name, id LIMIT 200 OFFSET 1200""", "players"))
 def page_concat(spark, sf):
@@ -104,7 +104,7 @@ _recent("recent_window_week", "week", 7)
 _recent("recent_window_month", "month", 30)
 
 
-@query("still_playing", sql("SELECT id, to_year FROM players WHERE to_year IS NULL OR to_year >= 2003", "players"))
+@query("still_playing", sql("SELECT id, CAST(to_year AS BIGINT) AS to_year FROM players WHERE to_year IS NULL OR to_year >= 2003", "players"))
 def still_playing(spark, sf):
     return filters.still_playing(L.players(spark, sf), 2004).select("id", "to_year")
 
@@ -115,7 +115,7 @@ def name_prefix(spark, sf):
 
 
 @query("name_ladder", sql("""
-    SELECT id, full_name, 2 AS tier FROM players WHERE full_name ILIKE '%ring%' AND full_name ILIKE 'r%'""", "players"))
+    SELECT id, full_name, CAST(2 AS BIGINT) AS tier FROM players WHERE full_name ILIKE '%ring%' AND full_name ILIKE 'r%'""", "players"))
 def name_ladder(spark, sf):
     return search.search_ladder(L.players(spark, sf), "Ronny Ring").select("id", "full_name", "tier")
 
@@ -190,7 +190,7 @@ def stale_in_award_month(spark, sf):
 
 
 @query("completed_games", sql("""
-    SELECT id, status, season FROM games WHERE (status = 3 OR (status = 1 AND home_score > 0))
+    SELECT id, CAST(status AS BIGINT) AS status, season FROM games WHERE (status = 3 OR (status = 1 AND home_score > 0))
       AND id IN (SELECT l_orderkey FROM lineitem)""", "games"))
 def completed_games(spark, sf):
     return filters.completed_games(L.games(spark, sf), L.line_stats(spark, sf)).select("id", "status", "season")
