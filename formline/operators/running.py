@@ -45,9 +45,9 @@ def rows_per_task(df: DataFrame) -> int:
 
 
 def estimated_bytes(df: DataFrame) -> int | None:
-    """The optimizer's size estimate, or None where the session does not expose it."""
+    """Spark's size estimate of the analysed plan (joins count as products), or None if it is not exposed."""
     try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
     except AttributeError:
         return None
 

@@ -18,6 +18,8 @@ from formline.operators.zscore import (
     counted,
     deviation_of,
     fixed_point,
+    headline,
+    map_of,
     mean_of,
     sentiment,
 )
@@ -60,37 +62,35 @@ def trend_scores(
     """
     reference = last_days(lines, keys) if reference is None else reference
     rows = lines.join(reference, keys.entity)
-    when, ref = F.col(keys.when), F.col("reference_date")
-    in_base = (F.col(keys.period) == F.col("reference_period")) & (when <= ref)
-    played = F.col(keys.seconds) > 0
-    aggs = [F.count_if(in_base & played).alias("base_games")]
+    in_base = f"({keys.period} = reference_period and {keys.when} <= reference_date)"
+    aggs = [F.expr(f"count_if({in_base} and {keys.seconds} > 0)").alias("base_games")]
     for name, c in baseline_inputs(features, keys).items():
-        aggs.append(F.sum(F.when(in_base, c)).alias(name))
+        aggs.append(F.expr(f"sum(if({in_base}, {c}, null))").alias(name))
     for w in windows:
-        inside = (when > F.date_sub(ref, w.days)) & (when <= ref)
-        aggs.append(F.count_if(inside & played).alias(f"{w.name}_games"))
+        inside = f"({keys.when} > date_sub(reference_date, {w.days}) and {keys.when} <= reference_date)"
+        aggs.append(F.expr(f"count_if({inside} and {keys.seconds} > 0)").alias(f"{w.name}_games"))
         for f in features:
-            use = inside & counted(f, keys)
-            aggs.append(F.sum(F.when(use, fixed_point(f))).alias(f"{w.name}_{f.name}_s"))
-            aggs.append(F.count_if(use).alias(f"{w.name}_{f.name}_n"))
+            use = f"{inside} and {counted(f, keys)}"
+            aggs.append(F.expr(f"sum(if({use}, {fixed_point(f)}, null))").alias(f"{w.name}_{f.name}_s"))
+            aggs.append(F.expr(f"count_if({use})").alias(f"{w.name}_{f.name}_n"))
     grouped = rows.groupBy(keys.entity, "reference_date").agg(*aggs)
 
     per_window = []
     for w in windows:
-        fields = [F.lit(w.name).alias("window_type"), F.col(f"{w.name}_games").alias("games_in_window"),
-                  F.lit(w.min_rows).alias("min_rows")]
+        fields = [f"'window_type', '{w.name}', 'games_in_window', {w.name}_games, 'min_rows', {w.min_rows}"]
         for f in features:
-            n = F.col(f"{w.name}_{f.name}_n")
-            current = F.when(n > 0, F.col(f"{w.name}_{f.name}_s").cast("double") / (n * f.scale).cast("double"))
-            usable = (F.col(f"{f.name}_n") >= MIN_BASELINE_ROWS) & (n > 0)
-            base = F.when(usable, mean_of(f))
-            z = F.when(usable, (current - base) / (deviation_of(f) / F.sqrt(n.cast("double"))))
-            fields += [z.alias(f"z_{f.name}"), current.alias(f"cur_{f.name}"), base.alias(f"base_{f.name}")]
-        per_window.append(F.struct(*fields))
+            n = f"{w.name}_{f.name}_n"
+            current = f"(cast({w.name}_{f.name}_s as double) / cast({n} * {f.scale} as double))"
+            usable = f"{f.name}_n >= {MIN_BASELINE_ROWS} and {n} > 0"
+            z = f"({current} - {mean_of(f)}) / ({deviation_of(f)} / sqrt(cast({n} as double)))"
+            fields.append(
+                f"'z_{f.name}', if({usable}, {z}, null), 'cur_{f.name}', if({n} > 0, {current}, null), "
+                f"'base_{f.name}', if({usable}, {mean_of(f)}, null)")
+        per_window.append(f"named_struct({', '.join(fields)})")
     return (
         grouped.filter(F.col("base_games") >= MIN_BASELINE_ROWS)
         .select(keys.entity, "reference_date", F.col("base_games").alias("games_in_baseline"),
-                F.inline(F.array(*per_window)))
+                F.expr(f"inline(array({', '.join(per_window)}))"))
         .filter("games_in_window >= min_rows")
         .drop("min_rows")
     )
@@ -105,30 +105,25 @@ def trend_outliers(
     threshold: float = Z_THRESHOLD,
 ) -> DataFrame:
     """Entities whose recent form deviates, with the comparison of each deviating feature."""
-    items = []
-    for i, f in enumerate(features):
-        z, cur, base, digits = F.col(f"z_{f.name}"), F.col(f"cur_{f.name}"), F.col(f"base_{f.name}"), 3 if f.attempts else 2
-        items.append(F.struct(
-            F.lit(i).alias("place"), F.lit(f.name).alias("feature"), z.alias("z"), sentiment(f, z).alias("sentiment"),
-            F.struct(
-                F.round(cur, digits).alias("current_avg"), F.round(base, digits).alias("baseline_avg"),
-                F.when(base > 0, F.round((F.try_divide(cur, base) - 1) * 100, 1)).otherwise(F.lit(0.0)).alias("diff_pct"),
-                sentiment(f, z).alias("sentiment"),
-            ).alias("comparison"),
-        ))
+    hits = {f.name: f"(abs(z_{f.name}) > {threshold!r})" for f in features}
+    comparison = {
+        f.name: f"named_struct('current_avg', round(cur_{f.name}, {3 if f.attempts else 2}), 'baseline_avg', round(base_{f.name}, {3 if f.attempts else 2}), "
+                f"'diff_pct', if(base_{f.name} > 0, round((try_divide(cur_{f.name}, base_{f.name}) - 1) * 100, 1), 0D), 'sentiment', {sentiment(f)})"
+        for f in features
+    }
     scores = trend_scores(lines, reference, windows, features, keys)
-    hits = F.filter(F.array(*items), lambda s: F.coalesce(F.abs(s["z"]) > threshold, F.lit(False)))
-    top = F.array_max(F.transform(F.col("hits"), lambda s: F.struct(
-        F.abs(s["z"]).alias("size"), (-s["place"]).alias("rank"), s["z"].alias("z"), s["sentiment"].alias("sentiment"))))
-    names = F.transform(F.col("hits"), lambda s: s["feature"])
     return (
-        scores.withColumn("hits", hits).filter(F.size("hits") > 0).withColumn("top", top)
+        scores.filter(" or ".join(hits.values()))
         .select(
             keys.entity, "window_type", "reference_date",
-            F.map_from_arrays(names, F.transform(F.col("hits"), lambda s: F.round(s["z"], 2))).alias("z_scores"),
-            F.col("top.z").alias("max_z_score"),
-            F.when(F.col("top.sentiment") == "positive", "explosion").otherwise("crisis").alias("outlier_type"),
-            F.map_from_arrays(names, F.transform(F.col("hits"), lambda s: s["comparison"])).alias("comparison"),
+            F.expr(map_of(features, hits, {f.name: f"round(z_{f.name}, 2)" for f in features})).alias("z_scores"),
+            F.expr(headline(features, hits)).alias("top"),
+            F.expr(map_of(features, hits, comparison)).alias("comparison"),
             "games_in_window", "games_in_baseline",
         )
+        .select(
+            keys.entity, "window_type", "reference_date", "z_scores", F.col("top.z").alias("max_z_score"),
+            F.when(F.col("top.sentiment") == "positive", "explosion").otherwise("crisis").alias("outlier_type"),
+            "comparison", "games_in_window", "games_in_baseline",
+        )
     )

@@ -63,47 +63,48 @@ class Keys:
     seconds: str = "min_seconds"
 
 
-def value(feature: Feature) -> Column:
-    return F.coalesce(F.col(feature.name).cast("double"), F.lit(0.0))
+# The formulas below are kept as SQL text: there are dozens of them per query, and
+# one parsed expression is far cheaper to build than a tree of Column calls.
 
 
-def counted(feature: Feature, keys: Keys) -> Column:
+def value(feature: Feature) -> str:
+    return f"coalesce(cast({feature.name} as double), 0D)"
+
+
+def counted(feature: Feature, keys: Keys) -> str:
     """Row enters the baseline of the feature."""
-    played = F.col(keys.seconds) > 0
-    return played & (F.col(feature.attempts) > 0) if feature.attempts else played
+    played = f"{keys.seconds} > 0"
+    return f"({played} and {feature.attempts} > 0)" if feature.attempts else f"({played})"
 
 
-def fixed_point(feature: Feature) -> Column:
-    return F.round(value(feature) * feature.scale).cast("bigint")
+def fixed_point(feature: Feature) -> str:
+    return f"cast(round({value(feature)} * {feature.scale}) as bigint)"
 
 
-def square(feature: Feature) -> Column:
+def square(feature: Feature) -> str:
     """Squared fixed-point value, wide enough to be summed over any number of rows."""
     x = fixed_point(feature)
-    return x * x if feature.scale == 1 else (x * x).cast("decimal(20,0)")
+    return f"{x} * {x}" if feature.scale == 1 else f"cast({x} * {x} as decimal(20, 0))"
 
 
-def baseline_inputs(features: Sequence[Feature], keys: Keys) -> dict[str, Column]:
+def baseline_inputs(features: Sequence[Feature], keys: Keys) -> dict[str, str]:
     """Per-row addends ``<feature>_s``, ``_q`` and ``_n`` of the sums, squares and counts."""
-    out: dict[str, Column] = {}
+    out: dict[str, str] = {}
     for f in features:
         use = counted(f, keys)
-        out[f"{f.name}_s"] = F.when(use, fixed_point(f))
-        out[f"{f.name}_q"] = F.when(use, square(f))
-        out[f"{f.name}_n"] = F.when(use, F.lit(1).cast("bigint"))
+        out[f"{f.name}_s"] = f"if({use}, {fixed_point(f)}, null)"
+        out[f"{f.name}_q"] = f"if({use}, {square(f)}, null)"
+        out[f"{f.name}_n"] = f"if({use}, 1L, null)"
     return out
 
 
-def mean_of(feature: Feature, prefix: str = "") -> Column:
-    s, n = F.col(f"{prefix}{feature.name}_s"), F.col(f"{prefix}{feature.name}_n")
-    return s.cast("double") / (n * feature.scale).cast("double")
+def mean_of(feature: Feature) -> str:
+    return f"(cast({feature.name}_s as double) / cast({feature.name}_n * {feature.scale} as double))"
 
 
-def deviation_of(feature: Feature, prefix: str = "") -> Column:
-    q, n = F.col(f"{prefix}{feature.name}_q"), F.col(f"{prefix}{feature.name}_n")
-    mean = mean_of(feature, prefix)
-    second = q.cast("double") / (n.cast("double") * float(feature.scale * feature.scale))
-    return F.sqrt(F.greatest(F.lit(feature.variance_floor), second - mean * mean))
+def deviation_of(feature: Feature) -> str:
+    second = f"cast({feature.name}_q as double) / (cast({feature.name}_n as double) * {float(feature.scale**2)!r}D)"
+    return f"sqrt(greatest({feature.variance_floor!r}D, {second} - {mean_of(feature)} * {mean_of(feature)}))"
 
 
 def season_states(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys()) -> DataFrame:
@@ -114,7 +115,7 @@ def season_states(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATUR
         F.count_if(played).alias("games_played"),
         F.min(F.when(played, F.col(keys.when))).alias("first_game_date"),
         F.max(F.when(played, F.col(keys.when))).alias("last_game_date"),
-        *[F.sum(c).alias(name) for name, c in inputs.items()],
+        *[F.expr(f"sum({c})").alias(name) for name, c in inputs.items()],
     )
     entries = []
     for f in features:
@@ -141,7 +142,7 @@ def expanding_state(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEAT
         "games_before": Running(F.when(played, F.lit(1).cast("bigint"))),
         "first_day": Running(F.when(played, F.col(keys.when)), "min"),
     }
-    aggregates |= {name: Running(c) for name, c in baseline_inputs(features, keys).items()}
+    aggregates |= {name: Running(F.expr(c)) for name, c in baseline_inputs(features, keys).items()}
     return running(seen, [keys.entity, keys.period], [keys.when, keys.tie], aggregates, inclusive=False)
 
 
@@ -154,10 +155,8 @@ def add_scores(
     known = F.coalesce(F.col("first_period") < F.col(keys.period), F.lit(False))
     scored = (F.col(keys.seconds) >= MIN_SCORED_SECONDS) & (games >= MIN_BASELINE_ROWS) & (grown | known)
     zs = {
-        f"z_{f.name}": F.when(
-            F.col("scored") & (F.col(f"{f.name}_n") >= MIN_BASELINE_ROWS),
-            (value(f) - mean_of(f)) / deviation_of(f),
-        )
+        f"z_{f.name}": F.expr(
+            f"if(scored and {f.name}_n >= {MIN_BASELINE_ROWS}, ({value(f)} - {mean_of(f)}) / {deviation_of(f)}, null)")
         for f in features
     }
     return state.withColumns({"games_before": games, "scored": F.coalesce(scored, F.lit(False))}).withColumns(zs)
@@ -168,9 +167,23 @@ def zscore_rows(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATURES
     return add_scores(expanding_state(lines, features, keys), features, keys).filter("scored")
 
 
-def sentiment(feature: Feature, z: Column) -> Column:
-    bad = z > 0 if feature.inverse else z < 0
-    return F.when(bad, F.lit("negative")).otherwise(F.lit("positive"))
+def sentiment(feature: Feature) -> str:
+    """High is good, unless the feature is inverse."""
+    return f"if(z_{feature.name} {'>' if feature.inverse else '<'} 0, 'negative', 'positive')"
+
+
+def headline(features: Sequence[Feature], hits: dict[str, str]) -> str:
+    """Largest |z| among the features whose condition holds; the first in list order on ties."""
+    return "greatest(" + ", ".join(
+        f"if({hits[f.name]}, named_struct('size', abs(z_{f.name}), 'place', {-i}, 'z', z_{f.name}, 'sentiment', {sentiment(f)}), null)"
+        for i, f in enumerate(features)
+    ) + ")"
+
+
+def map_of(features: Sequence[Feature], conditions: dict[str, str], values: dict[str, str]) -> str:
+    """Map from feature name to value, for the features whose condition holds."""
+    return "map_from_entries(array_compact(array(" + ", ".join(
+        f"if({conditions[f.name]}, struct('{f.name}', {values[f.name]}), null)" for f in features) + ")))"
 
 
 def outliers_of(
@@ -184,35 +197,29 @@ def outliers_of(
     The headline is the first feature in list order with the largest |z|. A value
     below the feature's minimum is never reported, not even as a bad night.
     """
-    items = []
-    for i, f in enumerate(features):
-        z, v, digits = F.col(f"z_{f.name}"), value(f), 3 if f.attempts else 2
-        hit = F.coalesce((F.abs(z) > threshold) & (v >= f.minimum), F.lit(False))
-        items.append(F.struct(
-            F.lit(i).alias("place"), F.lit(f.name).alias("feature"), z.alias("z"), hit.alias("hit"),
-            sentiment(f, z).alias("sentiment"),
-            (F.round(v, 3) if f.attempts else F.floor(v).cast("double")).alias("val"),
-            F.round(mean_of(f), digits).alias("avg"),
-        ))
-    hits = F.filter(F.col("items"), lambda s: s["hit"])
-    scores = F.filter(F.col("items"), lambda s: s["z"].isNotNull())
-    top = F.array_max(F.transform(hits, lambda s: F.struct(F.abs(s["z"]).alias("size"), (-s["place"]).alias("rank"), s["z"].alias("z"), s["sentiment"].alias("sentiment"))))
+    hits = {f.name: f"(abs(z_{f.name}) > {threshold!r} and {value(f)} >= {f.minimum})" for f in features}
+    known = {f.name: f"z_{f.name} is not null" for f in features}
+    reports = ", ".join(
+        f"if({hits[f.name]}, named_struct('feature', '{f.name}', 'z_score', round(z_{f.name}, 2), 'sentiment', {sentiment(f)}, "
+        f"'val', {f'round({value(f)}, 3)' if f.attempts else f'cast(floor({value(f)}) as double)'}, "
+        f"'avg', round({mean_of(f)}, {3 if f.attempts else 2})), null)"
+        for f in features
+    )
     return (
-        scored.withColumn("items", F.array(*items))
-        .filter(F.exists(F.col("items"), lambda s: s["hit"]))
-        .withColumn("top", top)
+        scored.filter(" or ".join(hits.values()))
         .select(
             F.col(keys.row_id).alias("stat_id"), keys.entity, keys.period, keys.when, keys.tie,
-            F.map_from_arrays(F.transform(scores, lambda s: s["feature"]),
-                              F.transform(scores, lambda s: F.round(s["z"], 2))).alias("z_scores"),
-            F.col("top.z").alias("headline_z"),
-            F.round(F.col("top.z"), 2).alias("max_z_score"),
-            F.when(F.col("top.sentiment") == "positive", "explosion").otherwise("crisis").alias("outlier_type"),
-            F.transform(hits, lambda s: F.struct(
-                s["feature"].alias("feature"), F.round(s["z"], 2).alias("z_score"),
-                s["sentiment"].alias("sentiment"), s["val"].alias("val"), s["avg"].alias("avg"))).alias("outlier_features"),
+            F.expr(map_of(features, known, {f.name: f"round(z_{f.name}, 2)" for f in features})).alias("z_scores"),
+            F.expr(headline(features, hits)).alias("top"),
+            F.expr(f"array_compact(array({reports}))").alias("outlier_features"),
             F.col("games_before").alias("games_in_sample"),
         )
+        .select(
+            "stat_id", keys.entity, keys.period, keys.when, keys.tie, "z_scores", F.col("top.z").alias("headline_z"),
+            F.round("top.z", 2).alias("max_z_score"),
+            F.when(F.col("top.sentiment") == "positive", "explosion").otherwise("crisis").alias("outlier_type"),
+            "outlier_features", "games_in_sample",
+        )
     )
 
 

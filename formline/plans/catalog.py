@@ -1,6 +1,6 @@
 """All registered queries."""
 
-from formline.plans import aggregates, listings, membership, sequences  # noqa: F401
+from formline.plans import aggregates, cleaning, listings, membership, results, sequences  # noqa: F401
 from formline.plans.registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -6,81 +6,75 @@ so that the files can be exchanged with any Parquet reader.
 
 from __future__ import annotations
 
-from pyspark.sql import types as T
-
-
-def _table(ddl: str) -> T.StructType:
-    return T.StructType.fromDDL(ddl)
-
-
 _COUNTS = "pts int, reb int, ast int, stl int, blk int, tov int, pf int"
 _SHOTS = "fgm int, fga int, fg3m int, fg3a int, ftm int, fta int"
 _PCTS = "fg_pct double, fg3_pct double, ft_pct double"
 
-TABLES: dict[str, T.StructType] = {
-    "teams": _table(
+# Schemas in DDL form, as `spark.read.schema` takes them.
+TABLES: dict[str, str] = {
+    "teams": (
         "id bigint, full_name string, abbreviation string, nickname string, city string, "
         "state string, year_founded int, conference string, division string"
     ),
-    "players": _table(
+    "players": (
         "id bigint, full_name string, birthdate date, height string, weight int, position string, "
         "country string, jersey string, school string, is_active boolean, season_exp int, "
         "from_year int, to_year int, draft_year int, draft_round int, draft_number int, "
         "bio_synced boolean, awards_synced boolean, last_award_sync timestamp"
     ),
-    "games": _table(
+    "games": (
         "id string, date date, season string, rs boolean, ist boolean, po boolean, pi boolean, "
         "status int, home_team_id bigint, away_team_id bigint, home_score int, away_score int, "
         "winner_team_id bigint, quarter_scores struct<home:array<int>,away:array<int>>"
     ),
-    "player_game_stats": _table(
+    "player_game_stats": (
         f"id bigint, game_id string, player_id bigint, team_id bigint, min_seconds bigint, {_COUNTS}, "
         f"plus_minus double, {_SHOTS}, {_PCTS}"
     ),
-    "player_team_seasons": _table(
+    "player_team_seasons": (
         f"player_id bigint, team_id bigint, season string, type string, start_date date, end_date date, "
         f"games_played bigint, {_COUNTS}, {_SHOTS}, plus_minus double, min_seconds bigint, is_detailed boolean"
     ),
-    "team_game_stats": _table(
+    "team_game_stats": (
         "game_id string, team_id bigint, total_pts bigint, total_reb bigint, total_ast bigint, "
         "total_stl bigint, total_blk bigint, total_tov bigint, total_pf bigint, avg_plus_minus double, "
         "total_fgm bigint, total_fga bigint, fg_pct double, total_fg3m bigint, total_fg3a bigint, "
         "fg3_pct double, total_ftm bigint, total_fta bigint, ft_pct double"
     ),
-    "player_awards": _table(
+    "player_awards": (
         "player_id bigint, season string, award_type string, award_name string, description string"
     ),
-    "league_outliers": _table(
+    "league_outliers": (
         "stat_id bigint, reconstruction_error double, percentile double, "
         "contributions map<string,double>, is_outlier boolean, model_version string"
     ),
-    "player_outliers": _table(
+    "player_outliers": (
         "stat_id bigint, z_scores map<string,double>, max_z_score double, outlier_type string, "
         "outlier_features array<struct<feature:string,z_score:double,sentiment:string,val:double,avg:double>>, "
         "games_in_sample bigint"
     ),
-    "player_trends": _table(
+    "player_trends": (
         "player_id bigint, window_type string, reference_date date, z_scores map<string,double>, "
         "max_z_score double, outlier_type string, comparison map<string,"
         "struct<current_avg:double,baseline_avg:double,diff_pct:double,sentiment:string>>, "
         "games_in_window bigint, games_in_baseline bigint"
     ),
-    "season_states": _table(
+    "season_states": (
         "player_id bigint, season string, games_played bigint, first_game_date date, "
         "last_game_date date, accumulated map<string,double>"
     ),
-    "streaks": _table(
+    "streaks": (
         "player_id bigint, streak_type string, competition_type string, length bigint, "
         "is_active boolean, is_historical boolean, started_at date, ended_at date, "
         "first_game_id string, last_game_id string"
     ),
-    "streak_records": _table(
+    "streak_records": (
         "streak_type string, competition_type string, player_id bigint, length bigint, "
         "started_at date, ended_at date, first_game_id string, last_game_id string"
     ),
-    "checkpoints": _table("key string, value string, updated_at timestamp"),
-    "system_status": _table("task string, status string, progress int, updated_at timestamp"),
-    "log_entries": _table("ts timestamp, level string, module string, message string, traceback string"),
+    "checkpoints": "key string, value string, updated_at timestamp",
+    "system_status": "task string, status string, progress int, updated_at timestamp",
+    "log_entries": "ts timestamp, level string, module string, message string, traceback string",
 }
 
 # Child before parent, the order in which dependent tables are emptied.

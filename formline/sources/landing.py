@@ -101,8 +101,9 @@ def games_from_summaries(
     subtype over the predicted cup flag; a tie is booked to the away side.
     ``predicted`` carries the flags of :func:`season_games`.
     """
-    parsed = raw.select("game_id", F.from_json("payload", SUMMARY_SCHEMA).alias("p"))
-    rows = parsed.select("game_id", F.coalesce("p.game", "p.boxScoreSummary").alias("g")).filter(
+    # Expanding the parsed value as one row keeps the optimizer from parsing once per field.
+    parsed = raw.select("game_id", F.inline(F.array(F.from_json("payload", SUMMARY_SCHEMA))))
+    rows = parsed.select("game_id", F.coalesce("game", "boxScoreSummary").alias("g")).filter(
         F.col("g.gameStatus") == FINAL_STATUS)
     flags = ["is_rs", "is_po", "is_pi", "is_ist"]
     if predicted is not None:
