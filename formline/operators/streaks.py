@@ -225,3 +225,19 @@ def streak_summary(badged: DataFrame, records: DataFrame, competition: str = "re
             historic_threshold(F.coalesce("record", F.lit(2).cast("bigint"))).alias("notable_threshold"),
         )
     )
+
+
+def running_badges(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """The row at which each streak first reaches 70 percent (at least 2) of the record *so far*.
+
+    ``rows`` come from :func:`streak_rows`. The record so far is a running maximum
+    per (type, competition) over all entities in time order.
+    """
+    group = [keys.entity, "streak_type", "competition_type", "island"]
+    met = rows.filter("met")
+    lengths = running(met, group, [keys.when, keys.tie], {"length": Running(F.lit(1).cast("bigint"))})
+    pair = ["streak_type", "competition_type"]
+    records = running(lengths, pair, [keys.when, keys.tie, keys.entity], {"__record": Running(F.col("length"), "max")})
+    reached = records.withColumn("threshold", historic_threshold(F.col("__record"))).filter("length >= threshold")
+    first = F.min(F.struct(keys.when, keys.tie, "length", "threshold")).alias("r")
+    return reached.groupBy(*group).agg(first).select(keys.entity, "streak_type", "competition_type", "r.*")
