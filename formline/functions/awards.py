@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from functools import reduce
+import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -52,7 +52,7 @@ INDIVIDUAL_AWARDS = [
 
 
 def is_skipped(description: Column) -> Column:
-    return reduce(lambda a, b: a | b, [description.contains(text) for text in SKIPPED_AWARDS])
+    return description.rlike("|".join(re.escape(text) for text in SKIPPED_AWARDS))
 
 
 def award_name(description: Column, team_number: Column) -> Column:
@@ -62,18 +62,24 @@ def award_name(description: Column, team_number: Column) -> Column:
     return F.coalesce(F.concat(description, F.lit(" "), number, suffix, F.lit(" Team")), description)
 
 
-def award_class(description: Column) -> Column:
-    """MVP variants by context, then the longest fragment contained, then any All-Star, else Other."""
+def award_class(description: Column, lowered: Column | None = None) -> Column:
+    """MVP variants by context, then the longest fragment contained, then any All-Star, else Other.
+
+    The text is tested many times: pass plain columns (and the lower-case text, if
+    there is one), not computed expressions.
+    """
+    lowered = F.lower(description) if lowered is None else lowered
     mvp = description.contains("Most Valuable Player") | description.contains("MVP")
-    out = F.when(mvp & description.contains("All-Star"), F.lit("All-Star MVP"))
-    out = out.when(mvp & description.contains("Finals"), F.lit("Finals MVP"))
-    out = out.when(mvp & description.contains("NBA Cup"), F.lit("NBA Cup MVP"))
-    out = out.when(mvp & ~description.contains("Cup"), F.lit("MVP"))
-    lowered = F.lower(description)
+    variant = (
+        F.when(description.contains("All-Star"), "All-Star MVP").when(description.contains("Finals"), "Finals MVP")
+        .when(description.contains("NBA Cup"), "NBA Cup MVP").when(~description.contains("Cup"), "MVP")
+    )
+    by_fragment = None
     for fragment in sorted(AWARD_CLASSES, key=len, reverse=True):
-        out = out.when(lowered.contains(fragment.lower()), F.lit(AWARD_CLASSES[fragment]))
+        test = lowered.contains(fragment.lower())
+        by_fragment = F.when(test, AWARD_CLASSES[fragment]) if by_fragment is None else by_fragment.when(test, AWARD_CLASSES[fragment])
     plain_all_star = lowered.contains("all-star") & ~lowered.contains("mvp") & ~lowered.contains("most valuable player")
-    return out.when(plain_all_star, F.lit("All-Star")).otherwise(F.lit("Other"))
+    return F.coalesce(F.when(mvp, variant), by_fragment.when(plain_all_star, "All-Star").otherwise("Other"))
 
 
 def award_priority(award_type: Column) -> Column:

@@ -5,17 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# What counts as a number, and which texts mean "no value".
-NUMBER_PATTERN = r"^\s*[+-]?(\d+(\.\d*)?|\.\d+)([eE][+-]?\d+)?\s*$"
+# Letters that no decimal number has (they spell NaN, Infinity, 0x1 or 1d),
+# and texts that mean "no value".
+FOREIGN_LETTERS = "[A-DF-Za-df-z]"
 INTEGER_PATTERN = r"^\s*[+-]?\d+\s*$"
 EMPTY_TEXTS = ["none", "nan", "null", ""]
 
 
+def _decimal(value: Column) -> Column:
+    """Text as double, null for garbage; a number too large for a double is infinite."""
+    text = value.cast("string")
+    return F.when(~text.rlike(FOREIGN_LETTERS), F.trim(text).try_cast("double"))
+
+
 def number_or_null(value: Column) -> Column:
     """Text as double; null for anything that is not a finite decimal number."""
-    text = value.cast("string")
-    parsed = F.when(text.rlike(NUMBER_PATTERN), F.trim(text).try_cast("double"))
-    return F.when(F.abs(parsed) < F.lit(float("inf")), parsed)
+    return F.nullif(F.nullif(_decimal(value), F.lit(float("inf"))), F.lit(float("-inf")))
 
 
 def safe_double(value: Column, default: float = 0.0) -> Column:
@@ -24,13 +29,12 @@ def safe_double(value: Column, default: float = 0.0) -> Column:
 
 def safe_int(value: Column, default: int = 0) -> Column:
     """Truncating conversion: ``10.7`` is 10, ``1e2`` is 100, garbage is the default."""
-    return F.coalesce(number_or_null(value).try_cast("bigint"), F.lit(default).cast("bigint"))
+    return F.coalesce(_decimal(value).try_cast("bigint"), F.lit(default).cast("bigint"))
 
 
 def positive_int_or_null(value: Column) -> Column:
     """Like :func:`safe_int`, but null for bad input and for values that truncate to 0 or less."""
-    whole = number_or_null(value).try_cast("bigint")
-    return F.when(whole > 0, whole)
+    return F.nullif(F.greatest(_decimal(value).try_cast("bigint"), F.lit(0).cast("bigint")), F.lit(0).cast("bigint"))
 
 
 def clean_text(value: Column) -> Column:
@@ -57,16 +61,11 @@ def parse_day(value: Column) -> Column:
 def clock_to_seconds(value: Column) -> Column:
     """``M:SS``, ``H:MM:SS`` or decimal minutes to whole seconds; anything else is 0."""
     text = value.cast("string")
-
-    def part(i: int) -> Column:
-        return F.trim(F.try_element_at(F.split(text, ":"), F.lit(i))).try_cast("bigint")
-
-    whole = r"\s*[+-]?\d+\s*"
-    seconds = (
-        F.when(text.rlike(f"^{whole}:{whole}$"), part(1) * 60 + part(2))
-        .when(text.rlike(f"^{whole}:{whole}:{whole}$"), part(1) * 3600 + part(2) * 60 + part(3))
-        .otherwise((number_or_null(text) * 60).try_cast("bigint"))
-    )
+    parts = F.split(text, ":")
+    clock = F.aggregate(
+        parts, F.lit(0).cast("bigint"),
+        lambda total, part: F.try_add(F.try_multiply(total, F.lit(60).cast("bigint")), F.trim(part).try_cast("bigint")))
+    seconds = F.when(F.size(parts) == 1, (_decimal(text) * 60).try_cast("bigint")).when(F.size(parts) <= 3, clock)
     return F.coalesce(seconds, F.lit(0).cast("bigint"))
 
 

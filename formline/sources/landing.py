@@ -136,17 +136,20 @@ def games_from_summaries(
 # ---- box score ------------------------------------------------------------------------------
 
 
-def stat_values(df: DataFrame) -> dict[str, Column]:
-    """Clean statistics of a delivered line: tolerant casts, repaired shots, shares."""
+def clean_statistics(df: DataFrame, kept: list[str]) -> DataFrame:
+    """Delivered lines with typed statistics: tolerant casts, then shots repaired, then shares."""
     raw = {name: alias_column(df, names) for name, names in LINE_ALIASES.items()}
-    shots = repaired_shots(*[safe_int(raw[c]) for c in SHOTS])
-    out = {c: safe_int(raw[c]) for c in COUNTS} | {"plus_minus": safe_double(raw["plus_minus"])} | shots
-    out |= {
-        "fg_pct": ratio(shots["fgm"], shots["fga"]),
-        "fg3_pct": ratio(shots["fg3m"], shots["fg3a"]),
-        "ft_pct": ratio(shots["ftm"], shots["fta"]),
-    }
-    return out
+    typed = df.select(
+        *kept, safe_int(raw["player_id"], -1).alias("player_id"), safe_int(raw["team_id"], -1).alias("team_id"),
+        clock_to_seconds(raw["minutes"]).alias("min_seconds"), *[safe_int(raw[c]).alias(c) for c in COUNTS],
+        safe_double(raw["plus_minus"]).alias("plus_minus"), *[safe_int(raw[c]).alias(c) for c in SHOTS],
+    )
+    fixed = typed.withColumns(repaired_shots(*[F.col(c) for c in SHOTS]))
+    return fixed.withColumns({
+        "fg_pct": ratio(F.col("fgm"), F.col("fga")),
+        "fg3_pct": ratio(F.col("fg3m"), F.col("fg3a")),
+        "ft_pct": ratio(F.col("ftm"), F.col("fta")),
+    })
 
 
 def box_score_lines(df: DataFrame, teams: DataFrame, name_fallback: DataFrame | None = None) -> DataFrame:
@@ -156,15 +159,10 @@ def box_score_lines(df: DataFrame, teams: DataFrame, name_fallback: DataFrame |
     no time, no points). Names come from first and family name, a name column,
     ``name_fallback`` (player_id, name), or ``Player <id>``.
     """
-    raw = {name: alias_column(df, names) for name, names in LINE_ALIASES.items()}
     first, family = alias_column(df, ["firstName"]), alias_column(df, ["familyName"])
     given = F.when((first != "") & (family != ""), F.trim(F.concat_ws(" ", first, family))).otherwise(alias_column(df, NAME_ALIASES))
-    seconds = clock_to_seconds(raw["minutes"])
-    cleaned = df.select(
-        "game_id", safe_int(raw["player_id"], -1).alias("player_id"), safe_int(raw["team_id"], -1).alias("team_id"),
-        F.nullif(F.trim(given), F.lit("")).alias("__name"), seconds.alias("min_seconds"),
-        *[c.alias(name) for name, c in stat_values(df).items()],
-    ).filter((F.col("player_id") > 0) & (F.col("team_id") > 0))
+    named = df.withColumn("__name", F.nullif(F.trim(given), F.lit("")))
+    cleaned = clean_statistics(named, ["game_id", "__name"]).filter((F.col("player_id") > 0) & (F.col("team_id") > 0))
     cleaned = with_valid_team(cleaned, teams).filter("valid_team").drop("valid_team")
     if name_fallback is not None:
         spare = name_fallback.groupBy("player_id").agg(F.min("name").alias("__spare"))
@@ -172,8 +170,8 @@ def box_score_lines(df: DataFrame, teams: DataFrame, name_fallback: DataFrame |
     else:
         cleaned = cleaned.withColumn("__spare", F.lit(None).cast("string"))
     empty = F.col("__name").isNull() & (F.col("min_seconds") == 0) & F.col("__spare").isNull() & (F.col("pts") == 0)
-    named = F.coalesce("__name", "__spare", F.concat(F.lit("Player "), F.col("player_id").cast("string")))
-    return cleaned.filter(~empty).withColumn("player_name", named).drop("__name", "__spare")
+    label = F.coalesce("__name", "__spare", F.concat(F.lit("Player "), F.col("player_id").cast("string")))
+    return cleaned.filter(~empty).withColumn("player_name", label).drop("__name", "__spare")
 
 
 # ---- dimensions -----------------------------------------------------------------------------
@@ -260,10 +258,12 @@ def award_rows(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
 
     One row per (player, season, name); rows already in ``known`` are left out.
     """
-    text = F.trim("description")
-    rows = raw.filter(~is_skipped(text)).select(
-        "player_id", F.trim("season").alias("season"), award_class(text).alias("award_type"),
-        award_name(text, F.col("team_number")).alias("award_name"),
+    # One step per derived text, so that none is computed once per test.
+    rows = raw.select("player_id", F.trim("season").alias("season"), F.trim("description").alias("text"), "team_number")
+    rows = rows.filter(~is_skipped(F.col("text"))).withColumn("lowered", F.lower("text"))
+    rows = rows.select(
+        "player_id", "season", award_class(F.col("text"), F.col("lowered")).alias("award_type"),
+        award_name(F.col("text"), F.col("team_number")).alias("award_name"),
     )
     # The class follows from the description, so equal names have equal classes.
     unique = rows.groupBy("player_id", "season", "award_name").agg(F.min("award_type").alias("award_type"))
