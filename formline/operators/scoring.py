@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from formline.functions.seasons import season_year
 from formline.operators.running import Running, running
+from formline.session import write_and_reload
 
 # Scored features, least play time, share of the oldest rows used for fitting,
 # decay per season, percentile that marks an outlier.
@@ -258,13 +259,17 @@ def league_outliers(
 
     All scored rows are returned; ``is_outlier`` marks percentiles at or above the threshold.
     """
+    keep = [row_id, "player_id", "season", when, tie]
     history = feature_rows(train_lines if train_lines is not None else lines)
     split = temporal_split(season_weights(history), when, tie)
+    # Fitting, scoring and ranking read these rows several times: write them once.
+    split = write_and_reload(split.select(*dict.fromkeys(keep), *MODEL_FEATURES, "weight", "is_train"), "features")
     model = fit_reconstruction(split, "is_train", sizes, "weight")
-    train = split.filter("is_train")
-    mine = feature_rows(lines.join(active.select("player_id").distinct(), "player_id", "left_semi"))
-    scored = model.score(mine)
-    ranked = error_percentiles(model.score(train).select("error"), scored)
+    errors = write_and_reload(model.score(split).drop(*MODEL_FEATURES), "errors")
+    train = errors.filter("is_train").select("error")
+    mine = errors if train_lines is None else model.score(feature_rows(lines))
+    scored = mine.join(active.select("player_id").distinct(), "player_id", "left_semi")
+    ranked = error_percentiles(train, scored)
     return ranked.select(
         F.col(row_id).alias("stat_id"), "player_id", "season", when, F.col("error").alias("reconstruction_error"),
         "percentile", "contributions", (F.col("percentile") >= threshold).alias("is_outlier"),

@@ -267,5 +267,6 @@ def award_rows(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
     )
     # The class follows from the description, so equal names have equal classes.
     unique = rows.groupBy("player_id", "season", "award_name").agg(F.min("award_type").alias("award_type"))
-    unique = unique.select("player_id", "season", "award_type", "award_name", F.lit(None).cast("string").alias("description"))
-    return unique if known is None else unique.join(known, ["player_id", "season", "award_name"], "left_anti")
+    if known is not None:
+        unique = unique.join(known, ["player_id", "season", "award_name"], "left_anti")
+    return unique.select("player_id", "season", "award_type", "award_name", F.lit(None).cast("string").alias("description"))
