@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formline.operators.running import huge_groups
 from formline.operators.zscore import (
     DEFAULT_FEATURES,
     MIN_BASELINE_ROWS,
@@ -15,9 +16,7 @@ from formline.operators.zscore import (
     Feature,
     Keys,
     baseline_inputs,
-    counted,
     deviation_of,
-    fixed_point,
     headline,
     map_of,
     mean_of,
@@ -46,6 +45,19 @@ def last_days(lines: DataFrame, keys: Keys = Keys()) -> DataFrame:
     )
 
 
+def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys) -> DataFrame:
+    """(entity, period, day) with the addends of the sums.
+
+    With huge entities the rows of a day are added up first, so that an entity
+    never brings more rows than days to the join with its reference day.
+    """
+    inputs = baseline_inputs(features, keys) | {"played": f"if({keys.seconds} > 0, 1L, null)"}
+    group = [keys.entity, keys.period, keys.when]
+    if huge_groups(lines, [keys.entity]) is None:
+        return lines.select(*group, *[F.expr(c).alias(name) for name, c in inputs.items()])
+    return lines.groupBy(*group).agg(*[F.expr(f"sum({c})").alias(name) for name, c in inputs.items()])
+
+
 def trend_scores(
     lines: DataFrame,
     reference: DataFrame | None = None,
@@ -56,23 +68,21 @@ def trend_scores(
     """One row per (entity, window) with ``z_<feature>``, ``cur_<feature>`` and ``base_<feature>``.
 
     ``reference`` gives (entity, reference_date, reference_period); by default the
-    entity's last day. Everything is one conditional aggregation, so the rows of a
-    busy entity are combined before they meet in one task. The baseline is the
-    reference period up to and including the window.
+    entity's last day. Everything is one conditional aggregation. The baseline is
+    the reference period up to and including the window.
     """
     reference = last_days(lines, keys) if reference is None else reference
-    rows = lines.join(reference, keys.entity)
+    rows = _addends(lines, features, keys).join(reference, keys.entity)
     in_base = f"({keys.period} = reference_period and {keys.when} <= reference_date)"
-    aggs = [F.expr(f"count_if({in_base} and {keys.seconds} > 0)").alias("base_games")]
-    for name, c in baseline_inputs(features, keys).items():
-        aggs.append(F.expr(f"sum(if({in_base}, {c}, null))").alias(name))
+    aggs = [F.expr(f"coalesce(sum(if({in_base}, played, null)), 0L)").alias("base_games")]
+    for name in baseline_inputs(features, keys):
+        aggs.append(F.expr(f"sum(if({in_base}, {name}, null))").alias(name))
     for w in windows:
         inside = f"({keys.when} > date_sub(reference_date, {w.days}) and {keys.when} <= reference_date)"
-        aggs.append(F.expr(f"count_if({inside} and {keys.seconds} > 0)").alias(f"{w.name}_games"))
+        aggs.append(F.expr(f"coalesce(sum(if({inside}, played, null)), 0L)").alias(f"{w.name}_games"))
         for f in features:
-            use = f"{inside} and {counted(f, keys)}"
-            aggs.append(F.expr(f"sum(if({use}, {fixed_point(f)}, null))").alias(f"{w.name}_{f.name}_s"))
-            aggs.append(F.expr(f"count_if({use})").alias(f"{w.name}_{f.name}_n"))
+            aggs.append(F.expr(f"sum(if({inside}, {f.name}_s, null))").alias(f"{w.name}_{f.name}_s"))
+            aggs.append(F.expr(f"coalesce(sum(if({inside}, {f.name}_n, null)), 0L)").alias(f"{w.name}_{f.name}_n"))
     grouped = rows.groupBy(keys.entity, "reference_date").agg(*aggs)
 
     per_window = []

@@ -11,6 +11,7 @@ from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.listings import season_rows
 from formline.plans.registry import query
+from formline.session import write_and_reload
 
 STAR = 23
 
@@ -90,8 +91,10 @@ _MEMBERS = f"""
 
 
 def members(spark, sf) -> DataFrame:
-    return relations.category_members(
-        L.players(spark, sf), L.teams(spark, sf), season_rows(spark, sf), L.awards(spark, sf), star_id=STAR)
+    """Season rows and awards are each read by three categories: they are written once."""
+    rows = write_and_reload(season_rows(spark, sf).select("player_id", "team_id", "season"), "season-rows")
+    won = write_and_reload(L.awards(spark, sf).select("player_id", "award_type"), "awards")
+    return relations.category_members(L.players(spark, sf), L.teams(spark, sf), rows, won, star_id=STAR)
 
 
 @query("category_members", sql("SELECT category, player_id FROM m", "players", "teams", "season_rows", "awards", extra={"m": _MEMBERS}))

@@ -45,14 +45,14 @@ class MergedState:
         self.bases = DeltaFolder(spark, f"{path}/bases", schema)
         self.merge = merge
 
-    def current(self, before: int | None = None) -> DataFrame:
-        """State after all batches, or before the given one."""
+    def current(self, before: int | None = None, only: DataFrame | None = None) -> DataFrame:
+        """State after all batches, or before the given one; ``only`` limits it to the keys of a batch."""
         bases = self.bases.rows(before)
         upto = bases.agg(F.max("batch")).first()[0]
-        if upto is None:
-            return self.merge(self.deltas.rows(before))
-        newer = self.deltas.rows(before).filter(F.col("batch") > upto)
-        return self.merge(bases.filter(F.col("batch") == upto).unionByName(newer))
+        rows = self.deltas.rows(before)
+        if upto is not None:
+            rows = bases.filter(F.col("batch") == upto).unionByName(rows.filter(F.col("batch") > upto))
+        return self.merge(rows if only is None else rows.join(only, only.columns, "left_semi"))
 
     def add(self, df: DataFrame, batch: int) -> None:
         self.deltas.write(df, batch)

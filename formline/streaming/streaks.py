@@ -39,7 +39,8 @@ class StreakStream:
         """Extend, start, break or freeze runs. Repeated and late rows are kept aside and change nothing."""
         k = self.keys
         here = F.struct(F.col(k.when).alias("day"), F.col(k.tie).cast("bigint").alias("game"))
-        seen = self.seen.current(number).withColumnRenamed("final", "__last")
+        entities = batch.select(k.entity).distinct()
+        seen = self.seen.current(number, entities).withColumnRenamed("final", "__last")
         placed = batch.dropDuplicates([k.row_id]).join(seen, k.entity, "left").withColumn(
             "__late", F.coalesce(here <= F.col("__last"), F.lit(False)))
         self.lines.write(placed.filter(~F.col("__late")).select(*batch.columns), number)
@@ -53,7 +54,7 @@ class StreakStream:
             F.count_if(met).alias("length"), F.min(F.when(met, place)).alias("first"), F.max(F.when(met, place)).alias("last"),
             F.min(F.when(~met, F.col(k.when))).alias("broken_on"))
         # The first run of a batch continues the open run, if there is one.
-        before = self.open.current(number).filter("length > 0").select(
+        before = self.open.current(number, entities).filter("length > 0").select(
             *group, F.lit(0).cast("bigint").alias("island"), F.col("length").alias("__n"), F.col("first").alias("__first"), F.col("last").alias("__last"))
         joined = runs.join(before, [*group, "island"], "left").select(
             *group, (F.col("length") + F.coalesce("__n", F.lit(0))).alias("length"), F.coalesce("__first", "first").alias("first"),

@@ -67,7 +67,7 @@ class ZScoreStream:
     def process(self, batch: DataFrame, number: int) -> None:
         """Handle one micro-batch. Rows at or before the entity's last stored row are kept aside as late."""
         k = self.keys
-        prior = self.state.current(number)
+        prior = self.state.current(number, batch.select(k.entity).distinct())
         # New and repeated rows are told apart by the entity's position in time.
         seen = prior.groupBy(k.entity).agg(
             F.max(F.struct("last_day", "last_tie")).alias("__last"), F.min(F.when(F.col("games") > 0, F.col(k.period))).alias("__first_period"))

@@ -149,6 +149,16 @@ def test_trend_window_edges(spark):
     assert trends.trend_scores(lines_df(spark, only_one), windows=[trends.WEEK]).count() == 0
 
 
+def test_trends_are_the_same_for_huge_groups(spark):
+    lines = lines_df(spark, random_lines(seed=14))
+    plain = rows(trends.trend_scores(lines))
+    spark.conf.set("formline.rowsPerTask", "20")
+    try:
+        assert rows(trends.trend_scores(lines)) == plain and plain
+    finally:
+        spark.conf.unset("formline.rowsPerTask")
+
+
 def brute_streaks(items, active):
     marks = {
         "pts_20": lambda r: r["pts"] >= 20, "pts_30": lambda r: r["pts"] >= 30, "pts_40": lambda r: r["pts"] >= 40,
