@@ -13,14 +13,13 @@ _PLACE = "struct<day:date,game:bigint>"
 
 
 class StreakStream:
-    """Detector with its tables below ``root``: closed runs, open runs, last rows, late rows."""
+    """Detector with its tables below ``root``: lines (with a late mark), runs of each batch, open runs, last rows."""
 
     def __init__(self, spark: SparkSession, root: str, lines_schema: str, keys: Keys = Keys()):
         self.spark, self.keys = spark, keys
         key = f"{keys.entity} bigint, streak_type string, competition_type string"
-        self.lines = DeltaFolder(spark, f"{root}/lines", lines_schema)
-        self.late = DeltaFolder(spark, f"{root}/late", lines_schema)
-        self.closed = DeltaFolder(spark, f"{root}/closed", f"{key}, length bigint, first {_PLACE}, last {_PLACE}, broken_on date")
+        self.lines = DeltaFolder(spark, f"{root}/lines", f"{lines_schema}, late boolean")
+        self.runs = DeltaFolder(spark, f"{root}/runs", f"{key}, length bigint, first {_PLACE}, last {_PLACE}, broken_on date")
         self.open = MergedState(spark, f"{root}/open", f"{key}, length bigint, first {_PLACE}, last {_PLACE}", self._latest)
         self.finals = MergedState(spark, f"{root}/finals", f"{keys.entity} bigint, competition_type string, final {_PLACE}", self._last_rows)
         self.seen = MergedState(spark, f"{root}/seen", f"{keys.entity} bigint, final {_PLACE}", self._last_seen)
@@ -36,16 +35,15 @@ class StreakStream:
         return rows.groupBy(self.keys.entity).agg(F.max("final").alias("final"))
 
     def process(self, batch: DataFrame, number: int) -> None:
-        """Extend, start, break or freeze runs. Repeated and late rows are kept aside and change nothing."""
+        """Extend, start, break or freeze runs. Repeated and late rows are kept, marked late, and change nothing."""
         k = self.keys
         here = F.struct(F.col(k.when).alias("day"), F.col(k.tie).cast("bigint").alias("game"))
         entities = batch.select(k.entity).distinct()
         seen = self.seen.current(number, entities).withColumnRenamed("final", "__last")
         placed = batch.dropDuplicates([k.row_id]).join(seen, k.entity, "left").withColumn(
-            "__late", F.coalesce(here <= F.col("__last"), F.lit(False)))
-        self.lines.write(placed.filter(~F.col("__late")).select(*batch.columns), number)
-        self.late.write(placed.filter("__late").select(*batch.columns), number)
-        fresh = self.lines.batch(number)
+            "late", F.coalesce(here <= F.col("__last"), F.lit(False)))
+        self.lines.write(placed.select(*batch.columns, "late"), number)
+        fresh = self.lines.batch(number).filter("not late").drop("late")
 
         group = [k.entity, "streak_type", "competition_type"]
         place = F.struct(F.col(k.when).alias("day"), F.col(k.tie).cast("bigint").alias("game"))
@@ -59,8 +57,8 @@ class StreakStream:
         joined = runs.join(before, [*group, "island"], "left").select(
             *group, (F.col("length") + F.coalesce("__n", F.lit(0))).alias("length"), F.coalesce("__first", "first").alias("first"),
             F.coalesce("last", "__last").alias("last"), "broken_on")
-        self.closed.write(joined.filter("broken_on is not null and length > 0"), number)
-        still_open = joined.groupBy(*group).agg(
+        self.runs.write(joined, number)
+        still_open = self.runs.batch(number).groupBy(*group).agg(
             F.max(F.when(F.col("broken_on").isNull(), F.struct("length", "first", "last"))).alias("r"))
         self.open.add(still_open.select(
             *group, F.coalesce("r.length", F.lit(0)).cast("bigint").alias("length"), "r.first", "r.last"), number)
@@ -81,7 +79,7 @@ class StreakStream:
                     F.when(~F.col("is_active"), F.col("last.day")).alias("ended_at"),
                     F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
         )
-        done = self.closed.rows().select(
+        done = self.runs.rows().filter("broken_on is not null and length > 0").select(
             *group, "length", F.lit(False).alias("is_active"), F.col("first.day").alias("started_at"), F.col("broken_on").alias("ended_at"),
             F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
         return done.unionByName(running_now)

@@ -29,7 +29,7 @@ TREND_REACH_DAYS = 366
 
 
 class ZScoreStream:
-    """Detector with its tables below ``root``: lines, late, state, outliers, trends."""
+    """Detector with its tables below ``root``: lines (with a late mark), state, outliers, trends."""
 
     def __init__(
         self, spark: SparkSession, root: str, lines_schema: str,
@@ -42,8 +42,7 @@ class ZScoreStream:
             f"{keys.entity} bigint, {keys.period} string, games bigint, first_day date, last_day date, last_tie bigint, "
             + ", ".join(f"{n} {t}" for n, t in sums.items())
         )
-        self.lines = DeltaFolder(spark, f"{root}/lines", lines_schema)
-        self.late = DeltaFolder(spark, f"{root}/late", lines_schema)
+        self.lines = DeltaFolder(spark, f"{root}/lines", f"{lines_schema}, late boolean")
         self.state = MergedState(spark, f"{root}/state", state_schema, self._merged)
         self.root = root
 
@@ -65,7 +64,7 @@ class ZScoreStream:
         ).select(k.entity, k.period, "games", "first_day", F.col("l.d").alias("last_day"), F.col("l.t").cast("bigint").alias("last_tie"), *self.sums)
 
     def process(self, batch: DataFrame, number: int) -> None:
-        """Handle one micro-batch. Rows at or before the entity's last stored row are kept aside as late."""
+        """Handle one micro-batch. Rows at or before the entity's last stored row are kept, marked late, and not scored."""
         k = self.keys
         prior = self.state.current(number, batch.select(k.entity).distinct())
         # New and repeated rows are told apart by the entity's position in time.
@@ -74,12 +73,10 @@ class ZScoreStream:
         unique = batch.dropDuplicates([k.row_id])
         here = F.struct(F.col(k.when).alias("last_day"), F.col(k.tie).cast("bigint").alias("last_tie"))
         placed = unique.join(seen.select(k.entity, "__last"), k.entity, "left").withColumn(
-            "__late", F.coalesce(here <= F.col("__last"), F.lit(False)))
-        columns = batch.columns
-        self.lines.write(placed.filter(~F.col("__late")).select(*columns), number)
-        self.late.write(placed.filter("__late").select(*columns), number)
+            "late", F.coalesce(here <= F.col("__last"), F.lit(False)))
+        self.lines.write(placed.select(*batch.columns, "late"), number)
 
-        fresh = self.lines.batch(number)
+        fresh = self.lines.batch(number).filter("not late").drop("late")
         inside = expanding_state(fresh, self.features, k)
         old = prior.select(
             k.entity, k.period, F.col("games").alias("__games"), F.col("first_day").alias("__first_day"),
@@ -105,7 +102,7 @@ class ZScoreStream:
         k = self.keys
         reference = trends.last_days(fresh, k)
         oldest = reference.agg(F.min("reference_date")).scalar()
-        recent = self.lines.rows(number + 1).drop("batch").filter(F.col(k.when) > F.date_sub(oldest, TREND_REACH_DAYS))
+        recent = self.lines.rows(number + 1).filter("not late").filter(F.col(k.when) > F.date_sub(oldest, TREND_REACH_DAYS))
         found = trends.trend_outliers(recent, reference, features=self.features, keys=k, threshold=self.threshold)
         found.write.mode("overwrite").parquet(f"{self.root}/trends/batch={number}")
 

@@ -60,7 +60,7 @@ def test_zscore_replay_and_late_rows(spark, tmp_path):
     job.process(second, 1)                              # the same batch again
     job.process(first, 2)                               # old rows in a new batch
     assert rows(job.outliers().drop("z_scores")) == before and rows(job.state.current()) == state
-    assert job.late.batch(2).count() == first.count()
+    assert job.lines.batch(2).filter("late").count() == first.count()
 
 
 def test_streak_stream_equals_batch(spark, tmp_path):
