@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import decontaminate, exact, langid, simhash
+from formline.llm import decontaminate, exact, langid, simhash, warc
 from formline.llm.common import table
+from formline.session import shared_dir
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -29,6 +30,13 @@ def fold(id_col: str, folds: int):
     return F.crc32(F.col(id_col).cast("string")) % folds
 
 
+@query("op1_warc")
+def op1_warc(spark, sf_dir):
+    folder = shared_dir(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages"), folder, min_bytes=0)
+    return warc.page_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
