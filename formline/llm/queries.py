@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import decontaminate, exact, langid, simhash, warc
+from formline.llm import decontaminate, exact, langid, mixing, simhash, urls, warc
 from formline.llm.common import table
 from formline.session import shared_dir
 
@@ -37,6 +37,19 @@ def op1_warc(spark, sf_dir):
     return warc.page_records(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+#: Domains of the labelled table and their shares of the mix.
+TARGETS = {"good": 0.85, "low": 0.10, "toxic": 0.05}
+
+
+def label_domain():
+    return F.when(F.col("toxic") == 1, "toxic").when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "low")
+
+
+@query("op2_mixing")
+def op2_mixing(spark, sf_dir):
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), label_domain(), TARGETS)
+
+
 @query("op3_simhash")
 def op3_simhash(spark, sf_dir):
     found = simhash.near_groups(table(spark, sf_dir, "documents"))
@@ -53,6 +66,32 @@ def op4_decontamination(spark, sf_dir):
     )
 
 
+RULES = [
+    ("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"),
+]
+#: A domain of three labels is listed if its first label has one of these words between hyphens.
+BAD_WORDS = ["spam", "casino", "porn", "bet"]
+
+URL_SQL = f"""
+WITH u AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+p AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path, row_number() OVER () AS n FROM u),
+r(action, rhost, rpath) AS (VALUES {", ".join(repr(r) for r in RULES)}),
+f AS (SELECT n, max(struct_pack(size := length(rhost || rpath), action := action, rule := rhost || rpath)) AS fit FROM p JOIN r
+    ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY n)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.action, CASE WHEN regexp_matches(host,
+    '(^|[.])([^.-]*-)*({"|".join(BAD_WORDS)})(-[^.]*)?[.][^.]+[.][^.]+$') THEN 'block' ELSE 'allow' END) AS verdict FROM p LEFT JOIN f USING (n)"""
+
+
+@query("op8_url_filter", URL_SQL)
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    domains = pages.select(F.element_at(urls.host_keys(urls.host_of(F.col("url")), 3), -1).alias("key")).distinct()
+    parts = F.split("key", "\\.")
+    listed = domains.filter((F.size(parts) == 3) & F.arrays_overlap(F.split(F.get(parts, F.lit(0)), "-"), F.array(*map(F.lit, BAD_WORDS))))
+    return urls.judge_urls(pages, RULES, listed)
+
+
 @query("op9_language")
 def op9_language(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
