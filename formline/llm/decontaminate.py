@@ -211,19 +211,24 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, remove: str = "document
 def _cutter(spark, slices: Iterator[NgramSet], remove: str):
     for grams in slices:
         shared = spark.sparkContext.broadcast(grams)
-        if remove == "documents":
-            @F.arrow_udf("boolean")
-            def clean(text: pa.Array, shared=shared) -> pa.Array:
-                return pa.array([not scan_text(raw, shared.value)[1] for raw in raw_texts(text)], pa.bool_())
+        yield _is_clean(shared) if remove == "documents" else _without_hits(shared)
 
-            yield clean
-        else:
-            @F.arrow_udf("string")
-            def without(text: pa.Array, shared=shared) -> pa.Array:
-                out = []
-                for raw in raw_texts(text):
-                    spans = scan_text(raw, shared.value)[1]
-                    out.append(cut_words(raw.decode(), spans) if spans else raw.decode())
-                return pa.array(out, pa.string())
-
-            yield without
+
+def _is_clean(shared):
+    @F.arrow_udf("boolean")
+    def clean(text: pa.Array) -> pa.Array:
+        return pa.array([not scan_text(raw, shared.value)[1] for raw in raw_texts(text)], pa.bool_())
+
+    return clean
+
+
+def _without_hits(shared):
+    @F.arrow_udf("string")
+    def without(text: pa.Array) -> pa.Array:
+        out = []
+        for raw in raw_texts(text):
+            spans = scan_text(raw, shared.value)[1]
+            out.append(cut_words(raw.decode(), spans) if spans else raw.decode())
+        return pa.array(out, pa.string())
+
+    return without
