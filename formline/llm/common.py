@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from formline.session import write_and_reload
@@ -56,6 +56,20 @@ def text_pieces(raw: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield raw[start:end]
 
 
+def bounded_sample(rows: DataFrame, groups: list[str], limit: int, id_col: str = "id") -> DataFrame:
+    """At most ``limit`` rows of each group, those with the smallest hashes of their id, in the columns of ``rows``.
+
+    A first pass counts the groups (there are few: labels, languages); a second keeps about twice the limit of each by
+    hash, so that the rows ranked in one task are as few for a huge table as for a small one.
+    """
+    counts = rows.groupBy(*groups).count().withColumnsRenamed({g: f"{g}_of" for g in groups})
+    same = [F.col(g) == F.col(f"{g}_of") for g in groups]
+    part = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
+    near = rows.join(F.broadcast(counts), same).filter(part <= F.lit(2.0 * limit + 50) / F.col("count")).select(*rows.columns, part.alias("part_of"))
+    order = Window.partitionBy(*groups).orderBy("part_of", id_col)
+    return near.withColumn("rank_of", F.row_number().over(order)).filter(F.col("rank_of") <= limit).select(*rows.columns)
+
+
 def mark_of(text: str = "text"):
     """A hash that tells rows of one id with different texts apart."""
     return F.xxhash64(F.coalesce(F.col(text), F.lit("")))

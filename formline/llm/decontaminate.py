@@ -159,10 +159,13 @@ def contamination(
         F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).cast("string").alias("text"),
         F.expr("named_struct('n_words', 0L, 'spans', cast(array() as array<struct<first:bigint,last:bigint>>), 'items', cast(array() as array<bigint>))").alias("found"),
     ).select("doc_id", "text", "found.*")
-    for grams in benchmark_slices(benchmark, n, max_windows, item_col, item_text_col):
-        shared = spark.sparkContext.broadcast(grams)
+    slices = benchmark_slices(benchmark, n, max_windows, item_col, item_text_col)
+    grams = next(slices)
+    while grams is not None:
+        shared, grams = spark.sparkContext.broadcast(grams), next(slices, None)
+        with_text = keep_text or grams is not None  # a further pass needs the text again
 
-        def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+        def scan(batches: Iterator[pa.RecordBatch], shared=shared, with_text=with_text) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 lengths, spans, items = [], [], []
                 for raw, old_spans, old_items in zip(raw_texts(batch.column(1)), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
@@ -171,7 +174,7 @@ def contamination(
                     merged = merge_spans([*hit, *((x["first"], x["last"]) for x in old_spans)])
                     spans.append([{"first": a, "last": b} for a, b in merged])
                     items.append(sorted(of | set(old_items)))
-                kept = batch.column(1) if keep_text else pa.nulls(batch.num_rows, pa.string())
+                kept = batch.column(1) if with_text else pa.nulls(batch.num_rows, pa.string())
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), kept, pa.array(lengths, pa.int64()), pa.array(spans, batch.schema.field(3).type), pa.array(items, batch.schema.field(4).type)],
                     names=["doc_id", "text", "n_words", "spans", "items"],

@@ -14,14 +14,15 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import raw_texts, text_pieces
+from formline.llm.common import bounded_sample, raw_texts, text_pieces
 from formline.session import write_and_reload
 
 SAMPLE_PER_LANGUAGE = 600  # rows of a language that the model is fitted on
 CENTROIDS = 3
+LEAST_COSINE = 0.03  # a text further from every centroid is rejected
 _SLOTS = 1 << 16  # hashed trigrams
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 UNKNOWN = "und"
@@ -69,12 +70,9 @@ def nearest(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
     """(lang, text): the rows of each language with the smallest hashes of their id, ``per_language`` at most."""
-    key = F.xxhash64(F.col(id_col))
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    # Whole texts are read only for the rows chosen; Spark keeps the first rows of a language before the shuffle.
-    picked = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), key.alias("key"))
-    order = Window.partitionBy("lang").orderBy("key", "id")
-    ids = picked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_language).select("lang", "id").distinct()
+    # Whole texts are read only for the rows chosen. Their ids are broadcast: per_language at most for each language.
+    ids = bounded_sample(rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), ["lang"], per_language).distinct()
     ids = ids.withColumnsRenamed({"lang": "lang_", "id": "id_"})
     mine = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
     return mine.join(F.broadcast(ids), (F.col("id") == F.col("id_")) & (F.col("lang") == F.col("lang_")), "left_semi").select("lang", "text")
@@ -82,10 +80,11 @@ def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str,
 
 def fit(
     labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text",
-    lang_col: str = "lang",
+    lang_col: str = "lang", least: float = LEAST_COSINE,
 ) -> Model:
     """Fit on at most ``per_language`` rows of each language (rows without text or language are left out).
 
+    A text is rejected below the cosine ``least``, or below half the smallest cosine of the language's sample if that is less.
     Document frequencies are summed by Spark, each language is clustered in a task of its own, and only the model itself
     (slots, weights, a few centroids per language) comes to the driver.
     """
@@ -125,8 +124,8 @@ def fit(
         mine, found = cosine.argmax(axis=1), []
         for c in range(k):
             own = cosine[mine == c, c]
-            # Far below all that the language showed: half of the smallest cosine of its sample.
-            found.append((key[0], centre[c].astype(np.float64).tolist(), float(own.min()) / 2 if len(own) else 0.0))
+            # Far below all that the language showed, and below what a single word of it may have.
+            found.append((key[0], centre[c].astype(np.float64).tolist(), min(least, float(own.min()) / 2) if len(own) else 0.0))
         return pd.DataFrame(found, columns=["lang", "centre", "least"])
 
     rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, least double").collect()
@@ -134,8 +133,8 @@ def fit(
         rows = [{"lang": UNKNOWN, "centre": [0.0] * len(idf), "least": 1.0}]
     rows.sort(key=lambda r: (r["lang"], r["centre"]))
     # A language's texts may lie between its clusters: one bound per language, the smallest.
-    least = {r["lang"]: min(x["least"] for x in rows if x["lang"] == r["lang"]) for r in rows}
-    return Model([r["lang"] for r in rows], slot, idf, np.array([r["centre"] for r in rows]).T.copy(), np.array([least[r["lang"]] for r in rows]))
+    bound = {r["lang"]: min(x["least"] for x in rows if x["lang"] == r["lang"]) for r in rows}
+    return Model([r["lang"] for r in rows], slot, idf, np.array([r["centre"] for r in rows]).T.copy(), np.array([bound[r["lang"]] for r in rows]))
 
 
 def predictor(spark, model: Model):

@@ -15,9 +15,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from formline.llm.common import bounded_sample
 from formline.session import write_and_reload
 
 SLOTS = 1 << 14
@@ -54,8 +55,7 @@ def fit_classifier(
     of their id) are learned from; rows without a domain of the list are left out. A domain without rows gets the smallest prior.
     """
     known = labels.select(F.col(label_id_col).alias("id"), domain.alias("domain")).filter(F.col("domain").isin(*domains) & F.col("id").isNotNull())
-    order = Window.partitionBy("domain").orderBy(F.xxhash64("id"), "id")
-    sample = known.distinct().withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_domain).select("id", "domain")
+    sample = bounded_sample(known.distinct(), ["domain"], per_domain)
     text = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text"))
     # At most per_domain rows a domain: the bound is proven, so the sample is broadcast and the texts stay where they are.
     learned = text.join(F.broadcast(sample), F.col("doc") == F.col("id"))

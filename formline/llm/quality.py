@@ -14,10 +14,10 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import raw_texts
+from formline.llm.common import bounded_sample, raw_texts
 from formline.session import write_and_reload
 
 DICTIONARY_BYTES = 65_536
@@ -88,8 +88,7 @@ def fit(
     """
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("label"), part.alias("part"))
     known = known.filter("id is not null and label in (0, 1) and part in ('dictionary', 'curve')").distinct()
-    order = Window.partitionBy("part", "label").orderBy(F.xxhash64("id"), "id")
-    chosen = known.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= per_label).drop("n")
+    chosen = bounded_sample(known, ["part", "label"], per_label)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     # At most 4 x per_label ids: the bound is proven, so they are broadcast and the texts stay where they are.
     sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "part", "text")
