@@ -176,6 +176,11 @@ class _Expression:
             return Name(value)
         if value in ("true", "false", "none"):
             return Const({"true": True, "false": False, "none": None}[value])
+        if value == "-":
+            number = self.take("const")
+            if not isinstance(number, int):
+                raise TemplateError("a minus stands before a number")
+            return Const(-number)
         if value == "(":
             node = self.either()
             self.take("sign", ")")
