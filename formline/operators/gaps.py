@@ -39,7 +39,8 @@ def gap_scan(
     classed = source.join(done, key, "left").withColumn("present", F.coalesce("__done", F.lit(False))).drop("__done")
     classed = classed.withColumn("gap", F.coalesce("is_finished", F.lit(False)) & ~F.col("present"))
     walked = running(
-        classed, ["season"], [F.desc(when), F.desc(key)], {"island": Running(F.col("gap").cast("int").cast("bigint"))})
+        classed, ["season"], [F.desc(when), F.desc(key)], {"island": Running(F.col("gap").cast("int").cast("bigint"))},
+        block=-F.unix_date(F.col(when).cast("date")))
     ends = (
         walked.groupBy("season", "island").agg(F.count_if("present").alias("__run")).filter(F.col("__run") >= stop_after)
         .groupBy("season").agg(F.min("island").alias("__stop"))

@@ -1,27 +1,19 @@
 """Running aggregates per group that stay balanced when one group is huge.
 
-An ordinary window gives every group to one task. That is the right plan while
-groups are moderate, and Spark then needs a single exchange. A group that holds a
-large share of all rows is instead cut into consecutive blocks: rows are range
-partitioned on (keys, order), each partition is a block, block totals are
-aggregated and accumulated (a few rows per group), and each row adds the total
-of the earlier blocks to its running value inside the block.
+An ordinary window gives every group to one task. Here a group is cut into blocks along its order (weeks, ranges of ids or
+of values): block totals are added up on the map side, a window over the few totals of a group gives what each block
+starts from, and that start joins the block's rows as one more row in front of them. The window over the rows then
+works on a block, not on a group. The plan is the same at every size and has one exchange of the rows.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-from formline.session import write_and_reload
-
-ROWS_PER_TASK = "formline.rowsPerTask"
-DEFAULT_ROWS_PER_TASK = 5_000_000
-SMALL_INPUT_BYTES = 256 * 1024 * 1024
+from pyspark.sql import types as T
 
 
 @dataclass(frozen=True)
@@ -34,38 +26,21 @@ class Running:
     def fold(self, column: Column) -> Column:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](column)
 
-    def combine(self, earlier: Column, here: Column) -> Column:
-        if self.kind == "sum":
-            return F.when(earlier.isNull(), here).when(here.isNull(), earlier).otherwise(earlier + here)
-        return {"min": F.least, "max": F.greatest}[self.kind](earlier, here)
-
-
-def rows_per_task(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get(ROWS_PER_TASK, str(DEFAULT_ROWS_PER_TASK)))
 
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Spark's size estimate of the analysed plan (joins count as products), or None if it is not exposed."""
-    try:
-        return int(str(df._jdf.queryExecution().analyzed().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def huge_groups(df: DataFrame, keys: Sequence[str]) -> DataFrame | None:
-    """Groups with more rows than one task should take, with their row counts; None if there are none.
-
-    Inputs that are small as a whole are not counted at all. There are at most
-    ``rows / rows_per_task`` huge groups, so the result is small by construction.
-    """
-    limit = rows_per_task(df)
-    if limit >= DEFAULT_ROWS_PER_TASK:
-        size = estimated_bytes(df)
-        if size is not None and size <= SMALL_INPUT_BYTES:
-            return None
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__rows")).filter(F.col("__rows") > limit)
-    kept = write_and_reload(counted, "huge-groups")
-    return None if kept.isEmpty() else kept
+def block_of(df: DataFrame, name: str) -> Column:
+    """A coarser value of column ``name`` that never falls while the column rises; it depends on the type alone."""
+    kind, c = df.schema[name].dataType, F.col(name)
+    if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return F.trunc(c, "week")
+    if isinstance(kind, T.IntegralType):
+        return F.shiftright(c.cast("bigint"), 6)
+    if isinstance(kind, (T.FractionalType, T.DecimalType)):
+        size = F.floor(F.log2(F.abs(c)) * 1024)  # 1024 blocks for each doubling
+        sign = F.when(F.isnan(c), 2).otherwise(F.signum(c).cast("int"))
+        return F.when(c.isNotNull(), F.struct(sign.alias("sign"), F.when(sign == 1, size).when(sign == -1, -size).alias("size")))
+    if isinstance(kind, T.StringType):
+        return F.substring(c, 1, 8)
+    return c
 
 
 def running(
@@ -74,50 +49,26 @@ def running(
     order: Sequence[str | Column],
     aggregates: dict[str, Running],
     inclusive: bool = True,
+    block: Column | None = None,
 ) -> DataFrame:
     """Add running aggregates over each group of ``keys`` in ``order`` (which must be unique in a group).
 
-    With ``inclusive=False`` a row sees only the rows before it. No keys means
-    one group, the whole input.
+    With ``inclusive=False`` a row sees only the rows before it. No keys means one group, the whole input. ``block`` must not
+    fall along ``order``; by default it is a coarser value of the first order column, which is then given by name.
     """
     keys, order = list(keys), list(order)
-    last = 0 if inclusive else -1
-    huge = huge_groups(df, keys)
-    if huge is None:
-        return _windowed(df, keys, order, aggregates, last)
-
-    names = huge.select(*keys)
-    crowded = df.join(names, keys, "left_semi") if keys else df
-    blocks = max(2, math.ceil(huge.agg(F.sum("__rows")).first()[0] / rows_per_task(df)))
+    block = block_of(df, order[0]) if block is None else block
     inputs = {f"__in_{name}": agg.value for name, agg in aggregates.items()}
-    spread = (
-        crowded.withColumns(inputs)
-        .repartitionByRange(blocks, *keys, *order)
-        .withColumn("__block", F.spark_partition_id())
-    )
-    # Block numbers exist only in this physical layout, so they are written down once.
-    spread = write_and_reload(spread, "running-blocks")
-    totals = spread.groupBy(*keys, "__block").agg(
-        *[agg.fold(F.col(f"__in_{name}")).alias(f"__tot_{name}") for name, agg in aggregates.items()]
-    )
+    rows = df.withColumns({"__block": block, "__row": F.lit(1), **inputs})
+    totals = rows.groupBy(*keys, "__block").agg(*[agg.fold(F.col(f"__in_{name}")).alias(f"__in_{name}") for name, agg in aggregates.items()])
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
-    carried = totals.select(
-        *keys, "__block",
-        *[agg.fold(F.col(f"__tot_{name}")).over(earlier).alias(f"__pre_{name}") for name, agg in aggregates.items()],
+    starts = totals.select(
+        *keys, "__block", F.lit(0).alias("__row"), *[agg.fold(F.col(f"__in_{name}")).over(earlier).alias(f"__in_{name}") for name, agg in aggregates.items()]
     )
-    local = {name: Running(F.col(f"__in_{name}"), agg.kind) for name, agg in aggregates.items()}
-    inside = _windowed(spread, keys + ["__block"], order, local, last)
-    joined = inside.join(carried, keys + ["__block"]).withColumns(
-        {name: agg.combine(F.col(f"__pre_{name}"), F.col(name)) for name, agg in aggregates.items()}
-    )
-    helper = [c for c in joined.columns if c.startswith(("__in_", "__pre_", "__block"))]
-    balanced = joined.drop(*helper)
-    if not keys:
-        return balanced
-    ordinary = df.join(names, keys, "left_anti")
-    return _windowed(ordinary, keys, order, aggregates, last).unionByName(balanced)
-
-
-def _windowed(df, keys, order, aggregates, last) -> DataFrame:
-    frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, last)
-    return df.withColumns({name: agg.fold(agg.value).over(frame) for name, agg in aggregates.items()})
+    # The sum of sums is wider than the summed column.
+    wide = {f.name: f.dataType for f in starts.schema.fields if f.name.startswith("__in_")}
+    rows = rows.withColumns({name: F.col(name).cast(kind) for name, kind in wide.items()})
+    frame = Window.partitionBy(*keys, "__block").orderBy("__row", *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    whole = rows.unionByName(starts, allowMissingColumns=True)
+    folded = whole.withColumns({name: agg.fold(F.col(f"__in_{name}")).over(frame) for name, agg in aggregates.items()})
+    return folded.filter("__row = 1").drop("__block", "__row", *inputs)

@@ -94,7 +94,7 @@ def temporal_split(rows: DataFrame, when: str = "game_date", tie: str = "game_id
     into; only the rows of that day are then numbered.
     """
     days = rows.groupBy(when).agg(F.count(F.lit(1)).alias("__n"))
-    upto = running(days, [], [when], {"__before": Running(F.col("__n"))}, inclusive=False)
+    upto = running(days, [], [when], {"__before": Running(F.col("__n"))}, inclusive=False, block=F.trunc(when, "year"))
     total = days.agg(F.sum("__n").alias("t")).scalar()
     cut = F.floor(total * F.lit(share))
     before = F.coalesce("__before", F.lit(0).cast("bigint"))

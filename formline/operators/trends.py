@@ -8,7 +8,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.operators.running import huge_groups
 from formline.operators.zscore import (
     DEFAULT_FEATURES,
     MIN_BASELINE_ROWS,
@@ -46,16 +45,13 @@ def last_days(lines: DataFrame, keys: Keys = Keys()) -> DataFrame:
 
 
 def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys) -> DataFrame:
-    """(entity, period, day) with the addends of the sums.
+    """(entity, period, day) with the addends of the sums, row by row.
 
-    With huge entities the rows of a day are added up first, so that an entity
-    never brings more rows than days to the join with its reference day.
+    The join with the reference day is an inner join on the entity: Spark splits the rows of a huge entity, and the
+    aggregation after it combines on the map side.
     """
     inputs = baseline_inputs(features, keys) | {"played": f"if({keys.seconds} > 0, 1L, null)"}
-    group = [keys.entity, keys.period, keys.when]
-    if huge_groups(lines, [keys.entity]) is None:
-        return lines.select(*group, *[F.expr(c).alias(name) for name, c in inputs.items()])
-    return lines.groupBy(*group).agg(*[F.expr(f"sum({c})").alias(name) for name, c in inputs.items()])
+    return lines.select(keys.entity, keys.period, keys.when, *[F.expr(c).alias(name) for name, c in inputs.items()])
 
 
 def trend_scores(

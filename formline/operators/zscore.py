@@ -128,16 +128,13 @@ def season_states(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATUR
 
 
 def expanding_state(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys()) -> DataFrame:
-    """Every row with the sums of the rows before it in its (entity, period).
+    """Every row with the sums of the rows before it in its (entity, period), and the entity's first period.
 
-    Both running steps need rows of an entity together and in time order, so
-    Spark plans one exchange and one sort for them.
+    Rows are exchanged once, by (entity, period, week): an entity with a large share of all rows is spread over its weeks.
     """
     played = F.col(keys.seconds) > 0
-    seen = running(
-        lines, [keys.entity], [keys.period, keys.when, keys.tie],
-        {"first_period": Running(F.col(keys.period), "min")}, inclusive=False,
-    )
+    first = lines.groupBy(keys.entity).agg(F.min(keys.period).alias("first_period"))
+    seen = lines.join(first, keys.entity, "left")
     aggregates = {
         "games_before": Running(F.when(played, F.lit(1).cast("bigint"))),
         "first_day": Running(F.when(played, F.col(keys.when)), "min"),

@@ -24,14 +24,6 @@ def sf() -> str:
     return SF
 
 
-@pytest.fixture()
-def small_tasks(spark):
-    """Make every group of more than 20 rows a huge one."""
-    spark.conf.set("formline.rowsPerTask", "20")
-    yield
-    spark.conf.unset("formline.rowsPerTask")
-
-
 def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
 

@@ -2,11 +2,14 @@ from __future__ import annotations
 
 import math
 import random
+import re
 from datetime import date, timedelta
+from decimal import Decimal
 
 import pytest
 from conftest import line, lines_df, rows
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formline.operators import streaks, trends, zscore
@@ -89,26 +92,54 @@ def test_scores_against_brute_force(spark):
     check_scores(spark, random_lines())
 
 
-def test_scores_with_huge_groups(spark, small_tasks):
-    check_scores(spark, random_lines())
+def test_scores_of_an_entity_with_nine_tenths_of_the_rows(spark):
+    items = random_lines(seed=21)
+    for n, r in enumerate(items):
+        if n % 10:
+            r["player_id"] = 1
+    check_scores(spark, list({(r["player_id"], r["game_date"], r["game_id"]): r for r in items}.values()))
+
+
+ORDERS = {
+    "int": lambda i: i - 300, "double": lambda i: (i - 300) * 1.7 / (1 + abs(i - 300) % 5), "string": lambda i: f"{i * 37:09d}"[: 9 - i % 2], "date": lambda i: START + timedelta(days=i),
+    "decimal(9,2)": lambda i: Decimal(i - 300) / 4,
+}
 
 
-def test_running_is_the_same_for_huge_groups(spark):
+@pytest.mark.parametrize("kind", ORDERS)
+def test_running_equals_a_plain_window(spark, kind):
+    """One key holds nine tenths of the rows, and keys and values may be null; orders of every type are cut into blocks."""
     rnd = random.Random(5)
-    data = [(1 if rnd.random() < 0.4 else rnd.randint(2, 9), i, rnd.choice([None, 1, 2, 7])) for i in range(600)]
-    df = spark.createDataFrame(data, "k int, o int, v bigint")
+    places = sorted({ORDERS[kind](i) for i in range(600)})
+    data = [(rnd.choice([None, 2, 3]) if n % 10 == 0 else 1, o, rnd.choice([None, 1, 2, 7])) for n, o in enumerate(places)]
+    rnd.shuffle(data)
+    df = spark.createDataFrame(data, f"k int, o {kind}, v bigint")
     aggs = {"s": Running(F.col("v")), "lo": Running(F.col("v"), "min"), "hi": Running(F.col("v"), "max")}
     for keys in (["k"], []):
         for inclusive in (True, False):
-            plain = rows(running(df, keys, ["o"], aggs, inclusive), "o")
-            spark.conf.set("formline.rowsPerTask", "25")
-            try:
-                balanced = rows(running(df, keys, [F.col("o")], aggs, inclusive), "o")
-                falling = running(df, keys, [F.desc("o")], aggs, inclusive)
-                assert falling.count() == 600
-            finally:
-                spark.conf.unset("formline.rowsPerTask")
-            assert plain == balanced
+            frame = Window.partitionBy(*keys).orderBy("o").rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+            want = df.withColumns({name: agg.fold(agg.value).over(frame) for name, agg in aggs.items()})
+            got = running(df, keys, ["o"], aggs, inclusive)
+            assert got.columns == want.columns and rows(got, "o") == rows(want, "o")
+    falling = Window.partitionBy("k").orderBy(F.desc("o"))
+    if kind == "int":
+        got = running(df, ["k"], [F.desc("o")], {"s": aggs["s"]}, block=-F.shiftright("o", 6))
+        assert rows(got, "o") == rows(df.withColumn("s", F.sum("v").over(falling.rowsBetween(Window.unboundedPreceding, 0))), "o")
+
+
+def shape(df):
+    plan = df._jdf.queryExecution().sparkPlan().toString()
+    return re.findall(r"[A-Z][A-Za-z]+(?= |$)", re.sub(r"#\d+L?|\d+", "", plan))
+
+
+def test_the_plan_does_not_depend_on_the_size_and_building_it_runs_no_job(spark):
+    few, many = (lines_df(spark, random_lines(seed=3)[:n]) for n in (5, 400))
+    tracker = spark.sparkContext.statusTracker()
+    before = set(tracker.getJobIdsForGroup(None))
+    frames = [[zscore.zscore_outliers(x), streaks.islands(streaks.streak_rows(x)), trends.trend_scores(x)] for x in (few, many)]
+    assert set(tracker.getJobIdsForGroup(None)) == before
+    for a, b in zip(*frames):
+        assert shape(a) == shape(b)
 
 
 def test_low_value_is_no_crisis_and_turnovers_are_bad(spark):
@@ -149,16 +180,6 @@ def test_trend_window_edges(spark):
     assert trends.trend_scores(lines_df(spark, only_one), windows=[trends.WEEK]).count() == 0
 
 
-def test_trends_are_the_same_for_huge_groups(spark):
-    lines = lines_df(spark, random_lines(seed=14))
-    plain = rows(trends.trend_scores(lines))
-    spark.conf.set("formline.rowsPerTask", "20")
-    try:
-        assert rows(trends.trend_scores(lines)) == plain and plain
-    finally:
-        spark.conf.unset("formline.rowsPerTask")
-
-
 def brute_streaks(items, active):
     marks = {
         "pts_20": lambda r: r["pts"] >= 20, "pts_30": lambda r: r["pts"] >= 30, "pts_40": lambda r: r["pts"] >= 40,
@@ -198,8 +219,12 @@ def test_streaks_against_brute_force(spark):
     check_streaks(spark, random_lines(seed=8))
 
 
-def test_streaks_with_huge_groups(spark, small_tasks):
-    check_streaks(spark, random_lines(seed=8))
+def test_streaks_of_an_entity_with_nine_tenths_of_the_rows(spark):
+    items = random_lines(seed=9)
+    for n, r in enumerate(items):
+        if n % 10:
+            r["player_id"] = 1
+    check_streaks(spark, list({(r["player_id"], r["game_date"], r["game_id"]): r for r in items}.values()))
 
 
 def test_open_streak_needs_the_last_row(spark):
@@ -250,7 +275,7 @@ def test_ties_of_records(spark):
     assert record["player_id"] == 4
 
 
-def test_running_badges(spark, small_tasks):
+def test_running_badges(spark):
     items = [line(i, 1, START + timedelta(days=i), 25) for i in range(4)] + [line(50 + i, 2, START + timedelta(days=10 + i), 25) for i in range(3)]
     got = streaks.running_badges(streaks.streak_rows(lines_df(spark, items))).filter("streak_type = 'pts_20'").orderBy("player_id").collect()
     # Player 1 at its second game; player 2 needs 70 percent of the record of 4, again 2.
@@ -264,7 +289,8 @@ def exchanges(df):
     return final.count("Exchange hashpartitioning")
 
 
-def test_plans_share_one_exchange(spark, sf):
+def test_rows_are_exchanged_once_by_block(spark, sf):
     lines = L.form_lines(spark, sf)
-    assert exchanges(zscore.zscore_outliers(lines)) == 1
-    assert exchanges(streaks.islands(streaks.streak_rows(lines))) == 1
+    # The rows; the block totals twice; the first periods. For the runs: rows, totals twice, partly aggregated runs.
+    assert exchanges(zscore.zscore_outliers(lines)) == 4
+    assert exchanges(streaks.islands(streaks.streak_rows(lines))) == 4

@@ -234,19 +234,13 @@ def brute_gap(listed):
     return sorted(kept)
 
 
-@pytest.mark.parametrize("limit", [None, "9"])
-def test_gap_scan_against_the_walk(spark, limit):
+def test_gap_scan_against_the_walk(spark):
     for seed in range(4):
         rnd = random.Random(seed)
         listed = [(f"{i:03d}", date(2024, 1, 1) + timedelta(days=i // 2), rnd.random() < 0.8, rnd.random() < 0.55) for i in range(60)]
         source = spark.createDataFrame([(i, d, "2023-24", f) for i, d, f, _ in listed], "id string, date date, season string, is_finished boolean")
         stored = spark.createDataFrame([game(i, 1, 2, 1, d, status=3 if there else 2) for i, d, _, there in listed], GAMES)
-        if limit:
-            spark.conf.set("formline.rowsPerTask", limit)
-        try:
-            got = sorted(r["id"] for r in gaps.gap_scan(source, stored, "2024-12-01").collect())
-        finally:
-            spark.conf.unset("formline.rowsPerTask")
+        got = sorted(r["id"] for r in gaps.gap_scan(source, stored, "2024-12-01").collect())
         assert got == brute_gap(listed)
 
 

@@ -62,16 +62,10 @@ def test_season_weights(spark):
     assert scoring.season_weights(df.filter("season = 'x'")).count() == 0
 
 
-@pytest.mark.parametrize("limit", [None, "15"])
-def test_temporal_split(spark, limit):
+def test_temporal_split(spark):
     rnd = random.Random(2)
     data = [(i, date(2024, 1, 1) + timedelta(days=rnd.choice([1, 1, 1, 1, 5, 6, 9]))) for i in range(103)]
-    if limit:
-        spark.conf.set("formline.rowsPerTask", limit)
-    try:
-        got = scoring.temporal_split(spark.createDataFrame(data, "game_id bigint, game_date date")).collect()
-    finally:
-        spark.conf.unset("formline.rowsPerTask")
+    got = scoring.temporal_split(spark.createDataFrame(data, "game_id bigint, game_date date")).collect()
     order = sorted(data, key=lambda r: (r[1], r[0]))
     assert {r["game_id"] for r in got if r["is_train"]} == {i for i, _ in order[:int(103 * 0.8)]} and len(got) == 103
 
@@ -104,20 +98,14 @@ def test_model_selection_weights_and_storage(spark, tmp_path):
         scoring.fit_reconstruction(df.filter("id < 0"))
 
 
-@pytest.mark.parametrize("limit", [None, "10"])
-def test_percentiles_and_quantile(spark, limit):
+def test_percentiles_and_quantile(spark):
     rnd = random.Random(4)
     train = [float(rnd.choice([0, 0, 0, 1, 2, 3, 5, 8])) for _ in range(90)] + [float(i) / 7 for i in range(40)]
     scored = [0.0, 0.5, 1.0, 9.0, -1.0, 2.0, 2.0]
     t = spark.createDataFrame([(e,) for e in train], "error double")
     s = spark.createDataFrame(list(enumerate(scored)), "id int, error double")
-    if limit:
-        spark.conf.set("formline.rowsPerTask", limit)
-    try:
-        got = [r["percentile"] for r in scoring.error_percentiles(t, s).orderBy("id").collect()]
-        quantiles = [scoring.quantile(t, q).first()[0] for q in (0.0, 0.5, 0.99, 1.0)]
-    finally:
-        spark.conf.unset("formline.rowsPerTask")
+    got = [r["percentile"] for r in scoring.error_percentiles(t, s).orderBy("id").collect()]
+    quantiles = [scoring.quantile(t, q).first()[0] for q in (0.0, 0.5, 0.99, 1.0)]
     assert got == pytest.approx([100 * np.mean(np.array(train) < e) for e in scored])
     assert quantiles == pytest.approx([np.percentile(train, 100 * q) for q in (0.0, 0.5, 0.99, 1.0)])
 
