@@ -127,13 +127,16 @@ def season_states(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATUR
     )
 
 
-def expanding_state(lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys()) -> DataFrame:
+def expanding_state(
+    lines: DataFrame, features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys(), first: DataFrame | None = None
+) -> DataFrame:
     """Every row with the sums of the rows before it in its (entity, period), and the entity's first period.
 
-    Rows are exchanged once, by (entity, period, week): an entity with a large share of all rows is spread over its weeks.
+    ``first`` gives (entity, first_period) where ``lines`` are only some periods. Rows are exchanged once, by (entity, period, week): an entity with a large share of all rows is spread over its weeks.
     """
     played = F.col(keys.seconds) > 0
-    first = lines.groupBy(keys.entity).agg(F.min(keys.period).alias("first_period"))
+    if first is None:
+        first = lines.groupBy(keys.entity).agg(F.min(keys.period).alias("first_period"))
     seen = lines.join(first, keys.entity, "left")
     aggregates = {
         "games_before": Running(F.when(played, F.lit(1).cast("bigint"))),

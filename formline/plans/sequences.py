@@ -151,17 +151,24 @@ _register_trend("trend_week", trends.WEEK)
 _register_trend("trend_month", trends.MONTH)
 
 
-@query("trend_outliers", sql(f"""
+TREND_OUTLIERS = sql(f"""
     SELECT player_id, window_type, reference_date, games_in_window, games_in_baseline, top AS size, features FROM (
         SELECT *, greatest({", ".join(f"CASE WHEN abs(z_{f.name}) > 2 THEN abs(z_{f.name}) END" for f in FEATURES)}) AS top,
                concat_ws(',', {", ".join(f"CASE WHEN abs(z_{f.name}) > 2 THEN '{f.name}' END" for f in FEATURES)}) AS features
-        FROM ({_trend_rows("week", 7, 2)} UNION ALL {_trend_rows("month", 30, 5)})) WHERE top IS NOT NULL""", "form_lines", extra=_TRENDS))
-def trend_outliers(spark, sf):
-    return trends.trend_outliers(L.form_lines(spark, sf)).select(
+        FROM ({_trend_rows("week", 7, 2)} UNION ALL {_trend_rows("month", 30, 5)})) WHERE top IS NOT NULL""", "form_lines", extra=_TRENDS)
+
+
+def flat_trends(found):
+    return found.select(
         "player_id", "window_type", "reference_date", "games_in_window", "games_in_baseline",
         F.abs("max_z_score").alias("size"), F.map_keys("z_scores").alias("features"))
 
 
+@query("trend_outliers", TREND_OUTLIERS)
+def trend_outliers(spark, sf):
+    return flat_trends(trends.trend_outliers(L.form_lines(spark, sf)))
+
+
 # ---- streaks --------------------------------------------------------------------------------
 
 _TENS = "(pts >= 10)::INT + (reb >= 10)::INT + (ast >= 10)::INT + (stl >= 10)::INT + (blk >= 10)::INT"

@@ -25,6 +25,16 @@ class DeltaFolder:
     def batch(self, batch: int) -> DataFrame:
         return self.spark.read.schema(self.schema).parquet(f"{self.path}/batch={batch}")
 
+    def drop(self, before: int) -> None:
+        """Delete the folders of the batches before one."""
+        jvm, conf = self.spark.sparkContext._jvm, self.spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(conf)
+        for status in files.listStatus(root) if files.exists(root) else []:
+            name = status.getPath().getName()
+            if name.startswith("batch=") and int(name[6:]) < before:
+                files.delete(status.getPath(), True)
+
     def rows(self, before: int | None = None) -> DataFrame:
         """All rows, or those of the batches before one, with their batch number."""
         try:
@@ -56,5 +66,8 @@ class MergedState:
 
     def add(self, df: DataFrame, batch: int) -> None:
         self.deltas.write(df, batch)
-        if batch and batch % COMPACT_EVERY == 0:
+        if batch > 0 and batch % COMPACT_EVERY == 0:
             self.bases.write(self.current(batch + 1).drop("batch"), batch)
+            # A retry of this batch starts from the base before it; what that base holds is of no more use.
+            self.deltas.drop(batch - COMPACT_EVERY + 1)
+            self.bases.drop(batch - COMPACT_EVERY)

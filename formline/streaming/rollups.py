@@ -1,4 +1,7 @@
-"""Season rollups kept current: each batch recomputes the seasons it touches."""
+"""Season rollups kept current: each batch recomputes the seasons it touches.
+
+A row delivered again, in the same batch or a later one, replaces its earlier delivery.
+"""
 
 from __future__ import annotations
 
@@ -12,17 +15,19 @@ from formline.sources.sinks import replace_periods
 class RollupStream:
     """Lines stored by season and batch, rollups stored by season."""
 
-    def __init__(self, spark: SparkSession, root: str, lines_schema: str):
-        self.spark, self.schema = spark, lines_schema
+    def __init__(self, spark: SparkSession, root: str, lines_schema: str, row_id: str = "id"):
+        self.spark, self.schema, self.row_id = spark, lines_schema, row_id
         self.lines_path, self.rollup_path = f"{root}/lines", f"{root}/rollups"
 
     def process(self, batch: DataFrame, number: int) -> None:
         # Dynamic overwrite of (season, batch) makes a repeated batch replace itself.
         batch.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
             "season", "batch").parquet(self.lines_path)
-        stored = self.spark.read.parquet(self.lines_path).drop("batch")
+        stored = self.spark.read.parquet(self.lines_path)
         touched = batch.select("season").distinct()
-        rows = stored.join(touched, "season", "left_semi")
+        columns = [c for c in stored.columns if c != "batch"]
+        latest = F.max_by(F.struct(*columns), F.struct("batch", F.xxhash64(*columns)))
+        rows = stored.join(touched, "season", "left_semi").groupBy("season", self.row_id).agg(latest.alias("r")).select("r.*")
         replace_periods(season_rollup(rows), self.rollup_path)
 
     def rollups(self) -> DataFrame:

@@ -1,58 +1,80 @@
-"""Incremental streaks: one open run per (entity, type, competition), closed runs appended."""
+"""Incremental streaks: one open run per (entity, type, competition), closed runs appended, late rows run again."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.operators.streaks import COMPETITIONS, last_rows, streak_rows
+from formline.operators.streaks import COMPETITIONS, criteria, last_rows, streak_rows
 from formline.operators.zscore import Keys
 from formline.streaming.deltas import DeltaFolder, MergedState
+from formline.streaming.lines import BUCKETS, LineStore
 
-_PLACE = "struct<day:date,game:bigint>"
+HISTORY = -1  # the batch number of a bootstrap
 
 
 class StreakStream:
-    """Detector with its tables below ``root``: lines (with a late mark), runs of each batch, open runs, last rows."""
+    """Detector with its tables below ``root``: lines, runs of each batch, open runs, last rows, restarts.
+
+    Rows after the entity's last row extend, break or freeze its open runs. A late row, or a corrected one, may change any
+    run of its entity: the entity is then run again from its stored lines, and the runs of earlier batches no longer count.
+    """
 
-    def __init__(self, spark: SparkSession, root: str, lines_schema: str, keys: Keys = Keys()):
-        self.spark, self.keys = spark, keys
-        key = f"{keys.entity} bigint, streak_type string, competition_type string"
-        self.lines = DeltaFolder(spark, f"{root}/lines", f"{lines_schema}, late boolean")
-        self.runs = DeltaFolder(spark, f"{root}/runs", f"{key}, length bigint, first {_PLACE}, last {_PLACE}, broken_on date")
-        self.open = MergedState(spark, f"{root}/open", f"{key}, length bigint, first {_PLACE}, last {_PLACE}", self._latest)
-        self.finals = MergedState(spark, f"{root}/finals", f"{keys.entity} bigint, competition_type string, final {_PLACE}", self._last_rows)
-        self.seen = MergedState(spark, f"{root}/seen", f"{keys.entity} bigint, final {_PLACE}", self._last_seen)
+    def __init__(
+        self, spark: SparkSession, root: str, lines_schema: str, keys: Keys = Keys(), rules: Callable[[], dict[str, Column]] = criteria,
+        competitions: dict[str, str] = COMPETITIONS, buckets: int = BUCKETS,
+    ):
+        self.spark, self.keys, self.rules, self.competitions = spark, keys, rules, competitions
+        kinds = dict(spark.createDataFrame([], lines_schema).dtypes)
+        entity, place = f"{keys.entity} {kinds[keys.entity]}", f"struct<day:{kinds[keys.when]},game:{kinds[keys.tie]}>"
+        key = f"{entity}, streak_type string, competition_type string"
+        self.lines = LineStore(spark, f"{root}/lines", lines_schema, keys, buckets)
+        self.runs = DeltaFolder(spark, f"{root}/runs", f"{key}, length bigint, first {place}, last {place}, broken_on {kinds[keys.when]}")
+        self.restarts = DeltaFolder(spark, f"{root}/restarts", entity)
+        self.open = MergedState(spark, f"{root}/open", f"{key}, length bigint, first {place}, last {place}", self._latest)
+        self.finals = MergedState(spark, f"{root}/finals", f"{entity}, competition_type string, final {place}", self._newest_finals)
 
     def _latest(self, rows: DataFrame) -> DataFrame:
         group = [self.keys.entity, "streak_type", "competition_type"]
         return rows.groupBy(*group).agg(F.max_by(F.struct("length", "first", "last"), "batch").alias("r")).select(*group, "r.*")
 
-    def _last_rows(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(self.keys.entity, "competition_type").agg(F.max("final").alias("final"))
+    def _newest_finals(self, rows: DataFrame) -> DataFrame:
+        return rows.groupBy(self.keys.entity, "competition_type").agg(F.max_by("final", F.col("batch")).alias("final"))
 
-    def _last_seen(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(self.keys.entity).agg(F.max("final").alias("final"))
+    def bootstrap(self, history: DataFrame) -> bool:
+        """Load history into an empty detector, before its first batch; a detector that has lines is left as it is."""
+        if not self.lines.is_empty():
+            return False
+        self.process(history, HISTORY)
+        return True
 
     def process(self, batch: DataFrame, number: int) -> None:
-        """Extend, start, break or freeze runs. Repeated and late rows are kept, marked late, and change nothing."""
         k = self.keys
-        here = F.struct(F.col(k.when).alias("day"), F.col(k.tie).cast("bigint").alias("game"))
-        entities = batch.select(k.entity).distinct()
-        seen = self.seen.current(number, entities).withColumnRenamed("final", "__last")
-        placed = batch.dropDuplicates([k.row_id]).join(seen, k.entity, "left").withColumn(
-            "late", F.coalesce(here <= F.col("__last"), F.lit(False)))
-        self.lines.write(placed.select(*batch.columns, "late"), number)
-        fresh = self.lines.batch(number).filter("not late").drop("late")
+        here = F.struct(F.col(k.when).alias("day"), F.col(k.tie).alias("game"))
+        self.lines.write(batch, number)
+        fresh = self.lines.batch(number)
+        entities = fresh.select(k.entity).distinct()
+        content = F.xxhash64(*self.lines.columns)
+        before = self.lines.deliveries(entities, number - 1)
+        last = before.groupBy(k.entity).agg(F.max(here).alias("__last"))
+        old = self.lines.latest(before).select(F.col(k.row_id).alias("__id"), content.alias("__content"))
+        placed = fresh.join(last, k.entity, "left").join(old, F.col(k.row_id) == F.col("__id"), "left")
+        placed = placed.filter(F.col("__content").isNull() | (F.col("__content") != content))  # delivered again as it was: nothing new
+        late = placed.filter(F.col("__id").isNotNull() | F.coalesce(here <= F.col("__last"), F.lit(False))).select(k.entity).distinct()
+        self.restarts.write(late, number)
+        late = self.restarts.batch(number)
+        anew = self.lines.rows(late, number)
+        fresh = placed.join(late, k.entity, "left_anti").select(*self.lines.columns).unionByName(anew.select(*self.lines.columns))
 
         group = [k.entity, "streak_type", "competition_type"]
-        place = F.struct(F.col(k.when).alias("day"), F.col(k.tie).cast("bigint").alias("game"))
-        met = F.col("met")
-        runs = streak_rows(fresh, keys=k).groupBy(*group, "island").agg(
+        met, place = F.col("met"), here
+        runs = streak_rows(fresh, self.rules(), self.competitions, k).groupBy(*group, "island").agg(
             F.count_if(met).alias("length"), F.min(F.when(met, place)).alias("first"), F.max(F.when(met, place)).alias("last"),
             F.min(F.when(~met, F.col(k.when))).alias("broken_on"))
         # The first run of a batch continues the open run, if there is one.
-        before = self.open.current(number, entities).filter("length > 0").select(
+        before = self.open.current(number, entities).filter("length > 0").join(late, k.entity, "left_anti").select(
             *group, F.lit(0).cast("bigint").alias("island"), F.col("length").alias("__n"), F.col("first").alias("__first"), F.col("last").alias("__last"))
         joined = runs.join(before, [*group, "island"], "left").select(
             *group, (F.col("length") + F.coalesce("__n", F.lit(0))).alias("length"), F.coalesce("__first", "first").alias("first"),
@@ -60,10 +82,15 @@ class StreakStream:
         self.runs.write(joined, number)
         still_open = self.runs.batch(number).groupBy(*group).agg(
             F.max(F.when(F.col("broken_on").isNull(), F.struct("length", "first", "last"))).alias("r"))
-        self.open.add(still_open.select(
-            *group, F.coalesce("r.length", F.lit(0)).cast("bigint").alias("length"), "r.first", "r.last"), number)
-        self.finals.add(last_rows(fresh, COMPETITIONS, k), number)
-        self.seen.add(fresh.groupBy(k.entity).agg(F.max(here).alias("final")), number)
+        now = still_open.select(*group, F.coalesce("r.length", F.lit(0)).cast("bigint").alias("length"), "r.first", "r.last")
+        # A run that a correction took away is no longer open.
+        gone = self.open.current(number, entities).join(late, k.entity, "left_semi").withColumns(
+            {"length": F.lit(0).cast("bigint"), "first": F.lit(None).cast(now.schema["first"].dataType), "last": F.lit(None).cast(now.schema["last"].dataType)})
+        both = now.unionByName(gone).groupBy(*group).agg(F.max(F.struct("length", "first", "last")).alias("r")).select(*group, "r.*")
+        self.open.add(both, number)
+        finals = last_rows(fresh, self.competitions, k)
+        earlier = self.finals.current(number, entities).join(late, k.entity, "left_anti")
+        self.finals.add(finals.unionByName(earlier).groupBy(k.entity, "competition_type").agg(F.max("final").alias("final")), number)
 
     def streaks(self, active: DataFrame) -> DataFrame:
         """All streaks so far, in the form of the batch operator."""
@@ -79,7 +106,9 @@ class StreakStream:
                     F.when(~F.col("is_active"), F.col("last.day")).alias("ended_at"),
                     F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
         )
-        done = self.runs.rows().filter("broken_on is not null and length > 0").select(
+        restarted = self.restarts.rows().groupBy(k.entity).agg(F.max("batch").alias("__since"))
+        counted = self.runs.rows().join(restarted, k.entity, "left").filter("__since is null or batch >= __since")
+        done = counted.filter("broken_on is not null and length > 0").select(
             *group, "length", F.lit(False).alias("is_active"), F.col("first.day").alias("started_at"), F.col("broken_on").alias("ended_at"),
             F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
         return done.unionByName(running_now)

@@ -1,8 +1,9 @@
-"""Incremental Z-scores: score new rows against stored sums, then add them to the sums.
+"""Incremental Z-scores and trends, equal to the batch operators whatever the order of delivery.
 
-Every micro-batch is an ordinary DataFrame job: running sums inside the batch
-plus the sums of earlier batches. Busy entities are therefore spread over tasks
-just as in the batch operator, and no row goes through Python.
+Every micro-batch is an ordinary DataFrame job. Its rows are stored; the (entity, period) pairs that they touch are scored
+again from the stored lines of those pairs, and the new result replaces the earlier one. So a row delivered twice
+counts once, a corrected row replaces the old one, and a late row changes the scores after it, as in the batch operator.
+A batch reads the lines of its own entities and periods, not the history.
 """
 
 from __future__ import annotations
@@ -13,101 +14,76 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from formline.operators import trends
-from formline.operators.zscore import (
-    DEFAULT_FEATURES,
-    Z_THRESHOLD,
-    Feature,
-    Keys,
-    add_scores,
-    baseline_inputs,
-    expanding_state,
-    outliers_of,
-)
-from formline.streaming.deltas import DeltaFolder, MergedState
+from formline.operators.zscore import DEFAULT_FEATURES, Z_THRESHOLD, Feature, Keys, add_scores, expanding_state, outliers_of
+from formline.streaming.deltas import DeltaFolder
+from formline.streaming.lines import BUCKETS, LineStore
 
-TREND_REACH_DAYS = 366
+HISTORY = -1  # the batch number of a bootstrap
 
 
 class ZScoreStream:
-    """Detector with its tables below ``root``: lines (with a late mark), state, outliers, trends."""
+    """Detector with its tables below ``root``: lines, touched pairs, outliers, trends."""
 
     def __init__(
         self, spark: SparkSession, root: str, lines_schema: str,
-        features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys(), threshold: float = Z_THRESHOLD, with_trends: bool = True,
+        features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys(), threshold: float = Z_THRESHOLD, with_trends: bool = True, buckets: int = BUCKETS,
     ):
         self.spark, self.features, self.keys, self.threshold, self.with_trends = spark, list(features), keys, threshold, with_trends
-        sums = {name: ("decimal(38,0)" if name.endswith("_q") else "bigint") for name in baseline_inputs(self.features, keys)}
-        self.sums = sums
-        state_schema = (
-            f"{keys.entity} bigint, {keys.period} string, games bigint, first_day date, last_day date, last_tie bigint, "
-            + ", ".join(f"{n} {t}" for n, t in sums.items())
-        )
-        self.lines = DeltaFolder(spark, f"{root}/lines", f"{lines_schema}, late boolean")
-        self.state = MergedState(spark, f"{root}/state", state_schema, self._merged)
+        self.lines = LineStore(spark, f"{root}/lines", lines_schema, keys, buckets)
+        kinds = dict(spark.createDataFrame([], lines_schema).dtypes)
+        self.touched = DeltaFolder(spark, f"{root}/touched", f"{keys.entity} {kinds[keys.entity]}, {keys.period} {kinds[keys.period]}")
         self.root = root
 
-    def _merged(self, rows: DataFrame) -> DataFrame:
-        k = self.keys
-        last = F.max(F.struct("last_day", "last_tie"))
-        return rows.groupBy(k.entity, k.period).agg(
-            F.sum("games").alias("games"), F.min("first_day").alias("first_day"), last.alias("l"),
-            *[F.sum(n).cast(t).alias(n) for n, t in self.sums.items()],
-        ).select(k.entity, k.period, "games", "first_day", F.col("l.last_day").alias("last_day"), F.col("l.last_tie").alias("last_tie"), *self.sums)
-
-    def _addition(self, fresh: DataFrame) -> DataFrame:
-        k = self.keys
-        played = F.col(k.seconds) > 0
-        last = F.max(F.struct(F.col(k.when).alias("d"), F.col(k.tie).alias("t")))
-        return fresh.groupBy(k.entity, k.period).agg(
-            F.count_if(played).alias("games"), F.min(F.when(played, F.col(k.when))).alias("first_day"), last.alias("l"),
-            *[F.expr(f"cast(sum({c}) as {self.sums[n]})").alias(n) for n, c in baseline_inputs(self.features, k).items()],
-        ).select(k.entity, k.period, "games", "first_day", F.col("l.d").alias("last_day"), F.col("l.t").cast("bigint").alias("last_tie"), *self.sums)
+    def bootstrap(self, history: DataFrame) -> bool:
+        """Load history into an empty detector, before its first batch; a detector that has lines is left as it is."""
+        if not self.lines.is_empty():
+            return False
+        self.process(history, HISTORY)
+        return True
 
     def process(self, batch: DataFrame, number: int) -> None:
-        """Handle one micro-batch. Rows at or before the entity's last stored row are kept, marked late, and not scored."""
+        """Store one micro-batch and score again what it touches."""
         k = self.keys
-        prior = self.state.current(number, batch.select(k.entity).distinct())
-        # New and repeated rows are told apart by the entity's position in time.
-        seen = prior.groupBy(k.entity).agg(
-            F.max(F.struct("last_day", "last_tie")).alias("__last"), F.min(F.when(F.col("games") > 0, F.col(k.period))).alias("__first_period"))
-        unique = batch.dropDuplicates([k.row_id])
-        here = F.struct(F.col(k.when).alias("last_day"), F.col(k.tie).cast("bigint").alias("last_tie"))
-        placed = unique.join(seen.select(k.entity, "__last"), k.entity, "left").withColumn(
-            "late", F.coalesce(here <= F.col("__last"), F.lit(False)))
-        self.lines.write(placed.select(*batch.columns, "late"), number)
-
-        fresh = self.lines.batch(number).filter("not late").drop("late")
-        inside = expanding_state(fresh, self.features, k)
-        old = prior.select(
-            k.entity, k.period, F.col("games").alias("__games"), F.col("first_day").alias("__first_day"),
-            *[F.col(n).alias(f"__{n}") for n in self.sums])
-        zero = F.lit(0)
-        total = (
-            inside.join(old, [k.entity, k.period], "left").join(seen.select(k.entity, "__first_period"), k.entity, "left")
-            .withColumns({
-                "games_before": F.coalesce("__games", zero) + F.coalesce("games_before", zero),
-                "first_day": F.least("__first_day", "first_day"),
-                "first_period": F.least("__first_period", "first_period"),
-                **{n: F.coalesce(F.col(f"__{n}"), zero) + F.coalesce(F.col(n), zero) for n in self.sums},
-            })
-        )
-        scored = add_scores(total, self.features, k).filter("scored")
+        self.lines.write(batch, number)
+        fresh = self.lines.batch(number)
+        entities = fresh.select(k.entity).distinct()
+        known = self.lines.deliveries(entities, number).select(k.entity, k.period, "batch")
+        first = known.groupBy(k.entity).agg(F.min(k.period).alias("first_period"))
+        # An entity that now begins in an earlier period has the grace of its later periods changed: those are touched too.
+        moved = known.groupBy(k.entity).agg(F.min(F.when(F.col("batch") < number, F.col(k.period))).alias("__was"), F.min(k.period).alias("__is"))
+        moved = moved.filter("__is < __was").select(k.entity)
+        pairs = fresh.select(k.entity, k.period).union(known.join(moved, k.entity, "left_semi").select(k.entity, k.period)).distinct()
+        self.touched.write(pairs, number)
+        pairs = self.touched.batch(number)
+        periods = [r[0] for r in pairs.select(k.period).distinct().collect()]  # one value per period
+        mine = self.lines.rows(entities, number, periods).join(pairs, [k.entity, k.period], "left_semi")
+        scored = add_scores(expanding_state(mine, self.features, k, first), self.features, k).filter("scored")
         outliers_of(scored, self.features, k, self.threshold).write.mode("overwrite").parquet(f"{self.root}/outliers/batch={number}")
-        self.state.add(self._addition(fresh), number)
         if self.with_trends:
-            self._trends(fresh, number)
+            self._trends(entities, number)
 
-    def _trends(self, fresh: DataFrame, number: int) -> None:
-        """Trends at the last row of every entity in the batch, from the stored lines of about one year."""
+    def _trends(self, entities: DataFrame, number: int) -> None:
+        """Trends at the last row of every entity in the batch: its reference period and the days of the longest window."""
         k = self.keys
-        reference = trends.last_days(fresh, k)
-        oldest = reference.agg(F.min("reference_date")).scalar()
-        recent = self.lines.rows(number + 1).filter("not late").filter(F.col(k.when) > F.date_sub(oldest, TREND_REACH_DAYS))
+        lines = self.lines.rows(entities, number)
+        reference = trends.last_days(lines, k)
+        longest = max(w.days for w in (trends.WEEK, trends.MONTH))
+        ends = reference.select(F.col(k.entity).alias("__of"), F.col("reference_date").alias("__day"), F.col("reference_period").alias("__period"))
+        near = (F.col(k.period) == F.col("__period")) | (F.col(k.when) > F.date_sub("__day", longest))
+        recent = lines.join(ends, F.col(k.entity) == F.col("__of")).filter(near).drop("__of", "__day", "__period")
         found = trends.trend_outliers(recent, reference, features=self.features, keys=k, threshold=self.threshold)
         found.write.mode("overwrite").parquet(f"{self.root}/trends/batch={number}")
 
+    def _newest(self, folder: str, key: list[str]) -> DataFrame:
+        """Results of the latest batch that touched each key."""
+        last = self.touched.rows().groupBy(*key).agg(F.max("batch").alias("batch"))
+        return self.spark.read.parquet(f"{self.root}/{folder}").join(last, [*key, "batch"], "left_semi").drop("batch")
+
     def outliers(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.root}/outliers").drop("batch")
+        return self._newest("outliers", [self.keys.entity, self.keys.period])
+
+    def trends(self) -> DataFrame:
+        return self._newest("trends", [self.keys.entity])
 
     def start(self, source: DataFrame, checkpoint: str):
         return (

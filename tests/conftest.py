@@ -14,7 +14,7 @@ SF = "/root/testdata/sf0.001"
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = local_session("8", shuffle_partitions=8, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
+    session = local_session("8", shuffle_partitions=4, **{"spark.checkpoint.dir": str(tmp_path_factory.mktemp("shared"))})
     yield session
     session.stop()
 

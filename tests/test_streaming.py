@@ -1,7 +1,8 @@
 from __future__ import annotations
 
+import random
 import time
-from datetime import timedelta
+from datetime import date, timedelta
 
 import pytest
 from conftest import LINE_SCHEMA, line, lines_df, rows
@@ -35,55 +36,120 @@ def source(spark, folder):
 
 def test_zscore_stream_equals_batch(spark, tmp_path):
     items = random_lines(seed=11, players=3, per_season=25)
-    parts = ordered_parts(items)
+    parts = ordered_parts(items, 3)
     land(spark, tmp_path / "in", parts)
-    job = ZScoreStream(spark, str(tmp_path / "out"), LINE_SCHEMA)
+    job = ZScoreStream(spark, str(tmp_path / "out"), LINE_SCHEMA, buckets=2)
     job.start(source(spark, tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
     want = zscore.zscore_outliers(lines_df(spark, items))
     cols = ["stat_id", "headline_z", "outlier_type", "games_in_sample"]
     assert rows(job.outliers().select(*cols)) == rows(want.select(*cols)) and want.count() > 0
-    # The trends of the last batch are those of the batch operator for the entities in it.
-    last = lines_df(spark, parts[-1])
-    want = trends.trend_outliers(lines_df(spark, items), trends.last_days(last))
-    got = spark.read.parquet(str(tmp_path / "out" / "trends" / f"batch={len(parts) - 1}"))
-    cols = ["player_id", "window_type", "reference_date", "max_z_score", "games_in_window", "games_in_baseline"]
-    assert rows(got.select(*cols)) == rows(want.select(*cols))
-
-
-def test_zscore_replay_and_late_rows(spark, tmp_path):
-    parts = ordered_parts(random_lines(seed=12, players=2, per_season=25), 2)
-    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA, with_trends=False)
-    first, second = lines_df(spark, parts[0]), lines_df(spark, parts[1])
-    job.process(first, 0)
-    job.process(second.unionByName(second), 1)          # repeated rows in one batch
-    before, state = rows(job.outliers().drop("z_scores")), rows(job.state.current())
-    job.process(second, 1)                              # the same batch again
-    job.process(first, 2)                               # old rows in a new batch
-    assert rows(job.outliers().drop("z_scores")) == before and rows(job.state.current()) == state
-    assert job.lines.batch(2).filter("late").count() == first.count()
+    want = trends.trend_outliers(lines_df(spark, items))
+    assert rows(job.trends().select(*TRENDS)) == rows(want.select(*TRENDS))
+
+
+def muddled(items, n, seed):
+    """Parts in the order of time, with rows repeated in the same and in later parts, rows one or two parts late, and corrections."""
+    rnd, parts, truth = random.Random(seed), ordered_parts(items, n), {}
+    out = [[] for _ in parts]
+    for at, part in enumerate(parts):
+        for r in part:
+            put = rnd.random()
+            here = min(n - 1, at + 1 + (put < 0.03)) if put < 0.1 else at
+            out[here].append(r)
+            truth[r["id"]] = r
+            if put > 0.9:
+                out[rnd.randrange(here, n)].append(r)
+            elif put > 0.87 and here + 1 < n:
+                truth[r["id"]] = r | {"pts": r["pts"] + 17}
+                out[rnd.randrange(here + 1, n)].append(truth[r["id"]])
+    return out, list(truth.values())
+
+
+ZSCORE = ["stat_id", "headline_z", "outlier_type", "games_in_sample"]
+TRENDS = ["player_id", "window_type", "reference_date", "max_z_score", "games_in_window", "games_in_baseline"]
+
+
+def test_zscore_and_trend_streams_with_repeats_late_rows_and_corrections(spark, tmp_path):
+    parts, truth = muddled(random_lines(seed=12, players=3, per_season=25), 3, 1)
+    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    for number, part in enumerate(parts):
+        job.process(lines_df(spark, part), number)
+    job.process(lines_df(spark, parts[-1]), len(parts) - 1)     # the last batch is tried again
+    job.process(lines_df(spark, parts[-1]), len(parts))         # and delivered again
+    batch = lines_df(spark, truth)
+    want = zscore.zscore_outliers(batch)
+    assert rows(job.outliers().select(*ZSCORE)) == rows(want.select(*ZSCORE)) and want.count() > 0
+    assert rows(job.trends().select(*TRENDS)) == rows(trends.trend_outliers(batch).select(*TRENDS))
+
+
+def test_earlier_period_without_playing_time_ends_the_grace(spark, tmp_path):
+    bench = [line(900, 1, date(2023, 1, 5), 0, seconds=0, season="2022-23")]
+    season = [line(i, 1, date(2023, 11, 1) + timedelta(days=i), 20) for i in range(8)] + [line(50, 1, date(2023, 12, 1), 60)]
+    for order in ([bench, season], [season, bench]):            # the earlier row may even come last
+        job = ZScoreStream(spark, str(tmp_path / str(len(order[0]))), LINE_SCHEMA, buckets=2, with_trends=False)
+        for number, part in enumerate(order):
+            job.process(lines_df(spark, part), number)
+        assert [r["stat_id"] for r in job.outliers().collect()] == [50]
+
+
+def test_trend_baseline_reaches_back_over_the_whole_period(spark, tmp_path):
+    items = [line(i, 1, date(2021, 1, 1) + timedelta(days=20 * i), 10 + i % 5) for i in range(41)]
+    items += [line(100 + i, 1, date(2023, 4, 2) + timedelta(days=i), 40) for i in range(2)]
+    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    for number, part in enumerate([items[:30], items[30:]]):
+        job.process(lines_df(spark, part), number)
+    got = job.trends().filter("window_type = 'week'").first()
+    assert got["games_in_baseline"] == 43
+
+
+def test_bootstrap_loads_history_once(spark, tmp_path):
+    items = random_lines(seed=13, players=2, per_season=25)
+    parts = ordered_parts(items, 3)
+    zs, runs = ZScoreStream(spark, str(tmp_path / "z"), LINE_SCHEMA, buckets=2, with_trends=False), StreakStream(spark, str(tmp_path / "s"), LINE_SCHEMA, buckets=2)
+    active = spark.createDataFrame([(1,)], "player_id bigint")
+    for job in (zs, runs):
+        assert job.bootstrap(lines_df(spark, parts[0] + parts[1]))
+        job.process(lines_df(spark, parts[2]), 0)
+        assert not job.bootstrap(lines_df(spark, parts[0]))
+    assert rows(zs.outliers().select(*ZSCORE)) == rows(zscore.zscore_outliers(lines_df(spark, items)).select(*ZSCORE))
+    want = streaks.streaks(lines_df(spark, items), active)
+    assert rows(runs.streaks(active).select(*want.columns)) == rows(want)
 
 
 def test_streak_stream_equals_batch(spark, tmp_path):
     items = random_lines(seed=21, players=3, per_season=20)
-    land(spark, tmp_path / "in", ordered_parts(items, 5))
+    land(spark, tmp_path / "in", ordered_parts(items, 3))
     active = spark.createDataFrame([(1,), (2,)], "player_id bigint")
-    job = StreakStream(spark, str(tmp_path / "out"), LINE_SCHEMA)
+    job = StreakStream(spark, str(tmp_path / "out"), LINE_SCHEMA, buckets=2)
     job.start(source(spark, tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
     want = streaks.streaks(lines_df(spark, items), active)
     assert rows(job.streaks(active).select(*want.columns)) == rows(want) and want.count() > 50
     assert rows(job.open.current().filter("length > 0").groupBy("player_id", "streak_type", "competition_type").count().filter("count > 1")) == []
 
 
-def test_streak_replay_changes_nothing(spark, tmp_path):
-    parts = ordered_parts(random_lines(seed=22, players=2, per_season=15), 3)
+def test_streak_stream_with_repeats_late_rows_and_corrections(spark, tmp_path):
+    parts, truth = muddled(random_lines(seed=22, players=3, per_season=15), 3, 2)
     active = spark.createDataFrame([(1,), (2,)], "player_id bigint")
-    job = StreakStream(spark, str(tmp_path / "a"), LINE_SCHEMA)
-    for i, part in enumerate(parts):
-        job.process(lines_df(spark, part), i)
-    before = rows(job.streaks(active))
-    job.process(lines_df(spark, parts[2]), 2)
-    job.process(lines_df(spark, parts[1]), 3)
-    assert rows(job.streaks(active)) == before
+    job = StreakStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    for number, part in enumerate(parts):
+        job.process(lines_df(spark, part), number)
+    job.process(lines_df(spark, parts[-1]), len(parts) - 1)
+    job.process(lines_df(spark, parts[1]), len(parts))
+    for r in parts[1]:
+        truth = [r if t["id"] == r["id"] else t for t in truth]     # the latest delivery of a row counts
+    want = streaks.streaks(lines_df(spark, truth), active)
+    assert rows(job.streaks(active).select(*want.columns)) == rows(want) and want.count() > 50
+
+
+def test_streak_stream_takes_rules_and_string_ids(spark, tmp_path):
+    schema = LINE_SCHEMA.replace("game_id bigint", "game_id string")
+    items = [line(i, 1, date(2024, 1, 1) + timedelta(days=i), 25 if i != 4 else 3) | {"game_id": f"g{i:03d}"} for i in range(8)]
+    rules = lambda: streaks.criteria(["pts_20"])
+    job = StreakStream(spark, str(tmp_path / "a"), schema, buckets=2, rules=rules, competitions={"regular": "rs"})
+    for number in range(2):
+        job.process(spark.createDataFrame(items[4 * number:4 * number + 4], schema), number)
+    found = job.streaks(spark.createDataFrame([(1,)], "player_id bigint"))
+    assert sorted((r["length"], r["first_game_id"], r["is_active"]) for r in found.collect()) == [(3, "g005", True), (4, "g000", False)]
 
 
 def test_compaction_keeps_the_state(spark, tmp_path, monkeypatch):
@@ -104,5 +170,6 @@ def test_rollup_stream(spark, tmp_path):
     for i, part in enumerate(parts):
         job.process(frame(part), i)
     job.process(frame(parts[1]), 1)                     # repeated batch replaces itself
+    job.process(frame(parts[0] + parts[0]), 3)          # rows delivered again count once
     want = rollups.season_rollup(frame(items))
     assert rows(job.rollups().select(*want.columns)) == rows(want)
