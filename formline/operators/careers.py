@@ -11,7 +11,6 @@ from formline.functions.boxline import is_double_double, is_triple_double, oppon
 
 # Columns with a personal best, and milestone counts.
 BEST_COLUMNS = ["pts", "reb", "ast", "stl", "blk", "fg3m", "fgm", "ftm", "min_seconds", "plus_minus"]
-RECENT_ROWS = 100
 
 
 def _milestones() -> dict[str, Column]:
@@ -55,15 +54,17 @@ def high_details(lines: DataFrame, columns: list[str] = BEST_COLUMNS) -> DataFra
     return best.select("player_id", F.inline(cells)).filter("best is not null").select("player_id", "stat", "best.*")
 
 
-def recent_form(lines: DataFrame, today: date | str, windows: dict[str, int] | None = None) -> DataFrame:
-    """Means over the last 7 and 30 days (both ends included) of each player's newest 100 rows.
+def recent_form(lines: DataFrame, today: date | str, windows: dict[str, int] | None = None, newest_rows: int | None = None) -> DataFrame:
+    """Means over the last 7 and 30 days (both ends included), of each player's ``newest_rows`` rows only if that is given.
 
     The reference day is ``today`` or the player's newest game, whichever is later.
     Rows without playing time count as games; they are left out of the divisor unless there are no others.
     """
     windows = windows or {"last_7_days": 7, "last_month": 30}
-    newest = Window.partitionBy("player_id").orderBy(F.desc("date"), F.desc("game_id"), *_tie(lines))
-    rows = lines.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= RECENT_ROWS)
+    rows = lines
+    if newest_rows is not None:
+        newest = Window.partitionBy("player_id").orderBy(F.desc("date"), F.desc("game_id"), *_tie(lines))
+        rows = rows.withColumn("__n", F.row_number().over(newest)).filter(F.col("__n") <= newest_rows)
     top = rows.groupBy("player_id").agg(F.max("date").alias("__top"))
     rows = rows.join(top, "player_id").withColumn("__ref", F.greatest(F.col("__top"), F.lit(str(today)).cast("date")))
     spans = F.array_compact(F.array(*[

@@ -10,11 +10,10 @@ from pyspark.sql import functions as F
 from formline.functions.awards import AWARD_CLASSES, award_priority
 
 # Made and attempted columns of the ratios with the least attempts, least games,
-# boards of the overview, largest list length.
+# boards of the overview.
 RATIO_STATS = {"fg_pct": ("fgm", "fga", 300), "fg3_pct": ("fg3m", "fg3a", 82), "ft_pct": ("ftm", "fta", 125)}
 MIN_GAMES = 5
 BOARD_STATS = ["pts", "reb", "ast", "stl", "blk"]
-MAX_LIST = 50
 
 
 def top_average(lines: DataFrame, stat: str, season: str | None = None, limit: int = 10) -> DataFrame:
@@ -61,13 +60,13 @@ def boards(lines: DataFrame, stats: Sequence[str] = BOARD_STATS, season: str | N
     chosen = F.lit(season) if season else lines.agg(F.max("season")).scalar()
     means = (
         lines.filter(F.col("season") == chosen).groupBy("player_id")
-        .agg(F.count(F.lit(1)).alias("games"), *[F.sum(F.col(s).cast("bigint")).alias(s) for s in stats])
+        .agg(F.count(F.lit(1)).alias("games"), *[F.sum(F.col(s).cast("bigint")).alias(s) for s in stats], *[F.count(s).alias(f"__n_{s}") for s in stats])
         .filter(F.col("games") >= MIN_GAMES)
     )
     cells = F.array(*[
-        F.struct(F.lit(s).alias("metric"), (F.col(s).cast("double") / F.col("games").cast("double")).alias("value")) for s in stats
+        F.struct(F.lit(s).alias("metric"), F.try_divide(F.col(s).cast("double"), F.col(f"__n_{s}").cast("double")).alias("value")) for s in stats
     ])
-    order = Window.partitionBy("metric").orderBy(F.desc("value"), "player_id")
+    order = Window.partitionBy("metric").orderBy(F.desc_nulls_first("value"), "player_id")
     return (
         means.select("player_id", "games", F.inline(cells))
         .withColumn("place", F.row_number().over(order)).filter(F.col("place") <= limit)
@@ -94,7 +93,7 @@ def award_leaders(
         F.count(F.lit(1)).alias("award_count"), F.sort_array(F.collect_set("season"), asc=False).alias("seasons"))
     return (
         counted.join(people.select(F.col("id").alias("player_id"), "full_name", "is_active"), "player_id")
-        .orderBy(F.desc("award_count"), "player_id").limit(min(limit, MAX_LIST))
+        .orderBy(F.desc("award_count"), "player_id").limit(limit)
     )
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.people import height_inches
-from formline.operators.leaders import MAX_LIST
 
 
 def _text(column: str, missing: str):
@@ -54,6 +53,6 @@ def biographic_ranking(players: DataFrame, criterion: str, active_only: bool = T
     keep, order, value, detail = specs[criterion]
     rows = players.filter("is_active") if active_only else players
     return (
-        rows.filter(keep).orderBy(*order, "id").limit(min(limit, MAX_LIST))
+        rows.filter(keep).orderBy(*order, "id").limit(limit)
         .select("id", "full_name", value.alias("value"), detail.alias("detail"))
     )

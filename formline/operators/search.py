@@ -28,17 +28,20 @@ def validated_guesses(guesses: DataFrame, players: DataFrame, members: DataFrame
 
     ``members`` lists (category, player_id). A player fits if the guess is a run of
     complete words of the name, any word starts with the letter, and the player is
-    in the category. The best player of each (word run, letter, category) is
-    found first, so that popular names do not multiply with popular guesses.
+    in the category. Only word runs that somebody guessed are looked at, each once per
+    letter and category asked for, so that popular names do not multiply with popular guesses.
     """
+    wanted = guesses.withColumns({"__run": F.lower(F.trim("guess")), "__letter": F.lower("letter")})
+    asked = wanted.select("__run", "__letter", "category").distinct()
     runs = players.select(F.col("id").alias("player_id"), "full_name", F.explode(_word_runs(F.col("full_name"))).alias("__run"))
-    initials = F.array_distinct(F.transform(F.split(F.lower("full_name"), " +"), lambda w: F.substring(w, 1, 1)))
+    runs = runs.join(asked.select("__run").distinct(), "__run", "left_semi")
+    initials = F.transform(F.split(F.lower("full_name"), " +"), lambda w: F.substring(w, 1, 1))
     best = (
-        runs.withColumn("__letter", F.explode(initials)).join(members.distinct(), "player_id")
+        runs.join(asked, "__run").filter(F.array_contains(initials, F.col("__letter")))
+        .join(members, ["player_id", "category"], "left_semi")
         .groupBy("__run", "__letter", "category")
         .agg(F.min(F.struct("player_id", "full_name")).alias("hit"))
     )
-    wanted = guesses.withColumns({"__run": F.lower(F.trim("guess")), "__letter": F.lower("letter")})
     known = runs.select("__run").distinct().withColumn("__named", F.lit(True))
     return (
         wanted.join(best, ["__run", "__letter", "category"], "left").join(known, "__run", "left")
@@ -72,7 +75,6 @@ def narrowed(companions: DataFrame, text: str | None) -> DataFrame:
 
 
 def first_per_name(ranked: DataFrame, order: list, k: int) -> DataFrame:
-    """Top k rows with distinct names, taken from the top 2k rows."""
-    top = ranked.orderBy(*order).limit(2 * k)
+    """Top k rows with distinct names: the best row of each name, then the best k of those."""
     first = Window.partitionBy("full_name").orderBy(*order)
-    return top.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n").orderBy(*order).limit(k)
+    return ranked.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n").orderBy(*order).limit(k)

@@ -161,11 +161,10 @@ def high_detail(spark, sf):
            coalesce(sum(ftm)::DOUBLE / nullif(sum(fta)::DOUBLE, 0), 0) AS ft_pct, sum(coalesce(plus_minus, 0)) / d AS plus_minus
     FROM (SELECT *, CAST(CASE WHEN sum((min_seconds > 0)::INT) OVER (PARTITION BY player_id, span) > 0
                     THEN sum((min_seconds > 0)::INT) OVER (PARTITION BY player_id, span) ELSE count(*) OVER (PARTITION BY player_id, span) END AS DOUBLE) AS d
-          FROM (SELECT r.*, s.span FROM rows100 r JOIN (SELECT 'last_7_days' AS span, 7 AS days UNION ALL SELECT 'last_month', 30) s
+          FROM (SELECT r.*, s.span FROM topped r JOIN (SELECT 'last_7_days' AS span, 7 AS days UNION ALL SELECT 'last_month', 30) s
                 ON r.game_date >= greatest(r.top, DATE '2022-01-15') - s.days))
-    GROUP BY player_id, span, d""", "form_lines", extra={"rows100": """
-        SELECT *, max(game_date) OVER (PARTITION BY player_id) AS top FROM (
-            SELECT *, row_number() OVER (PARTITION BY player_id ORDER BY game_date DESC, game_id DESC) AS n FROM form_lines) WHERE n <= 100"""}))
+    GROUP BY player_id, span, d""", "form_lines", extra={"topped": """
+        SELECT *, max(game_date) OVER (PARTITION BY player_id) AS top FROM form_lines"""}))
 def recent_form(spark, sf):
     return careers.recent_form(L.form_lines(spark, sf).withColumnRenamed("game_date", "date"), "2022-01-15")
 

@@ -115,7 +115,10 @@ def name_prefix(spark, sf):
 
 
 @query("name_ladder", sql("""
-    SELECT id, full_name, CAST(2 AS BIGINT) AS tier FROM players WHERE full_name ILIKE '%ring%' AND full_name ILIKE 'r%'""", "players"))
+    SELECT id, full_name, tier FROM (SELECT *, min(tier) OVER () AS best FROM (
+        SELECT id, full_name, CAST(CASE WHEN full_name ILIKE '%ronny%' AND full_name ILIKE '%ring%' THEN 1
+            WHEN full_name ILIKE '%ring%' AND full_name ILIKE 'r%' THEN 2 WHEN full_name ILIKE '%ronny ring%' THEN 3 END AS BIGINT) AS tier FROM players)
+        WHERE tier IS NOT NULL) WHERE tier = best""", "players"))
 def name_ladder(spark, sf):
     return search.search_ladder(L.players(spark, sf), "Ronny Ring").select("id", "full_name", "tier")
 

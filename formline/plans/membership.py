@@ -108,7 +108,7 @@ def category_members(spark, sf):
             SELECT p.id AS player_id, p.full_name, g.total_games FROM players p
             LEFT JOIN (SELECT player_id, CAST(sum(games_played) AS BIGINT) AS total_games FROM season_rows GROUP BY player_id) g ON p.id = g.player_id
             WHERE (lower(p.full_name) LIKE 'r%' OR lower(p.full_name) LIKE '% r%') AND p.id IN (SELECT player_id FROM awards WHERE award_type = 'Champion')
-            ORDER BY total_games DESC NULLS LAST, p.id LIMIT 20)) WHERE n = 1 ORDER BY total_games DESC NULLS LAST, player_id LIMIT 10""",
+            )) WHERE n = 1 ORDER BY total_games DESC NULLS LAST, player_id LIMIT 10""",
     "players", "season_rows", "awards"))
 def category_hints(spark, sf):
     champions = relations.award_winners(L.awards(spark, sf), "Champion")
