@@ -22,8 +22,9 @@ from formline.session import write_and_reload
 
 SAMPLE_PER_LANGUAGE = 600  # rows of a language that the model is fitted on
 CENTROIDS = 3
-LEAST_COSINE = 0.03  # a text further from every centroid is rejected
+LEAST_COSINE = 0.01  # a text further from every centroid is rejected
 _SLOTS = 1 << 16  # hashed trigrams
+_TOGETHER = 32  # texts whose vectors are held at a time
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
 UNKNOWN = "und"
 
@@ -61,10 +62,10 @@ def vectors(raws: list[bytes], model: Model) -> np.ndarray:
 def nearest(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The number of the nearest centroid and the cosine, for each text."""
     best, cosine = np.zeros(len(texts), np.int64), np.zeros(len(texts))
-    for start in range(0, len(texts), 64):
-        products = vectors(texts[start:start + 64], model) @ model.centroids
-        best[start:start + 64] = products.argmax(axis=1)
-        cosine[start:start + 64] = products.max(axis=1)
+    for start in range(0, len(texts), _TOGETHER):
+        products = vectors(texts[start:start + _TOGETHER], model) @ model.centroids
+        best[start:start + _TOGETHER] = products.argmax(axis=1)
+        cosine[start:start + _TOGETHER] = products.max(axis=1)
     return best, np.clip(cosine, 0, 1)
 
 
@@ -111,7 +112,9 @@ def fit(
 
     def cluster(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         texts = sorted(t.encode() for t in rows["text"])
-        data = vectors(texts, shared.value).astype(np.float32)
+        data = np.empty((len(texts), len(idf)), np.float32)
+        for start in range(0, len(texts), _TOGETHER):
+            data[start:start + _TOGETHER] = vectors(texts[start:start + _TOGETHER], shared.value)
         data[:, -1] = 0
         rng = np.random.default_rng(len(texts))
         k = min(centroids, len(texts))
