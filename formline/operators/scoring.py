@@ -275,3 +275,20 @@ def league_outliers(
         "percentile", "contributions", (F.col("percentile") >= threshold).alias("is_outlier"),
         F.lit(model.version).alias("model_version"),
     )
+
+
+def score_increment(
+    lines: DataFrame, active: DataFrame, model: Reconstruction, train_errors: DataFrame, threshold: float = OUTLIER_PERCENTILE, outliers_only: bool = True,
+    when: str = "game_date", row_id: str = "id",
+) -> DataFrame:
+    """Score new lines of active players with a stored model, against the stored training errors (a column ``error``).
+
+    Nothing is fitted. Only outliers are returned unless ``outliers_only`` is false.
+    """
+    scored = model.score(feature_rows(lines)).join(active.select("player_id").distinct(), "player_id", "left_semi")
+    ranked = error_percentiles(train_errors.select("error"), scored)
+    found = ranked.select(
+        F.col(row_id).alias("stat_id"), "player_id", "season", when, F.col("error").alias("reconstruction_error"),
+        "percentile", "contributions", (F.col("percentile") >= threshold).alias("is_outlier"), F.lit(model.version).alias("model_version"),
+    )
+    return found.filter("is_outlier") if outliers_only else found

@@ -16,6 +16,11 @@ from formline.session import write_and_reload
 STAR = 23
 
 
+def stored_seasons(spark, sf) -> DataFrame:
+    """The season rows, which a deployment keeps stored, made once for all that is read from them."""
+    return write_and_reload(season_rows(spark, sf), "season-rows")
+
+
 def busiest(rows: DataFrame, n: int = 3) -> DataFrame:
     """The players with the most season rows: the pages these companion lists are made for."""
     return rows.groupBy("player_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "player_id").limit(n)
@@ -38,7 +43,7 @@ def latest_membership(spark, sf):
     JOIN players p ON p.id = r.player_id WHERE l.player_id IN (SELECT player_id FROM focus)""",
     "season_rows", "players", extra={"latest": _LATEST, "focus": _FOCUS}))
 def companions_current(spark, sf):
-    rows = season_rows(spark, sf)
+    rows = stored_seasons(spark, sf)
     return relations.current_companions(rows, L.players(spark, sf), busiest(rows))
 
 
@@ -50,7 +55,7 @@ def companions_current(spark, sf):
     JOIN players p ON p.id = r.player_id JOIN teams t ON t.id = r.team_id GROUP BY ALL""",
     "season_rows", "players", "teams", extra={"focus": _FOCUS}))
 def companions_history(spark, sf):
-    rows = season_rows(spark, sf)
+    rows = stored_seasons(spark, sf)
     found = relations.companion_history(rows, L.players(spark, sf), L.teams(spark, sf), busiest(rows))
     return found.withColumn("teams_together", F.col("teams_together.abbreviation"))
 

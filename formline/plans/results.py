@@ -10,7 +10,7 @@ from formline.plans import league as L
 from formline.plans import sequences as Q
 from formline.plans.league import sql
 from formline.plans.registry import query
-from formline.session import shared_dir
+from formline.session import shared_dir, write_and_reload
 from formline.sources import sinks
 
 _COLUMNS = [f for f in scoring.MODEL_FEATURES if f != "min"]
@@ -104,7 +104,7 @@ def league_leaders(spark, sf):
     ORDER BY round(abs(o.headline_z), 2) DESC, stat_id LIMIT 50""", "form_lines", "people", extra=Q.CHAIN))
 def game_anomalies(spark, sf):
     lines = L.form_lines(spark, sf)
-    found = zscore.zscore_outliers(lines)
+    found = write_and_reload(zscore.zscore_outliers(lines), "outliers")
     listed = anomalies.game_anomalies(found, L.people(spark, sf), newest=lines)
     sizes = found.select("stat_id", F.abs("headline_z").alias("size"))
     return listed.join(sizes, "stat_id").select("stat_id", "player_id", "full_name", "outlier_type", "size", "game_date")

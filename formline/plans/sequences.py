@@ -8,6 +8,7 @@ from formline.operators import gaps, streaks, trends, zscore
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.registry import query
+from formline.session import write_and_reload
 
 FEATURES = zscore.DEFAULT_FEATURES
 
@@ -224,8 +225,13 @@ def completed_records(spark, sf, found):
     return streaks.complete_records(found, lowest)
 
 
+def stored_streaks(spark, sf):
+    """Streaks are stored once; records, badges and lists are made from them."""
+    return write_and_reload(found_streaks(spark, sf), "streaks")
+
+
 def badged_streaks(spark, sf):
-    found = found_streaks(spark, sf)
+    found = stored_streaks(spark, sf)
     return streaks.with_badges(found, completed_records(spark, sf, found))
 
 
@@ -252,7 +258,7 @@ def streak_badges(spark, sf):
     FROM grid g LEFT JOIN badged b USING (streak_type, competition_type) JOIN all_records r USING (streak_type, competition_type)
     WHERE g.competition_type = 'regular' GROUP BY g.streak_type"""))
 def streak_summary(spark, sf):
-    found = found_streaks(spark, sf)
+    found = stored_streaks(spark, sf)
     records = completed_records(spark, sf, found)
     return streaks.streak_summary(streaks.with_badges(found, records), records)
 
