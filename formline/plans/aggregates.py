@@ -94,7 +94,7 @@ def _means(games: str, divisor: str, agg: bool) -> str:
     return f"{games} AS games, " + ", ".join(parts)
 
 
-_STORED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY team_id) AS rn FROM season_rows WHERE type = 'Regular Season' AND team_id < 20 AND games_played > 0) WHERE rn = 1"
+_STORED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, season ORDER BY team_id) AS rn FROM season_rows WHERE type = 'Regular Season' AND season < (SELECT max(season) FROM season_rows) AND games_played > 0) WHERE rn = 1"
 
 
 @query("season_average", sql(f"""
@@ -103,9 +103,10 @@ _STORED = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY player_id, s
     FROM box_lines WHERE rs AND (player_id, season) NOT IN (SELECT (player_id, season) FROM stored) GROUP BY player_id, season""",
     "season_rows", extra={"stored": _STORED}))
 def season_average(spark, sf):
-    """Season rows are kept for some teams only, so that both ways of averaging occur."""
+    """The regular seasons' rows are stored; the newest season is not yet, and is averaged from its stat lines."""
     lines = L.box_lines(spark, sf)
-    return rollups.season_averages(lines, rollups.season_rollup(lines.filter("team_id < 20")))
+    newest = lines.agg(F.max("season")).scalar()
+    return rollups.season_averages(lines, rollups.season_rollup(lines).filter(F.col("season") < newest))
 
 
 @query("season_summary", sql(f"""
@@ -122,10 +123,10 @@ def career_totals(spark, sf):
 
 @query("experience", sql("""
     SELECT p.id, CAST(coalesce(s.n, p.season_exp, 0) AS BIGINT) AS experience FROM players p
-    LEFT JOIN (SELECT player_id, count(DISTINCT season) AS n FROM box_lines WHERE po GROUP BY player_id) s ON p.id = s.player_id""",
+    LEFT JOIN (SELECT player_id, count(DISTINCT season) AS n FROM box_lines GROUP BY player_id) s ON p.id = s.player_id""",
     "players", "box_lines"))
 def experience(spark, sf):
-    return rollups.experience(L.players(spark, sf), rollups.season_rollup(L.box_lines(spark, sf).filter("po")))
+    return rollups.experience(L.players(spark, sf), rollups.season_rollup(L.box_lines(spark, sf)))
 
 
 _TENS = "(pts >= 10)::INT + (reb >= 10)::INT + (ast >= 10)::INT + (stl >= 10)::INT + (blk >= 10)::INT"

@@ -295,9 +295,9 @@ def seasons_listed(spark, sf):
 
 @query("team_seasons", sql("""
     SELECT DISTINCT team_id, season FROM (
-        SELECT team_id, season FROM box_lines WHERE po UNION ALL
-        SELECT home_team_id, season FROM games WHERE home_team_id NOT IN (SELECT team_id FROM box_lines WHERE po) UNION ALL
-        SELECT away_team_id, season FROM games WHERE away_team_id NOT IN (SELECT team_id FROM box_lines WHERE po))""", "box_lines", "games"))
+        SELECT team_id, season FROM box_lines UNION ALL
+        SELECT home_team_id, season FROM games WHERE home_team_id NOT IN (SELECT team_id FROM box_lines) UNION ALL
+        SELECT away_team_id, season FROM games WHERE away_team_id NOT IN (SELECT team_id FROM box_lines))""", "box_lines", "games"))
 def team_seasons(spark, sf):
-    lines = rollups.season_rollup(L.box_lines(spark, sf).filter("po"))
+    lines = rollups.season_rollup(L.box_lines(spark, sf))
     return rollups.team_seasons(lines, L.games(spark, sf))

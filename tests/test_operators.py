@@ -10,7 +10,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from formline.operators import (
-    boxscore, champions, filters, gaps, leaders, paging, rankings, relations, rollups, search, series, standings, validation,
+    boxscore, careers, champions, filters, gaps, leaders, paging, rankings, relations, rollups, search, series, standings, validation,
 )
 from formline.schemas import PARENTS, PURGE_ORDER, TABLES, UNIQUE_KEYS
 from formline.sources import landing, sinks, tables
@@ -392,3 +392,23 @@ def test_every_query_builds_on_the_smallest_tables(spark, sf):
     assert entry_points.entry(spark).count() >= 0
     for name in ("leaders_multi", "cup_rounds", "streak_page", "box_score_clean"):
         assert queries[name](spark, sf).columns
+
+
+def test_lists_are_as_long_as_asked_for(spark):
+    folk = spark.range(90).selectExpr("id", "concat('N', id div 2) full_name", "true is_active")
+    awards = spark.range(90).selectExpr("id player_id", "'2020-21' season", "'MVP' award_type")
+    assert leaders.award_leaders(awards, folk, limit=80).count() == 80
+    ranked = folk.withColumn("total", F.when(F.col("id") < 60, 1).otherwise(0))
+    names = search.first_per_name(ranked, [F.desc("total"), F.asc("id")], 40)
+    assert [r["id"] for r in names.orderBy("id").collect()] == list(range(0, 80, 2))     # one row per name, and k of them
+    many = spark.createDataFrame([(1, date(2024, 1, 1), 10)] * 150 + [(1, date(2024, 1, 2), 20)] * 150, "player_id bigint, date date, pts bigint")
+    zero = ["reb", "ast", "stl", "blk", "tov", "fgm", "fga", "fg3m", "fg3a", "ftm", "fta"]
+    lines = many.select("*", *[F.lit(0).alias(c) for c in zero], F.lit(60).alias("min_seconds"), F.lit(0.0).alias("plus_minus"), F.monotonically_increasing_id().alias("game_id"))
+    form = {r["span"]: r for r in careers.recent_form(lines, "2024-01-02").collect()}
+    assert form["last_7_days"]["games"] == 300 and form["last_7_days"]["ppg"] == 15
+    assert careers.recent_form(lines, "2024-01-02", newest_rows=100).first()["games"] == 100
+
+
+def test_board_means_leave_out_nulls(spark):
+    lines = spark.createDataFrame([(1, "s", v) for v in (10, None, 20, None, 30)], "player_id bigint, season string, pts bigint")
+    assert leaders.boards(lines, ["pts"]).first()["value"] == 20 == leaders.top_average(lines, "pts").first()["value"]

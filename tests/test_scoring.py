@@ -7,6 +7,7 @@ from datetime import date, timedelta
 import numpy as np
 import pytest
 from conftest import line, lines_df, rows
+from test_detectors import random_lines
 
 from formline.operators import anomalies, scoring
 from formline.operators.paging import top_entries
@@ -135,3 +136,16 @@ def test_failing_detector_is_reported(spark):
     assert set(results) == {"a"} and rows(results["a"]) == [(1,), (2,)]
     got = {r["detector"]: (r["rows"], r["status"].split(":")[0].split(" ")[0]) for r in summary.collect()}
     assert got["a"] == (2, "ok") and got["b"] == (None, "failed") and got["c"] == (None, "skipped") and got["total"][0] == 2
+
+
+def test_increment_with_a_stored_model_equals_the_full_run(spark, tmp_path):
+    lines = lines_df(spark, random_lines(seed=41, players=4, per_season=30))
+    active = spark.createDataFrame([(1,), (2,), (3,)], "player_id bigint")
+    rows_ = scoring.temporal_split(scoring.season_weights(scoring.feature_rows(lines)))
+    model = scoring.fit_reconstruction(rows_, "is_train", (2, 4), "weight")
+    sinks.save_model(spark, model, str(tmp_path / "model"))
+    errors = model.score(rows_).filter("is_train").select("error")
+    want = scoring.league_outliers(lines, active, sizes=(2, 4)).filter("season = '2023-24' and is_outlier")
+    got = scoring.score_increment(lines.filter("season = '2023-24'"), active, sinks.load_model(spark, str(tmp_path / "model")), errors)
+    assert rows(got.select("stat_id", F.round("reconstruction_error", 9), "percentile")) == rows(want.select("stat_id", F.round("reconstruction_error", 9), "percentile"))
+    assert scoring.score_increment(lines, active, model, errors, outliers_only=False).filter("not is_outlier").count() > 0
