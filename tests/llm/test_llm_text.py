@@ -198,6 +198,24 @@ def test_query_of_licenses(spark, sf):
     assert len(got) == len(rows) and {i: got[i] for i in want} == want and any(want.values())
 
 
+def test_licenses_inside_longer_texts(spark):
+    names = {name: text for name, text in licenses.TEMPLATES if "\n" in text}
+    prose = " ".join(f"plain{k} word" for k in range(60))
+    gpl = "This work is licensed under the GNU General Public License, version 3."
+    rows = [
+        (1, names["MIT"] + "\n\n" + prose), (2, prose + "\n\n" + names["Apache-2.0"].replace(" ", "\n", 9) + "\n" + prose), (3, f"{prose} {names['MIT']} {prose}".replace("\n", " ")),
+        (4, "This module is part of the toolkit and is released under the MIT License."), (5, "Copyright 2020 A. B. Licensed under CC BY 4.0."), (6, prose + " " + gpl + " " + prose),
+        (7, prose + "\n" + names["MIT"].replace("\n\n", "\nCopyright (c) 2020 " + "holder " * 60 + "\n") + "\n" + prose), (8, prose), (9, "under the license of the software"),
+        (10, prose + " " + gpl + " " + prose + " Licensed under CC BY 4.0. " + prose),
+    ]
+    got = {r.doc_id: (r.license, r.dice, sorted(m.license for m in r.matches)) for r in licenses.scan_licenses(brute.edge_docs(spark, rows)).collect()}
+    one = lambda name: (name, 1.0, [name])
+    assert got == {
+        1: one("MIT"), 2: one("Apache-2.0"), 3: one("MIT"), 4: one("MIT"), 5: one("CC-BY-4.0"), 6: one("GPL-3.0"), 7: one("MIT"), 8: (None, None, []), 9: (None, None, []),
+        10: ("CC-BY-4.0", 1.0, ["CC-BY-4.0", "GPL-3.0"]),
+    }
+
+
 # Mixing
 
 
