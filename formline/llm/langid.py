@@ -70,8 +70,8 @@ def nearest(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): the rows of each language with the smallest hashes of their id, ``per_language`` at most."""
-    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    """(lang, text): the rows of each language with the smallest hashes of their id, ``per_language`` at most; texts without a letter are left out."""
+    rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).cast("string").rlike("\\p{L}"))
     # Whole texts are read only for the rows chosen. Their ids are broadcast: per_language at most for each language.
     ids = bounded_sample(rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), ["lang"], per_language).distinct()
     ids = ids.withColumnsRenamed({"lang": "lang_", "id": "id_"})
@@ -83,9 +83,9 @@ def fit(
     labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", least: float = LEAST_COSINE,
 ) -> Model:
-    """Fit on at most ``per_language`` rows of each language (rows without text or language are left out).
+    """Fit on at most ``per_language`` rows of each language (rows without a letter or without a language are left out).
 
-    A text is rejected below the cosine ``least``, or below half the smallest cosine of the language's sample if that is less.
+    A text is rejected below the cosine ``least``, the same for each language whatever its sample holds.
     Document frequencies are summed by Spark, each language is clustered in a task of its own, and only the model itself
     (slots, weights, a few centroids per language) comes to the driver.
     """
@@ -101,8 +101,8 @@ def fit(
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at])], names=["slot", "df"])
 
     known = sample.select("text").mapInArrow(slots, "slot int, df bigint").groupBy("slot").agg(F.sum("df").alias("df"))
-    known = known.filter("df >= 2").orderBy("slot").collect()  # at most _SLOTS rows
     n = sample.count()
+    known = known.filter(F.col("df") >= min(2, n)).orderBy("slot").collect()  # at most _SLOTS rows
     slot, idf = np.full(_SLOTS, len(known), np.int32), np.ones(len(known) + 1)
     for k, row in enumerate(known):
         slot[row["slot"]] = k
@@ -123,21 +123,13 @@ def fit(
             mine = (data @ centre.T).argmax(axis=1)
             centre = np.stack([data[mine == c].sum(axis=0) if (mine == c).any() else centre[c] for c in range(k)])
             centre /= np.maximum(np.linalg.norm(centre, axis=1, keepdims=True), 1e-12)
-        cosine = data @ centre.T
-        mine, found = cosine.argmax(axis=1), []
-        for c in range(k):
-            own = cosine[mine == c, c]
-            # Far below all that the language showed, and below what a single word of it may have.
-            found.append((key[0], centre[c].astype(np.float64).tolist(), min(least, float(own.min()) / 2) if len(own) else 0.0))
-        return pd.DataFrame(found, columns=["lang", "centre", "least"])
-
-    rows = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>, least double").collect()
+        return pd.DataFrame([(key[0], c.astype(np.float64).tolist()) for c in centre], columns=["lang", "centre"])
+
+    rows, bound = sample.groupBy("lang").applyInPandas(cluster, "lang string, centre array<double>").collect(), least
     if not rows:  # nothing to learn from: every text is rejected
-        rows = [{"lang": UNKNOWN, "centre": [0.0] * len(idf), "least": 1.0}]
+        rows, bound = [{"lang": UNKNOWN, "centre": [0.0] * len(idf)}], 1.0
     rows.sort(key=lambda r: (r["lang"], r["centre"]))
-    # A language's texts may lie between its clusters: one bound per language, the smallest.
-    bound = {r["lang"]: min(x["least"] for x in rows if x["lang"] == r["lang"]) for r in rows}
-    return Model([r["lang"] for r in rows], slot, idf, np.array([r["centre"] for r in rows]).T.copy(), np.array([bound[r["lang"]] for r in rows]))
+    return Model([r["lang"] for r in rows], slot, idf, np.array([r["centre"] for r in rows]).T.copy(), np.full(len(rows), bound))
 
 
 def predictor(spark, model: Model):

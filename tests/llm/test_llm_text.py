@@ -109,6 +109,15 @@ def test_model_does_not_depend_on_partitions(spark, sf, languages):
     assert again.languages == languages.languages and (again.centroids == languages.centroids).all() and (again.least == languages.least).all()
 
 
+def test_labelled_junk_does_not_switch_rejection_off(spark, sf, languages):
+    rows = table(spark, sf, "documents").filter(queries.fold("doc_id", 5) != 0).select("doc_id", "text", "lang")
+    junk = [(900_000 + k, t, "en") for k, t in enumerate(["12345 67890", "", "...", " \n", "４２ ¿?", "жщ"])] + [(910_000 + k, "le petit chat noir", "zz") for k in range(2)]
+    model = langid.fit(rows.union(spark.createDataFrame(junk, rows.schema)))
+    assert (model.least == langid.LEAST_COSINE).all() and langid.LEAST_COSINE > 0 and "zz" in model.languages
+    odd = spark.createDataFrame([(1, "Привет мир, как дела сегодня"), (2, "今日は天気がいいです"), (3, "γειά σου κόσμε")], "doc_id bigint, text string")
+    assert all(r.rejected for r in langid.predict_language(odd, model).collect())
+
+
 def test_language_without_training_rows(spark, docs):
     empty = spark.createDataFrame([], EMPTY)
     model = langid.fit(empty)
