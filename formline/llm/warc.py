@@ -26,7 +26,6 @@ VERSION = "WARC/1.1\r\n"
 TRAILER = "\r\n\r\n"
 HTTP = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "
 _BASE32 = ("0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
-HEADER_BYTES = 16_384  # a header ends within so many bytes of its version line; the writer refuses longer ones
 
 
 # Writing
@@ -82,8 +81,7 @@ def write_warc(
         F.when(again, F.concat(F.lit("WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), _record_id(F.col("target")), crlf)).otherwise(F.lit("")),
         F.lit("Content-Type: application/http; msgtype=response\r\nContent-Length: "), length.cast("string"), F.lit("\r\n\r\n"),
     )
-    fits = F.when(F.octet_length(head) <= HEADER_BYTES, head).otherwise(F.raise_error(F.lit("a record's header is too long")).cast("string"))
-    record = F.concat(fits, http, F.when(again, "").otherwise(F.col("body")))
+    record = F.concat(head, http, F.when(again, "").otherwise(F.col("body")))
     rows.select(record.alias("value")).write.option("lineSep", TRAILER).text(path)
 
 
@@ -113,7 +111,7 @@ def _block(piece: Column, head_size: Column, stated: Column) -> Column:
 def _payload(block: Column, content_type: Column) -> dict[str, Column]:
     """What stands behind the HTTP header of a record's block; the whole block where there is none."""
     is_http = F.coalesce(F.lower(content_type).startswith("application/http"), F.lit(False))
-    head = F.substring_index(F.substring(block, 1, HEADER_BYTES).cast("string"), TRAILER, 1)
+    head = F.substring_index(block.cast("string"), TRAILER, 1)
     body = F.when(is_http, F.substring(block, F.octet_length(head) + len(TRAILER) + 1, F.octet_length(block))).otherwise(block)
     return {
         "http_length": F.when(is_http, _field(head, "Content-Length").cast("bigint")), "payload_size": F.octet_length(body).cast("bigint"),
@@ -123,9 +121,9 @@ def _payload(block: Column, content_type: Column) -> dict[str, Column]:
 
 def _candidates(spark: SparkSession, path: str) -> DataFrame:
     """Each piece with what its header states, and the digest of its payload if the stated length ends where the piece ends."""
-    # Bytes that are no text stay as they are in ``piece``; only the header is read as text.
-    found = _pieces(spark, path).withColumn("top", F.substring("piece", 1, HEADER_BYTES).cast("string"))
-    found = found.withColumn("head", F.when(F.instr("top", TRAILER) > 0, F.substring_index("top", TRAILER, 1)))
+    # Bytes that are no text stay as they are: the search for the blank line compares bytes, and only the header is read as text.
+    found = _pieces(spark, path).withColumn("top", F.substring_index(F.col("piece").cast("string"), TRAILER, 1))
+    found = found.withColumn("head", F.when(F.octet_length("top") < F.octet_length("piece"), F.col("top")))
     head = F.col("head")
     found = found.select(
         "file", "block", "file_size", "piece", F.octet_length("piece").cast("bigint").alias("size"),

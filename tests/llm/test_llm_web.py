@@ -20,6 +20,25 @@ def pages_df(spark, rows=PAGES):
     return spark.createDataFrame([(*r, *clash) for r in rows], schema)
 
 
+@pytest.mark.parametrize("split", ["5k", "128m"])
+def test_headers_of_any_length(spark, split, tmp_path):
+    rows = [(1, "data:" + "x" * 20_000, "a"), (2, "data:" + "é" * 200_000, RECORD), (3, "u", "a"), (4, "data:" + "y" * 16_384, ""), (5, None, "b")]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+    try:
+        folder = shared_dir(spark, "warc")
+        warc.write_warc(pages_df(spark, rows).coalesce(1), folder)
+        found = warc.page_records(spark, folder)
+        assert read_rows(found) == expected(rows) and found.filter("not intact").count() == 0
+        # A long header of the block, with bytes that are no text, in front of a payload.
+        http = b"HTTP/1.1 200 OK\r\nX: " + b"z\xff\xe2" * 10_000 + b"\r\nContent-Length: 5\r\n\r\n"
+        head = b"WARC/1.1\r\nWARC-Type: response\r\nX: \xff\xf0\r\nWARC-Record-ID: <urn:x-page:7>\r\nContent-Type: application/http\r\nContent-Length: %d\r\n\r\n" % (len(http) + 5)
+        (tmp_path / "a.warc").write_bytes((head + http + b"hello\r\n\r\n") * 2)
+        read = warc.read_warc(spark, str(tmp_path)).collect()
+        assert [(r.payload_size, r.http_length, r.payload_digest) for r in read] == [(5, 5, brute.base32_sha1("hello"))] * 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
 def expected(rows, min_bytes=0):
     size = lambda h: len((h or "").encode())
     low = {}
