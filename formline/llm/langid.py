@@ -23,6 +23,8 @@ from formline.session import write_and_reload
 SAMPLE_PER_LANGUAGE = 600  # rows of a language that the model is fitted on
 CENTROIDS = 3
 LEAST_COSINE = 0.01  # a text further from every centroid is rejected
+LEAST_OF_LONG = 0.03  # the same for a text of at least _LONG trigrams; README has the rates
+_LONG = 30
 _SLOTS = 1 << 16  # hashed trigrams
 _TOGETHER = 32  # texts whose vectors are held at a time
 _WORD_BYTES = bytes(b if b >= 0x80 or 0x61 <= b <= 0x7A else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -85,7 +87,7 @@ def fit(
 ) -> Model:
     """Fit on at most ``per_language`` rows of each language (rows without a letter or without a language are left out).
 
-    A text is rejected below the cosine ``least``, the same for each language whatever its sample holds.
+    A text is rejected below the cosine ``least``, the same for each language whatever its sample holds; ``predictor`` asks more of long texts.
     Document frequencies are summed by Spark, each language is clustered in a task of its own, and only the model itself
     (slots, weights, a few centroids per language) comes to the driver.
     """
@@ -132,6 +134,14 @@ def fit(
     return Model([r["lang"] for r in rows], slot, idf, np.array([r["centre"] for r in rows]).T.copy(), np.full(len(rows), bound))
 
 
+def too_far(raws: list[bytes], best: np.ndarray, cosine: np.ndarray, model: Model) -> np.ndarray:
+    """Whether each text is below its bound: a single word may share few trigrams with its language, a longer text does not."""
+    far = cosine < model.least[best]
+    for k in np.flatnonzero(~far & (cosine < LEAST_OF_LONG)):
+        far[k] = len(trigrams(raws[k])) >= _LONG
+    return far
+
+
 def predictor(spark, model: Model):
     """A column function of a text: struct of lang, score (cosine, 0 to 1) and rejected.
 
@@ -146,7 +156,7 @@ def predictor(spark, model: Model):
         void = np.array([not has_letter(r.decode()) for r in raws], bool)
         lang = [UNKNOWN if v else model.languages[b] for v, b in zip(void, best)]
         return pa.StructArray.from_arrays(
-            [pa.array(lang, pa.string()), pa.array(np.where(void, 0.0, cosine)), pa.array(void | (cosine < model.least[best]))],
+            [pa.array(lang, pa.string()), pa.array(np.where(void, 0.0, cosine)), pa.array(void | too_far(raws, best, cosine, model))],
             names=["lang", "score", "rejected"],
         )
 

@@ -109,6 +109,12 @@ def test_model_does_not_depend_on_partitions(spark, sf, languages):
     assert again.languages == languages.languages and (again.centroids == languages.centroids).all() and (again.least == languages.least).all()
 
 
+def test_a_language_outside_the_sample_is_rejected(spark, languages):
+    texts = ["Het weer is vandaag erg mooi en wij gaan samen naar het strand", "Oggi il tempo è molto bello e andiamo insieme alla spiaggia"]
+    odd = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    assert all(r.rejected for r in langid.predict_language(odd, languages).collect())
+
+
 def test_labelled_junk_does_not_switch_rejection_off(spark, sf, languages):
     rows = table(spark, sf, "documents").filter(queries.fold("doc_id", 5) != 0).select("doc_id", "text", "lang")
     junk = [(900_000 + k, t, "en") for k, t in enumerate(["12345 67890", "", "...", " \n", "４２ ¿?", "жщ"])] + [(910_000 + k, "le petit chat noir", "zz") for k in range(2)]
