@@ -44,11 +44,13 @@ def windows_of(words: list[bytes], n: int) -> list[tuple[bytes, ...]]:
 class NgramSet:
     """The windows of some items: vocabulary, sorted hashes by window length, and the exact windows with their items."""
 
-    def __init__(self, items: Iterable[tuple[int, list[bytes]]], n: int):
+    def __init__(self, items: Iterable[tuple[int | None, list[bytes]]], n: int):
         self.items: dict[tuple[bytes, ...], set[int]] = defaultdict(set)
         for item, words in items:
             for window in windows_of(words, n):
-                self.items[window].add(item)
+                of = self.items[window]
+                if item is not None:  # the windows of an item without an id count, only its name is missing
+                    of.add(item)
         self.number = {w: k for k, w in enumerate(sorted({w for window in self.items for w in window}))}
         by_length = defaultdict(list)
         for window in self.items:
@@ -77,7 +79,7 @@ class NgramSet:
                 starts = starts[np.isin(self._hash(numbers, length, starts), hashes)]
             for s in starts.tolist():
                 items = self.items.get(tuple(words[s:s + length]))
-                if items:
+                if items is not None:
                     found.append((s, length, items))
         return found
 
@@ -128,7 +130,7 @@ def cut_words(text: str, spans: list[tuple[int, int]]) -> str:
 def benchmark_slices(benchmark: DataFrame, n: int, max_windows: int, item_col: str, text_col: str) -> Iterator[NgramSet]:
     """The benchmark streams through the driver item by item; only one slice is held at a time."""
     held, size = [], 0
-    rows = benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col).cast("string")).filter(F.col(item_col).isNotNull())
+    rows = benchmark.select(F.col(item_col).cast("bigint"), F.col(text_col).cast("string"))
     for item, text in rows.toLocalIterator():
         words = words_of((text or "").encode())
         size += max(0, len(words) - n) + 1
@@ -149,7 +151,7 @@ def contamination(
     """(doc_id, n_words, n_hit, items, spans[, text]) for each row of ``docs``.
 
     ``spans`` are merged ranges [first, last) of word numbers that lie inside some occurrence of a window. Null and empty
-    texts have no words and no hits; empty items have no window; items without an id are ignored; repeated rows are judged
+    texts have no words and no hits; empty items have no window; those without an id count as hits and are not listed; repeated rows are judged
     one by one. Extra columns are ignored. An empty table gives an empty result, an empty benchmark no hits.
     """
     if n < 1:

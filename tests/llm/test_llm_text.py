@@ -62,6 +62,14 @@ def test_contaminated_documents_or_spans_go(spark):
     assert texts[3] is None and texts[6] == "Ünïcode É É" and texts[8] == ""
 
 
+@pytest.mark.parametrize("max_windows", [1, 1000])
+def test_benchmark_items_without_an_id_count(spark, max_windows):
+    docs = brute.edge_docs(spark, LONG)
+    items = spark.createDataFrame([(None, ITEMS[4][1]), (7, "x y"), (8, "w12 w13 end w1 w2")], "item_id bigint, text string")
+    assert leak_rows(decontaminate.contamination(docs, items, max_windows=max_windows)) == [(20, 18, 17, (8,)), (21, 9, 0, ()), (22, 12, 10, ())]
+    assert [r.doc_id for r in decontaminate.decontaminate(docs, items).collect()] == [21]
+
+
 def test_decontamination_of_empty_tables(spark, docs):
     none = spark.createDataFrame([], "item_id bigint, text string")
     assert decontaminate.contamination(spark.createDataFrame([], EMPTY), none).collect() == []
