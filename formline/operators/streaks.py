@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -65,18 +65,29 @@ def streak_rows(
     then needs no further exchange.
     """
     rules = criteria() if rules is None else rules
+
+    def counted(base: DataFrame, breaks: dict[str, Column]) -> DataFrame:
+        return running(base, [keys.entity], [keys.when, keys.tie], {name: Running(brk) for name, brk in breaks.items()})
+
+    return _pair_rows(lines, rules, competitions, keys, [keys.entity], counted)
+
+
+def streak_cells(
+    lines: DataFrame, rules: dict[str, Column], competitions: dict[str, str], keys: Keys, sofar: Callable[[Column], Column], cell: Sequence[str],
+) -> DataFrame:
+    """:func:`streak_rows` with the breaks counted inside each cell only; ``sofar`` is the window sum of a column over its cell."""
+    return _pair_rows(lines, rules, competitions, keys, cell, lambda base, breaks: base.withColumns({name: sofar(brk) for name, brk in breaks.items()}))
+
+
+def _pair_rows(lines, rules, competitions, keys: Keys, group: Sequence[str], counted: Callable[[DataFrame, dict[str, Column]], DataFrame]) -> DataFrame:
     played = F.col(keys.seconds) >= MIN_SECONDS
     base = lines.select(
-        keys.entity, keys.when, keys.tie,
+        *group, keys.when, keys.tie,
         *[F.when(played, met).alias(f"met_{name}") for name, met in rules.items()],
         *[F.coalesce(F.col(flag), F.lit(False)).alias(f"in_{comp}") for comp, flag in competitions.items()],
     )
     pairs = [(rule, comp) for comp in competitions for rule in rules]
-    breaks = {
-        f"brk_{rule}_{comp}": Running((F.col(f"in_{comp}") & ~F.col(f"met_{rule}")).cast("int").cast("bigint"))
-        for rule, comp in pairs
-    }
-    counted = running(base, [keys.entity], [keys.when, keys.tie], breaks)
+    breaks = {f"brk_{rule}_{comp}": (F.col(f"in_{comp}") & ~F.col(f"met_{rule}")).cast("int").cast("bigint") for rule, comp in pairs}
     cells = F.array(*[
         F.struct(
             F.lit(rule).alias("streak_type"), F.lit(comp).alias("competition_type"),
@@ -87,7 +98,7 @@ def streak_rows(
     ])
     live = F.filter(cells, lambda c: c["met"].isNotNull())
     return (
-        counted.select(keys.entity, keys.when, keys.tie, F.inline(live))
+        counted(base, breaks).select(*group, keys.when, keys.tie, F.inline(live))
         .withColumn("island", F.col("breaks") - (~F.col("met")).cast("int"))
         .drop("breaks")
     )

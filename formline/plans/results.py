@@ -12,6 +12,7 @@ from formline.plans.league import sql
 from formline.plans.registry import query
 from formline.session import shared_dir, write_and_reload
 from formline.sources import sinks
+from formline.sources.keyed_log import KeyedLog, id_slot
 
 _COLUMNS = [f for f in scoring.MODEL_FEATURES if f != "min"]
 _ROWS = """
@@ -212,15 +213,31 @@ def detection_run(spark, sf):
 # ---- stores and exports ---------------------------------------------------------------------
 
 
-@query("upsert_merge", sql("""
+UPSERTED = sql("""
     SELECT id, player_id, CASE WHEN ist THEN pts + 100 ELSE pts END AS pts FROM form_lines UNION ALL
-    SELECT id + 1000000000, player_id, pts FROM form_lines WHERE po""", "form_lines"))
-def upsert_merge(spark, sf):
+    SELECT id + 1000000000, player_id, pts FROM form_lines WHERE po""", "form_lines")
+
+
+def _target_and_updates(spark, sf):
     lines = L.form_lines(spark, sf)
-    target = lines.select("id", "player_id", "pts")
     updates = lines.filter("ist").selectExpr("id", "player_id", "pts + 100 pts").unionByName(
         lines.filter("po").selectExpr("id + 1000000000 id", "player_id", "pts"))
-    return sinks.upsert(target, updates, ["id"])
+    return lines.select("id", "player_id", "pts"), updates
+
+
+@query("upsert_merge", UPSERTED)
+def upsert_merge(spark, sf):
+    return sinks.upsert(*_target_and_updates(spark, sf), ["id"])
+
+
+@query("upsert_runs", UPSERTED)
+def upsert_runs(spark, sf):
+    """The same upsert into a keyed log: the update writes its own rows, the target stays as it is."""
+    target, updates = _target_and_updates(spark, sf)
+    log = KeyedLog(spark, shared_dir(spark, "upsert"), target.schema, ["id"], id_slot(target.schema, "id"))
+    log.write(target, 0)
+    log.write(updates, 1)
+    return log.read()
 
 
 @query("regenerate_period", sql("""

@@ -1,47 +1,88 @@
-"""Incremental streaks: one open run per (entity, type, competition), closed runs appended, late rows run again."""
+"""Incremental streaks as an algebra of segments.
+
+The rows of an entity in one week make a segment: for each type and competition its leading run, the runs closed inside it, its
+trailing run, and whether it has a break. Segments that follow each other merge to a segment of the same form, in any grouping:
+a trailing run, the whole runs of unbroken segments after it and the leading run of the next broken one are one run. So a row
+that arrives, late or corrected or not, changes one segment, made again from the lines of its week alone, and no line of another
+week is read. Runs across weeks are put together from the segments when the streaks are asked for.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from formline.operators.streaks import COMPETITIONS, criteria, last_rows, streak_rows
+from formline.operators.streaks import COMPETITIONS, criteria, streak_cells
 from formline.operators.zscore import Keys
-from formline.streaming.deltas import DeltaFolder, MergedState
-from formline.streaming.lines import BUCKETS, LineStore
+from formline.sources.keyed_log import KeyedLog
+from formline.streaming.lines import LineStore, numbers
 
 HISTORY = -1  # the batch number of a bootstrap
 
 
-class StreakStream:
-    """Detector with its tables below ``root``: lines, runs of each batch, open runs, last rows, restarts.
+def segments(lines: DataFrame, cell: list[str], rules: dict[str, Column], competitions: dict[str, str] = COMPETITIONS, keys: Keys = Keys()) -> DataFrame:
+    """The runs of each cell: island 0 leads, the last may be open at the end; a run of length 0 only says that the cell begins with a break.
 
-    Rows after the entity's last row extend, break or freeze its open runs. A late row, or a corrected one, may change any
-    run of its entity: the entity is then run again from its stored lines, and the runs of earlier batches no longer count.
+    A cell is an entity's week, so its rows are few and one window numbers them. The last row of each competition
+    is a run of its own, without a type.
+    """
+    order = Window.partitionBy(*cell).orderBy(keys.when, keys.tie)
+    numbered = streak_cells(lines, rules, competitions, keys, lambda brk: F.coalesce(F.sum(brk).over(order), F.lit(0)), cell)
+    place, met = F.struct(F.col(keys.when).alias("day"), F.col(keys.tie).alias("game")), F.col("met")
+    runs = numbered.groupBy(*cell, "streak_type", "competition_type", "island").agg(
+        F.count_if(met).alias("length"), F.min(F.when(met, place)).alias("first"), F.max(F.when(met, place)).alias("last"),
+        F.min(F.when(~met, F.col(keys.when))).alias("broken_on"),
+    ).filter("length > 0 or island = 0")
+    flags = F.array_compact(F.array(*[F.when(F.coalesce(F.col(flag), F.lit(False)), F.lit(comp)) for comp, flag in competitions.items()]))
+    finals = lines.withColumn("competition_type", F.explode(flags)).groupBy(*cell, "competition_type").agg(F.max(place).alias("last"))
+    return runs.unionByName(finals, allowMissingColumns=True)
+
+
+def merged_runs(found: DataFrame, entity: str, week: str) -> DataFrame:
+    """All runs of all entities from their segments, in the form of :func:`formline.operators.streaks.islands`.
+
+    A leading run belongs to what was open before its week, so it is numbered by the broken weeks before; an open trailing run
+    by those up to its own week. Pieces with one number are one run.
     """
+    group = [entity, "streak_type", "competition_type"]
+    found = found.filter("streak_type is not null")
+    broken = F.max(F.col("broken_on").isNotNull().cast("int"))
+    # One row for each week in which the pair has rows: as many as an entity has weeks.
+    weeks = found.groupBy(*group, week).agg(
+        broken.alias("broken"), F.max("island").alias("islands"),
+        F.max(F.when(F.col("island") == 0, F.struct("length", "first", "last", "broken_on"))).alias("lead"),
+        F.max(F.when((F.col("island") > 0) & F.col("broken_on").isNull(), F.struct("length", "first", "last", "broken_on"))).alias("trail"),
+    )
+    upto = F.sum("broken").over(Window.partitionBy(*group).orderBy(week))
+    pieces = weeks.withColumn("upto", upto).select(
+        *group, F.inline(F.filter(F.array(
+            F.struct((F.col("upto") - F.col("broken")).alias("number"), F.col("lead").alias("piece")), F.struct(F.col("upto").alias("number"), F.col("trail").alias("piece")),
+        ), lambda x: x["piece"].isNotNull())),
+    )
+    across = pieces.groupBy(*group, "number").agg(
+        F.sum("piece.length").alias("length"), F.min("piece.first").alias("first"), F.max("piece.last").alias("last"), F.max("piece.broken_on").alias("broken_on"),
+    ).drop("number")
+    inside = found.filter("island > 0 and broken_on is not null").select(*across.columns)
+    return across.unionByName(inside).filter("length > 0")
+
+
+class StreakStream:
+    """Detector with its tables below ``root``: lines and segments, both by week."""
 
     def __init__(
         self, spark: SparkSession, root: str, lines_schema: str, keys: Keys = Keys(), rules: Callable[[], dict[str, Column]] = criteria,
-        competitions: dict[str, str] = COMPETITIONS, buckets: int = BUCKETS,
+        competitions: dict[str, str] = COMPETITIONS,
     ):
         self.spark, self.keys, self.rules, self.competitions = spark, keys, rules, competitions
+        self.lines = LineStore(spark, f"{root}/lines", lines_schema, keys)
+        self.cell = [keys.entity, "__week"]
         kinds = dict(spark.createDataFrame([], lines_schema).dtypes)
-        entity, place = f"{keys.entity} {kinds[keys.entity]}", f"struct<day:{kinds[keys.when]},game:{kinds[keys.tie]}>"
-        key = f"{entity}, streak_type string, competition_type string"
-        self.lines = LineStore(spark, f"{root}/lines", lines_schema, keys, buckets)
-        self.runs = DeltaFolder(spark, f"{root}/runs", f"{key}, length bigint, first {place}, last {place}, broken_on {kinds[keys.when]}")
-        self.restarts = DeltaFolder(spark, f"{root}/restarts", entity)
-        self.open = MergedState(spark, f"{root}/open", f"{key}, length bigint, first {place}, last {place}", self._latest)
-        self.finals = MergedState(spark, f"{root}/finals", f"{entity}, competition_type string, final {place}", self._newest_finals)
-
-    def _latest(self, rows: DataFrame) -> DataFrame:
-        group = [self.keys.entity, "streak_type", "competition_type"]
-        return rows.groupBy(*group).agg(F.max_by(F.struct("length", "first", "last"), "batch").alias("r")).select(*group, "r.*")
-
-    def _newest_finals(self, rows: DataFrame) -> DataFrame:
-        return rows.groupBy(self.keys.entity, "competition_type").agg(F.max_by("final", F.col("batch")).alias("final"))
+        place = f"struct<day:{kinds[keys.when]},game:{kinds[keys.tie]}>"
+        schema = f"{keys.entity} {kinds[keys.entity]}, __week bigint, streak_type string, competition_type string, island bigint, length bigint, first {place}, last {place}, broken_on {kinds[keys.when]}"
+        self.segments = KeyedLog(spark, f"{root}/segments", T.StructType.fromDDL(schema), self.cell, F.col("__week"), many=True, payload="competition_type")
 
     def bootstrap(self, history: DataFrame) -> bool:
         """Load history into an empty detector, before its first batch; a detector that has lines is left as it is."""
@@ -51,67 +92,31 @@ class StreakStream:
         return True
 
     def process(self, batch: DataFrame, number: int) -> None:
-        k = self.keys
-        here = F.struct(F.col(k.when).alias("day"), F.col(k.tie).alias("game"))
-        self.lines.write(batch, number)
-        fresh = self.lines.batch(number)
-        entities = fresh.select(k.entity).distinct()
-        content = F.xxhash64(*self.lines.columns)
-        before = self.lines.deliveries(entities, number - 1)
-        last = before.groupBy(k.entity).agg(F.max(here).alias("__last"))
-        old = self.lines.latest(before).select(F.col(k.row_id).alias("__id"), content.alias("__content"))
-        placed = fresh.join(last, k.entity, "left").join(old, F.col(k.row_id) == F.col("__id"), "left")
-        placed = placed.filter(F.col("__content").isNull() | (F.col("__content") != content))  # delivered again as it was: nothing new
-        late = placed.filter(F.col("__id").isNotNull() | F.coalesce(here <= F.col("__last"), F.lit(False))).select(k.entity).distinct()
-        self.restarts.write(late, number)
-        late = self.restarts.batch(number)
-        anew = self.lines.rows(late, number)
-        fresh = placed.join(late, k.entity, "left_anti").select(*self.lines.columns).unionByName(anew.select(*self.lines.columns))
-
-        group = [k.entity, "streak_type", "competition_type"]
-        met, place = F.col("met"), here
-        runs = streak_rows(fresh, self.rules(), self.competitions, k).groupBy(*group, "island").agg(
-            F.count_if(met).alias("length"), F.min(F.when(met, place)).alias("first"), F.max(F.when(met, place)).alias("last"),
-            F.min(F.when(~met, F.col(k.when))).alias("broken_on"))
-        # The first run of a batch continues the open run, if there is one.
-        before = self.open.current(number, entities).filter("length > 0").join(late, k.entity, "left_anti").select(
-            *group, F.lit(0).cast("bigint").alias("island"), F.col("length").alias("__n"), F.col("first").alias("__first"), F.col("last").alias("__last"))
-        joined = runs.join(before, [*group, "island"], "left").select(
-            *group, (F.col("length") + F.coalesce("__n", F.lit(0))).alias("length"), F.coalesce("__first", "first").alias("first"),
-            F.coalesce("last", "__last").alias("last"), "broken_on")
-        self.runs.write(joined, number)
-        still_open = self.runs.batch(number).groupBy(*group).agg(
-            F.max(F.when(F.col("broken_on").isNull(), F.struct("length", "first", "last"))).alias("r"))
-        now = still_open.select(*group, F.coalesce("r.length", F.lit(0)).cast("bigint").alias("length"), "r.first", "r.last")
-        # A run that a correction took away is no longer open.
-        gone = self.open.current(number, entities).join(late, k.entity, "left_semi").withColumns(
-            {"length": F.lit(0).cast("bigint"), "first": F.lit(None).cast(now.schema["first"].dataType), "last": F.lit(None).cast(now.schema["last"].dataType)})
-        both = now.unionByName(gone).groupBy(*group).agg(F.max(F.struct("length", "first", "last")).alias("r")).select(*group, "r.*")
-        self.open.add(both, number)
-        finals = last_rows(fresh, self.competitions, k)
-        earlier = self.finals.current(number, entities).join(late, k.entity, "left_anti")
-        self.finals.add(finals.unionByName(earlier).groupBy(k.entity, "competition_type").agg(F.max("final").alias("final")), number)
+        """Store one micro-batch and make the segments again that it touches."""
+        arrivals = self.lines.write(batch, number)
+        touched = arrivals.select(*self.cell).distinct()
+        weeks = numbers(arrivals, "__week")
+        mine = self.lines.rows(weeks, number + 1).join(touched, self.cell, "left_semi")
+        made = segments(mine, self.cell, self.rules(), self.competitions, self.keys)
+        self.segments.write(made.unionByName(touched, allowMissingColumns=True), number, weeks)
 
     def streaks(self, active: DataFrame) -> DataFrame:
         """All streaks so far, in the form of the batch operator."""
-        k = self.keys
-        group = [k.entity, "streak_type", "competition_type"]
-        finals = self.finals.current()
+        k, now = self.keys, self.segments.read()
+        finals = now.filter("streak_type is null").groupBy(k.entity, "competition_type").agg(F.max("last").alias("final"))
         flagged = active.select(k.entity).distinct().withColumn("__entity_active", F.lit(True))
-        is_active = F.coalesce(F.col("__entity_active"), F.lit(False)) & F.coalesce(F.col("last.game") == F.col("final.game"), F.lit(False))
-        running_now = (
-            self.open.current().filter("length > 0").join(finals, [k.entity, "competition_type"], "left").join(flagged, k.entity, "left")
+        is_active = (
+            F.col("broken_on").isNull() & F.coalesce(F.col("__entity_active"), F.lit(False)) & F.coalesce(F.col("last.game") == F.col("final.game"), F.lit(False))
+        )
+        return (
+            merged_runs(now, k.entity, "__week").join(finals, [k.entity, "competition_type"], "left").join(flagged, k.entity, "left")
             .withColumn("is_active", is_active)
-            .select(*group, "length", "is_active", F.col("first.day").alias("started_at"),
-                    F.when(~F.col("is_active"), F.col("last.day")).alias("ended_at"),
-                    F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
+            .select(
+                k.entity, "streak_type", "competition_type", "length", "is_active", F.col("first.day").alias("started_at"),
+                F.when(F.col("broken_on").isNotNull(), F.col("broken_on")).when(~F.col("is_active"), F.col("last.day")).alias("ended_at"),
+                F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"),
+            )
         )
-        restarted = self.restarts.rows().groupBy(k.entity).agg(F.max("batch").alias("__since"))
-        counted = self.runs.rows().join(restarted, k.entity, "left").filter("__since is null or batch >= __since")
-        done = counted.filter("broken_on is not null and length > 0").select(
-            *group, "length", F.lit(False).alias("is_active"), F.col("first.day").alias("started_at"), F.col("broken_on").alias("ended_at"),
-            F.col("first.game").alias("first_game_id"), F.col("last.game").alias("last_game_id"))
-        return done.unionByName(running_now)
 
     def start(self, source: DataFrame, checkpoint: str):
         return (

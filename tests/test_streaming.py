@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import glob
 import random
 import time
 from datetime import date, timedelta
 
+import pyarrow.parquet as pq
 import pytest
 from conftest import LINE_SCHEMA, line, lines_df, rows
 from test_detectors import random_lines
@@ -11,7 +13,6 @@ from test_detectors import random_lines
 from pyspark.sql import functions as F
 
 from formline.operators import rollups, streaks, trends, zscore
-from formline.streaming.deltas import MergedState
 from formline.streaming.rollups import RollupStream
 from formline.streaming.streaks import StreakStream
 from formline.streaming.zscore import ZScoreStream
@@ -38,7 +39,7 @@ def test_zscore_stream_equals_batch(spark, tmp_path):
     items = random_lines(seed=11, players=3, per_season=25)
     parts = ordered_parts(items, 3)
     land(spark, tmp_path / "in", parts)
-    job = ZScoreStream(spark, str(tmp_path / "out"), LINE_SCHEMA, buckets=2)
+    job = ZScoreStream(spark, str(tmp_path / "out"), LINE_SCHEMA)
     job.start(source(spark, tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
     want = zscore.zscore_outliers(lines_df(spark, items))
     cols = ["stat_id", "headline_z", "outlier_type", "games_in_sample"]
@@ -71,7 +72,7 @@ TRENDS = ["player_id", "window_type", "reference_date", "max_z_score", "games_in
 
 def test_zscore_and_trend_streams_with_repeats_late_rows_and_corrections(spark, tmp_path):
     parts, truth = muddled(random_lines(seed=12, players=3, per_season=25), 3, 1)
-    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA)
     for number, part in enumerate(parts):
         job.process(lines_df(spark, part), number)
     job.process(lines_df(spark, parts[-1]), len(parts) - 1)     # the last batch is tried again
@@ -86,7 +87,7 @@ def test_earlier_period_without_playing_time_ends_the_grace(spark, tmp_path):
     bench = [line(900, 1, date(2023, 1, 5), 0, seconds=0, season="2022-23")]
     season = [line(i, 1, date(2023, 11, 1) + timedelta(days=i), 20) for i in range(8)] + [line(50, 1, date(2023, 12, 1), 60)]
     for order in ([bench, season], [season, bench]):            # the earlier row may even come last
-        job = ZScoreStream(spark, str(tmp_path / str(len(order[0]))), LINE_SCHEMA, buckets=2, with_trends=False)
+        job = ZScoreStream(spark, str(tmp_path / str(len(order[0]))), LINE_SCHEMA, with_trends=False)
         for number, part in enumerate(order):
             job.process(lines_df(spark, part), number)
         assert [r["stat_id"] for r in job.outliers().collect()] == [50]
@@ -95,7 +96,7 @@ def test_earlier_period_without_playing_time_ends_the_grace(spark, tmp_path):
 def test_trend_baseline_reaches_back_over_the_whole_period(spark, tmp_path):
     items = [line(i, 1, date(2021, 1, 1) + timedelta(days=20 * i), 10 + i % 5) for i in range(41)]
     items += [line(100 + i, 1, date(2023, 4, 2) + timedelta(days=i), 40) for i in range(2)]
-    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    job = ZScoreStream(spark, str(tmp_path / "a"), LINE_SCHEMA)
     for number, part in enumerate([items[:30], items[30:]]):
         job.process(lines_df(spark, part), number)
     got = job.trends().filter("window_type = 'week'").first()
@@ -105,7 +106,7 @@ def test_trend_baseline_reaches_back_over_the_whole_period(spark, tmp_path):
 def test_bootstrap_loads_history_once(spark, tmp_path):
     items = random_lines(seed=13, players=2, per_season=25)
     parts = ordered_parts(items, 3)
-    zs, runs = ZScoreStream(spark, str(tmp_path / "z"), LINE_SCHEMA, buckets=2, with_trends=False), StreakStream(spark, str(tmp_path / "s"), LINE_SCHEMA, buckets=2)
+    zs, runs = ZScoreStream(spark, str(tmp_path / "z"), LINE_SCHEMA, with_trends=False), StreakStream(spark, str(tmp_path / "s"), LINE_SCHEMA)
     active = spark.createDataFrame([(1,)], "player_id bigint")
     for job in (zs, runs):
         assert job.bootstrap(lines_df(spark, parts[0] + parts[1]))
@@ -120,17 +121,16 @@ def test_streak_stream_equals_batch(spark, tmp_path):
     items = random_lines(seed=21, players=3, per_season=20)
     land(spark, tmp_path / "in", ordered_parts(items, 3))
     active = spark.createDataFrame([(1,), (2,)], "player_id bigint")
-    job = StreakStream(spark, str(tmp_path / "out"), LINE_SCHEMA, buckets=2)
+    job = StreakStream(spark, str(tmp_path / "out"), LINE_SCHEMA)
     job.start(source(spark, tmp_path / "in"), str(tmp_path / "cp")).awaitTermination()
     want = streaks.streaks(lines_df(spark, items), active)
     assert rows(job.streaks(active).select(*want.columns)) == rows(want) and want.count() > 50
-    assert rows(job.open.current().filter("length > 0").groupBy("player_id", "streak_type", "competition_type").count().filter("count > 1")) == []
 
 
 def test_streak_stream_with_repeats_late_rows_and_corrections(spark, tmp_path):
     parts, truth = muddled(random_lines(seed=22, players=3, per_season=15), 3, 2)
     active = spark.createDataFrame([(1,), (2,)], "player_id bigint")
-    job = StreakStream(spark, str(tmp_path / "a"), LINE_SCHEMA, buckets=2)
+    job = StreakStream(spark, str(tmp_path / "a"), LINE_SCHEMA)
     for number, part in enumerate(parts):
         job.process(lines_df(spark, part), number)
     job.process(lines_df(spark, parts[-1]), len(parts) - 1)
@@ -145,31 +145,81 @@ def test_streak_stream_takes_rules_and_string_ids(spark, tmp_path):
     schema = LINE_SCHEMA.replace("game_id bigint", "game_id string")
     items = [line(i, 1, date(2024, 1, 1) + timedelta(days=i), 25 if i != 4 else 3) | {"game_id": f"g{i:03d}"} for i in range(8)]
     rules = lambda: streaks.criteria(["pts_20"])
-    job = StreakStream(spark, str(tmp_path / "a"), schema, buckets=2, rules=rules, competitions={"regular": "rs"})
+    job = StreakStream(spark, str(tmp_path / "a"), schema, rules=rules, competitions={"regular": "rs"})
     for number in range(2):
         job.process(spark.createDataFrame(items[4 * number:4 * number + 4], schema), number)
     found = job.streaks(spark.createDataFrame([(1,)], "player_id bigint"))
     assert sorted((r["length"], r["first_game_id"], r["is_active"]) for r in found.collect()) == [(3, "g005", True), (4, "g000", False)]
 
 
-def test_compaction_keeps_the_state(spark, tmp_path, monkeypatch):
-    monkeypatch.setattr("formline.streaming.deltas.COMPACT_EVERY", 3)
-    merge = lambda df: df.groupBy("k").agg(F.sum("v").alias("v"))
-    state = MergedState(spark, str(tmp_path / "s"), "k bigint, v bigint", merge)
-    for n in range(8):
-        state.add(spark.createDataFrame([(n % 2, 1), (7, n)], "k bigint, v bigint"), n)
-    assert rows(state.current()) == [(0, 4), (1, 4), (7, 28)]
-    assert rows(state.current(4)) == [(0, 2), (1, 2), (7, 6)]
+def rolled(job, want):
+    return rows(job.rollups().select(*want.columns)) == rows(want)
 
 
 def test_rollup_stream(spark, tmp_path):
     items = random_lines(seed=31, players=2, per_season=10)
-    job = RollupStream(spark, str(tmp_path / "r"), LINE_SCHEMA)
+    job = RollupStream(spark, str(tmp_path / "r"), LINE_SCHEMA.replace("game_date", "date") + ", pi boolean")
     frame = lambda part: lines_df(spark, part).withColumnRenamed("game_date", "date").withColumn("pi", F.lit(False))
     parts = ordered_parts(items, 3)
     for i, part in enumerate(parts):
         job.process(frame(part), i)
-    job.process(frame(parts[1]), 1)                     # repeated batch replaces itself
-    job.process(frame(parts[0] + parts[0]), 3)          # rows delivered again count once
+    job.process(frame(parts[2]), 2)                     # repeated batch replaces itself
+    job.process(frame(parts[0] + parts[0]), 3)          # rows delivered again count once, and move nothing
+    assert job.spark.read.parquet(job.rows.path).filter("run = 6").count() == 0
     want = rollups.season_rollup(frame(items))
-    assert rows(job.rollups().select(*want.columns)) == rows(want)
+    assert rolled(job, want)
+    one = next(r for r in parts[0] if r["rs"]) | {"pts": 99}
+    job.process(frame([one]), 4)                        # a corrected row moves one row for each of its types
+    moved = job.spark.read.parquet(job.rows.path).filter("run = 8")
+    assert moved.count() == 1 + one["po"] + one["ist"]
+    assert rolled(job, rollups.season_rollup(frame([one if r["id"] == one["id"] else r for r in items])))
+
+
+def test_rollup_stream_takes_out_days_and_moves_rows(spark, tmp_path):
+    """Corrections take the earliest and latest days away until nothing kept is left; rows change day, team and season."""
+    frame = lambda part: lines_df(spark, part).withColumnRenamed("game_date", "date").withColumn("pi", F.lit(False))
+    items = {i: line(i, 1, date(2024, 1, 1) + timedelta(days=5 * i), 10 + i) for i in range(8)}
+    job = RollupStream(spark, str(tmp_path / "r"), LINE_SCHEMA.replace("game_date", "date") + ", pi boolean", kept=2)
+    job.process(frame(list(items.values())), 0)
+    steps = [
+        {0: {"rs": False}, 1: {"rs": False}, 2: {"rs": False}}, {7: {"team_id": 2}, 6: {"season": "2024-25"}}, {3: {"game_date": date(2024, 6, 1)}},
+        {3: {"game_date": date(2023, 12, 1), "player_id": 2}, 0: {"rs": True}},
+    ]
+    for number, step in enumerate(steps, 1):
+        for i, change in step.items():
+            items[i] = items[i] | change
+        job.process(frame([items[i] for i in step]), number)
+        assert rolled(job, rollups.season_rollup(frame(list(items.values())))), number
+
+
+def test_rows_that_move_to_another_week_and_entity(spark, tmp_path):
+    """A row that comes again elsewhere leaves its old week, period and entity."""
+    items = {r["id"]: r for r in random_lines(seed=14, players=2, per_season=12)}
+    parts = ordered_parts(list(items.values()), 2)
+    zs, runs = ZScoreStream(spark, str(tmp_path / "z"), LINE_SCHEMA), StreakStream(spark, str(tmp_path / "s"), LINE_SCHEMA)
+    ids = [r["id"] for r in parts[0]]
+    last = [items[ids[3]] | {"game_date": date(2024, 6, 20)}, items[ids[5]] | {"player_id": 2}, items[ids[7]] | {"season": "2021-22", "game_date": date(2021, 11, 5)}]
+    for number, part in enumerate([*parts, last]):
+        for job in (zs, runs):
+            job.process(lines_df(spark, part), number)
+    for r in last:
+        items[r["id"]] = r
+    batch, active = lines_df(spark, list(items.values())), spark.createDataFrame([(1,), (2,)], "player_id bigint")
+    assert rows(zs.outliers().select(*ZSCORE)) == rows(zscore.zscore_outliers(batch).select(*ZSCORE))
+    assert rows(zs.trends().select(*TRENDS)) == rows(trends.trend_outliers(batch).select(*TRENDS))
+    want = streaks.streaks(batch, active)
+    assert rows(runs.streaks(active).select(*want.columns)) == rows(want)
+
+
+def test_a_batch_reads_its_own_weeks_however_long_the_history(spark, tmp_path):
+    """Rows in the folders that a batch reads stay as few over many batches; a merge reads one slot."""
+    job = StreakStream(spark, str(tmp_path / "s"), LINE_SCHEMA, rules=lambda: streaks.criteria(["pts_20"]), competitions={"regular": "rs"})
+    read = []
+    for number in range(20):
+        part = [line(10 * number + i, i, date(2024, 1, 1) + timedelta(days=7 * number + i % 7), 15 + i) for i in range(10)]
+        part += [line(3, 3, date(2024, 1, 4), number)] if number == 15 else []      # one late correction
+        job.lines.lines.read_folders.clear()
+        job.process(lines_df(spark, part), number)
+        read.append(sum(pq.ParquetFile(f).metadata.num_rows for folder in job.lines.lines.read_folders for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet")))
+    assert max(read[1:15] + read[16:]) <= 10 and read[15] <= 21
+    assert job.streaks(spark.createDataFrame([(9,)], "player_id bigint")).filter("player_id = 9").first()["length"] == 20
