@@ -1,4 +1,4 @@
-"""Weekly and monthly form against the season baseline, at one reference day per entity."""
+"""Weekly and monthly form against the season baseline, at one reference day per entity or at every day."""
 
 from __future__ import annotations
 
@@ -8,6 +8,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from formline.operators.asof import asof_join
+from formline.operators.running import Running, running
 from formline.operators.zscore import (
     DEFAULT_FEATURES,
     MIN_BASELINE_ROWS,
@@ -44,14 +46,14 @@ def last_days(lines: DataFrame, keys: Keys = Keys()) -> DataFrame:
     )
 
 
-def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys) -> DataFrame:
+def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys, *more: str) -> DataFrame:
     """(entity, period, day) with the addends of the sums, row by row.
 
     The join with the reference day is an inner join on the entity: Spark splits the rows of a huge entity, and the
     aggregation after it combines on the map side.
     """
     inputs = baseline_inputs(features, keys) | {"played": f"if({keys.seconds} > 0, 1L, null)"}
-    return lines.select(keys.entity, keys.period, keys.when, *[F.expr(c).alias(name) for name, c in inputs.items()])
+    return lines.select(keys.entity, keys.period, keys.when, *more, *[F.expr(c).alias(name) for name, c in inputs.items()])
 
 
 def trend_scores(
@@ -79,8 +81,39 @@ def trend_scores(
         for f in features:
             aggs.append(F.expr(f"sum(if({inside}, {f.name}_s, null))").alias(f"{w.name}_{f.name}_s"))
             aggs.append(F.expr(f"coalesce(sum(if({inside}, {f.name}_n, null)), 0L)").alias(f"{w.name}_{f.name}_n"))
-    grouped = rows.groupBy(keys.entity, "reference_date").agg(*aggs)
+    return _scores_of(rows.groupBy(keys.entity, "reference_date").agg(*aggs), windows, features, keys)
 
+
+def trend_history(
+    lines: DataFrame, windows: Sequence[TrendWindow] = (WEEK, MONTH), features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys(),
+) -> DataFrame:
+    """:func:`trend_scores` with every day on which an entity has a row as reference day, in one pass.
+
+    A window's sums are the entity's sums up to the day less those up to the day before the window, found by an as-of join;
+    the baseline is a running sum of the period. Both run over blocks of weeks, so no task holds an entity.
+    """
+    k, names = keys, [*baseline_inputs(features, keys), "played"]
+    in_windows = ["played", *[f"{f.name}_{x}" for f in features for x in "sn"]]
+    added = [F.expr(f"coalesce(sum({n}), 0) as {n}") for n in names]
+    rows = _addends(lines.withColumn("__tie", F.col(k.tie)), features, k, "__tie")
+    by_period = rows.groupBy(k.entity, k.period, k.when).agg(F.max("__tie").alias("__tie"), *added)
+    base = running(by_period, [k.entity, k.period], [k.when], {f"run_{n}": Running(F.col(n)) for n in names})
+    # A day belongs to the period of the entity's last row on it.
+    base = base.groupBy(k.entity, F.col(k.when).alias("reference_date")).agg(F.max_by(F.struct(*[F.col(f"run_{n}").alias(n) for n in names]), "__tie").alias("b"))
+    base = base.select(k.entity, "reference_date", F.col("b.played").alias("base_games"), *[F.col(f"b.{n}").alias(n) for n in names if n != "played"])
+    by_day = by_period.groupBy(k.entity, k.when).agg(*[F.expr(f"sum({n}) as {n}") for n in in_windows])
+    upto = running(by_day, [k.entity], [k.when], {f"upto_{n}": Running(F.col(n)) for n in in_windows}).select(k.entity, F.col(k.when).alias("__day"), *[f"upto_{n}" for n in in_windows])
+    days = base.join(upto.withColumnRenamed("__day", "reference_date"), [k.entity, "reference_date"])
+    for w in windows:
+        days = days.withColumn("__edge", F.date_sub("reference_date", w.days))
+        days = asof_join(days, upto, [k.entity], "__edge", "__day", {f"{w.name}_was_{n}": f"upto_{n}" for n in in_windows}).drop("__edge")
+    sums = [
+        f"upto_{n} - coalesce({w.name}_was_{n}, 0) as {w.name}_{'games' if n == 'played' else n}" for w in windows for n in in_windows
+    ]
+    return _scores_of(days.selectExpr(k.entity, "reference_date", "base_games", *[n for n in names if n != "played"], *sums), windows, features, keys)
+
+
+def _scores_of(grouped: DataFrame, windows: Sequence[TrendWindow], features: Sequence[Feature], keys: Keys) -> DataFrame:
     per_window = []
     for w in windows:
         fields = [f"'window_type', '{w.name}', 'games_in_window', {w.name}_games, 'min_rows', {w.min_rows}"]

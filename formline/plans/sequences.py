@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from formline.operators import gaps, streaks, trends, zscore
+from formline.operators.asof import asof_join
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.registry import query
@@ -152,6 +153,38 @@ _register_trend("trend_week", trends.WEEK)
 _register_trend("trend_month", trends.MONTH)
 
 
+_DAILY = f"""
+    SELECT player_id, season, game_date, count(*) FILTER (WHERE min_seconds > 0) AS games, {", ".join(f'''coalesce(sum({_value(f)}) FILTER (WHERE {_use(f)}), 0) AS {f.name}_s,
+           coalesce(sum({_value(f)} * {_value(f)}) FILTER (WHERE {_use(f)}), 0) AS {f.name}_q, count(*) FILTER (WHERE {_use(f)}) AS {f.name}_n''' for f in FEATURES)}
+    FROM form_lines GROUP BY player_id, season, game_date"""
+_SOFAR = f"""
+    SELECT player_id, season, game_date, CAST(sum(games) OVER w AS BIGINT) AS games_in_baseline, {", ".join(f"sum({f.name}_{x}) OVER w AS {f.name}_{x}" for f in FEATURES for x in "sqn")}
+    FROM daily WINDOW w AS (PARTITION BY player_id, season ORDER BY game_date)"""
+_NEAR = "SELECT player_id, game_date, max(season) AS season, " + ", ".join(
+    f"CAST(sum(sum(games)) OVER w{d} AS BIGINT) AS w{d}_games, " + ", ".join(f"sum(sum({f.name}_{x})) OVER w{d} AS w{d}_{f.name}_{x}" for f in FEATURES for x in "sn") for d in (7, 30)
+) + " FROM daily GROUP BY player_id, game_date WINDOW " + ", ".join(
+    f"w{d} AS (PARTITION BY player_id ORDER BY game_date RANGE BETWEEN INTERVAL {d - 1} DAYS PRECEDING AND CURRENT ROW)" for d in (7, 30))
+_HISTORY = {"daily": _DAILY, "sofar": _SOFAR, "near": _NEAR, "base": "SELECT *, game_date AS ref FROM sofar JOIN near USING (player_id, season, game_date)"}
+
+
+@query("trend_history", sql(f"{_trend_rows('week', 7, 2)} UNION ALL {_trend_rows('month', 30, 5)}", "form_lines", extra=_HISTORY))
+def trend_history(spark, sf):
+    return trends.trend_history(L.form_lines(spark, sf)).drop(*[f"base_{f.name}" for f in FEATURES])
+
+
+@query("asof_form", sql("""
+    SELECT id, l.player_id, CAST(l.game_date AS VARCHAR) AS game_date, r.best.game AS last_game, CAST(r.game_date AS VARCHAR) AS last_day, r.best.pts AS last_pts
+    FROM (SELECT * FROM form_lines WHERE po) l ASOF LEFT JOIN
+        (SELECT player_id, game_date, max(struct_pack(game := game_id, pts := pts)) AS best FROM form_lines WHERE rs GROUP BY player_id, game_date) r
+        ON l.player_id = r.player_id AND l.game_date > r.game_date""", "form_lines"))
+def asof_form(spark, sf):
+    """Each playoff line with the player's last regular game before that day."""
+    lines = L.form_lines(spark, sf)
+    found = asof_join(
+        lines.filter("po"), lines.filter("rs"), ["player_id"], "game_date", "game_date", {"last_game": "game_id", "last_day": "game_date", "last_pts": "pts"}, tie="game_id", strict=True)
+    return found.select("id", "player_id", "game_date", "last_game", "last_day", "last_pts")
+
+
 TREND_OUTLIERS = sql(f"""
     SELECT player_id, window_type, reference_date, games_in_window, games_in_baseline, top AS size, features FROM (
         SELECT *, greatest({", ".join(f"CASE WHEN abs(z_{f.name}) > 2 THEN abs(z_{f.name}) END" for f in FEATURES)}) AS top,
