@@ -32,3 +32,19 @@ def test_queries_without_a_configured_folder(sf, tmp_path):
     assert result.startswith("RESULT True True 0 "), result
     if str(tmp_path) in result:
         assert not os.path.exists(result.split()[-1])  # an own folder goes with the process
+
+
+BLOCKED = """
+import sys, warnings
+sys.modules["xxhash"] = None
+warnings.simplefilter("ignore")
+import __spark_entry__ as entry
+print("RESULT", len(entry.queries()) >= 123, any(n.startswith("op") for n in entry.queries()))
+"""
+
+
+def test_a_missing_library_of_the_add_on_leaves_the_other_queries(tmp_path):
+    """Also right where the add-on itself is missing: then there are no op queries in any case."""
+    repo = Path(__file__).resolve().parent.parent
+    said = subprocess.run([sys.executable, "-c", BLOCKED], cwd=repo, env=os.environ | {"PYTHONPATH": str(repo)}, capture_output=True, text=True, timeout=300)
+    assert "RESULT True False" in said.stdout, said.stderr[-2000:]
