@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from formline.functions.awards import INDIVIDUAL_AWARDS
 from formline.functions.people import has_word_starting, is_european, is_lottery_pick
+from formline.operators import categories
 from formline.operators.search import first_per_name
 
 REGULAR = "Regular Season"
@@ -138,25 +139,27 @@ def companions_of_player(season_rows: DataFrame, player_id: int) -> DataFrame:
     return companions_of(season_rows, chosen).filter(F.col("player_id") != player_id)
 
 
+CATEGORIES = ["champion", "all_star", "lottery", "conferences", "non_mvp", "spanish_mate", "european", "lebron_mate"]
+
+
+def category_bitmaps(
+    players: DataFrame, teams: DataFrame, season_rows: DataFrame, awards: DataFrame, star_id: int, country: str = "Spain"
+) -> DataFrame:
+    """(category, bucket, bits) for every category: one pass each over players, awards and stays, whose repeats do not matter."""
+    kind = F.col("award_type")
+    won = categories.marks(awards, {"champion": kind == "Champion", "all_star": kind == "All-Star", "non_mvp": kind.isin(*INDIVIDUAL_AWARDS)})
+    born = categories.marks(players, {"lottery": is_lottery_pick(F.col("draft_number")), "european": is_european(F.col("country"))}, "id")
+    chosen = {"spanish_mate": F.col("country") == country, "lebron_mate": F.col("id") == star_id}
+    return categories.united([
+        categories.bitmaps(won.unionByName(born)), categories.roster_bitmaps(season_rows, teams, players, chosen, "conferences"),
+    ])
+
+
 def category_members(
     players: DataFrame, teams: DataFrame, season_rows: DataFrame, awards: DataFrame, star_id: int, country: str = "Spain"
 ) -> DataFrame:
     """(category, player_id) for every category."""
-    parts = {
-        "champion": award_winners(awards, "Champion"),
-        "all_star": award_winners(awards, "All-Star"),
-        "lottery": lottery_picks(players),
-        "conferences": in_both_conferences(season_rows, teams),
-        "non_mvp": award_winners(awards, *INDIVIDUAL_AWARDS),
-        "spanish_mate": companions_of_country(season_rows, players, country),
-        "european": europeans(players),
-        "lebron_mate": companions_of_player(season_rows, star_id),
-    }
-    out = None
-    for name, members in parts.items():
-        part = members.select(F.lit(name).alias("category"), "player_id")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return categories.members(category_bitmaps(players, teams, season_rows, awards, star_id, country))
 
 
 def hints(players: DataFrame, season_rows: DataFrame, members: DataFrame, letter: str, limit: int = 10) -> DataFrame:

@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.awards import INDIVIDUAL_AWARDS
-from formline.operators import relations
+from formline.operators import categories, relations
+from formline.operators.rollups import SEASON_TYPES
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.listings import season_rows
 from formline.plans.registry import query
 from formline.session import write_and_reload
+from formline.sources.landing import classified_awards
 
 STAR = 23
 
@@ -95,16 +100,27 @@ _MEMBERS = f"""
     WHERE s.player_id <> {STAR}"""
 
 
-def members(spark, sf) -> DataFrame:
-    """Season rows and awards are each read by three categories: they are written once."""
-    rows = write_and_reload(season_rows(spark, sf).select("player_id", "team_id", "season"), "season-rows")
-    won = write_and_reload(L.awards(spark, sf).select("player_id", "award_type"), "awards")
-    return relations.category_members(L.players(spark, sf), L.teams(spark, sf), rows, won, star_id=STAR)
+def _category_sources(spark, sf) -> dict:
+    """The tables that categories are made from. Bitmaps need no unique rows, so stays and awards are read as they come."""
+    flags = [F.coalesce(F.col(c), F.lit(False)) for c in SEASON_TYPES.values()]
+    lines = L.box_lines(spark, sf).filter(reduce(or_, flags))
+    return {"players": L.players(spark, sf), "teams": L.teams(spark, sf), "season_rows": lines, "awards": classified_awards(L.raw_awards(spark, sf)), "star_id": STAR}
 
 
 @query("category_members", sql("SELECT category, player_id FROM m", "players", "teams", "season_rows", "awards", extra={"m": _MEMBERS}))
 def category_members(spark, sf):
-    return members(spark, sf)
+    return relations.category_members(**_category_sources(spark, sf))
+
+
+@query("category_pairs", sql("""
+    SELECT a.category AS first, b.category AS second, (SELECT count(*) FROM m x JOIN m y USING (player_id)
+        WHERE x.category = a.category AND y.category = b.category) AS n_players
+    FROM names a JOIN names b ON a.category < b.category""",
+    "players", "teams", "season_rows", "awards",
+    extra={"m": _MEMBERS, "names": "SELECT unnest([" + ", ".join(f"'{c}'" for c in relations.CATEGORIES) + "]) AS category"}))
+def category_pairs(spark, sf):
+    """Every cell of the grid of categories: how many players fit both."""
+    return categories.pair_counts(relations.category_bitmaps(**_category_sources(spark, sf)), relations.CATEGORIES)
 
 
 @query("category_hints", sql("""

@@ -253,18 +253,23 @@ def with_biographies(players: DataFrame, raw: DataFrame) -> DataFrame:
 # ---- awards ---------------------------------------------------------------------------------
 
 
-def award_rows(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """Awards from (player_id, season, description, team_number): filtered, named, classified.
-
-    One row per (player, season, name); rows already in ``known`` are left out.
-    """
+def classified_awards(raw: DataFrame) -> DataFrame:
+    """(player_id, season, award_type, award_name) from (player_id, season, description, team_number): filtered, repeats kept."""
     # One step per derived text, so that none is computed once per test.
     rows = raw.select("player_id", F.trim("season").alias("season"), F.trim("description").alias("text"), "team_number")
     rows = rows.filter(~is_skipped(F.col("text"))).withColumn("lowered", F.lower("text"))
-    rows = rows.select(
+    return rows.select(
         "player_id", "season", award_class(F.col("text"), F.col("lowered")).alias("award_type"),
         award_name(F.col("text"), F.col("team_number")).alias("award_name"),
     )
+
+
+def award_rows(raw: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """Awards from (player_id, season, description, team_number): filtered, named, classified.
+
+    One row per (player, season, name); rows already in ``known`` are left out.
+    """
+    rows = classified_awards(raw)
     # The class follows from the description, so equal names have equal classes.
     unique = rows.groupBy("player_id", "season", "award_name").agg(F.min("award_type").alias("award_type"))
     if known is not None:
