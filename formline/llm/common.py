@@ -12,6 +12,8 @@ from formline.session import write_and_reload
 
 #: Texts are worked on in pieces of about this size.
 PIECE_BYTES = 1 << 20
+#: Bytes of text that a training sample holds for a group at most.
+SAMPLE_BYTES = 64 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -56,18 +58,41 @@ def text_pieces(raw: bytes, size: int = PIECE_BYTES) -> Iterator[bytes]:
     yield raw[start:end]
 
 
-def bounded_sample(rows: DataFrame, groups: list[str], limit: int, id_col: str = "id") -> DataFrame:
+def bounded_sample(rows: DataFrame, groups: list[str], limit: int, id_col: str = "id", size_col: str | None = None, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """At most ``limit`` rows of each group, those with the smallest hashes of their id, in the columns of ``rows``.
 
-    A first pass counts the groups (there are few: labels, languages); a second keeps about twice the limit of each by
-    hash, so that the rows ranked in one task are as few for a huge table as for a small one.
+    ``rows`` has an id once in a group. With ``size_col`` the sizes of the rows taken also sum to ``max_bytes`` at most, and a
+    row of more than a sixteenth of that is left out, so that no single row takes the place of all others. A first pass counts
+    the groups (there are few: labels, languages); a second keeps about twice the limit of each by hash, so that the rows
+    ranked in one task are as few for a huge table as for a small one.
     """
+    if size_col:
+        rows = rows.filter(F.col(size_col) <= max_bytes // 16)
     counts = rows.groupBy(*groups).count().withColumnsRenamed({g: f"{g}_of" for g in groups})
     same = [F.col(g) == F.col(f"{g}_of") for g in groups]
     part = F.pmod(F.xxhash64(id_col, F.lit("sample")), F.lit(1 << 30)) / (1 << 30)
     near = rows.join(F.broadcast(counts), same).filter(part <= F.lit(2.0 * limit + 50) / F.col("count")).select(*rows.columns, part.alias("part_of"))
     order = Window.partitionBy(*groups).orderBy("part_of", id_col)
-    return near.withColumn("rank_of", F.row_number().over(order)).filter(F.col("rank_of") <= limit).select(*rows.columns)
+    kept = near.withColumn("rank_of", F.row_number().over(order)).filter(F.col("rank_of") <= limit)
+    if size_col:
+        kept = kept.withColumn("upto", F.sum(size_col).over(order.rowsBetween(Window.unboundedPreceding, 0))).filter(F.col("upto") <= max_bytes)
+    return kept.select(*rows.columns)
+
+
+def sampled_texts(rows: DataFrame, groups: list[str], limit: int, max_bytes: int = SAMPLE_BYTES) -> DataFrame:
+    """(groups, id, text): at most ``limit`` rows and ``max_bytes`` bytes of text for each group of (groups, id, text).
+
+    Of the rows of one id in a group only the text with the smallest hash is taken, once, however often the id is repeated.
+    Ids and sizes are chosen first; whole texts are moved only for the rows chosen, at most ``limit`` a group, which are broadcast.
+    """
+    narrow = rows.filter("id is not null").select(*groups, "id", F.struct(mark_of().alias("mark"), F.octet_length("text").alias("size")).alias("t"))
+    one = narrow.groupBy(*groups, "id").agg(F.min("t").alias("t")).select(*groups, "id", "t.mark", "t.size")
+    chosen = bounded_sample(one, groups, limit, size_col="size", max_bytes=max_bytes).drop("size")
+    keys = [*groups, "id", "mark"]
+    theirs = chosen.withColumnsRenamed({c: f"{c}_" for c in keys})
+    mine = rows.withColumn("mark", mark_of())
+    found = mine.join(F.broadcast(theirs), [F.col(c) == F.col(f"{c}_") for c in keys], "left_semi")
+    return found.groupBy(*keys).agg(F.min("text").alias("text")).drop("mark")
 
 
 def mark_of(text: str = "text"):
@@ -83,8 +108,8 @@ def keep_rows(docs: DataFrame, decided: DataFrame, label: str, id_col: str = "do
     """
     per_key = decided.groupBy("id", "mark").agg(F.sum(F.col("kept").cast("int")).alias("keeps"), F.count(F.lit(1)).alias("n"))
     touched = write_and_reload(per_key.filter("keeps < n").select("id", "mark", (F.col("keeps") > 0).alias("one")), label)
-    # Keys of which one row stays are rare (the same row delivered twice); they get a file of their own, so that Spark sees its size.
-    tied = write_and_reload(touched.filter("one").select("id", "mark").coalesce(1), f"{label}-tied")
+    # Keys of which one row stays (the same row delivered twice) get files of their own, so that Spark sees their size.
+    tied = write_and_reload(touched.filter("one").select("id", "mark"), f"{label}-tied")
     mark, other, other_mark = free_name(docs, "row_mark", "other_id", "other_mark")
     gone, again = (x.select(F.col("id").alias(other), F.col("mark").alias(other_mark)) for x in (touched, tied))
     same = F.col(id_col).eqNullSafe(F.col(other)) & (F.col(mark) == F.col(other_mark))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import bounded_sample, raw_texts, text_pieces
+from formline.llm.common import raw_texts, sampled_texts, text_pieces
 from formline.session import write_and_reload
 
 SAMPLE_PER_LANGUAGE = 600  # rows of a language that the model is fitted on
@@ -72,20 +72,19 @@ def nearest(texts: list[bytes], model: Model) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _sample(labelled: DataFrame, per_language: int, id_col: str, text_col: str, lang_col: str) -> DataFrame:
-    """(lang, text): the rows of each language with the smallest hashes of their id, ``per_language`` at most; texts without a letter are left out."""
+    """(lang, text): the rows of each language with the smallest hashes of their id, ``per_language`` and SAMPLE_BYTES at most; texts without a letter are left out."""
     rows = labelled.filter(F.col(lang_col).isNotNull() & F.col(text_col).cast("string").rlike("\\p{L}"))
-    # Whole texts are read only for the rows chosen. Their ids are broadcast: per_language at most for each language.
-    ids = bounded_sample(rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id")), ["lang"], per_language).distinct()
-    ids = ids.withColumnsRenamed({"lang": "lang_", "id": "id_"})
     mine = rows.select(F.col(lang_col).alias("lang"), F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
-    return mine.join(F.broadcast(ids), (F.col("id") == F.col("id_")) & (F.col("lang") == F.col("lang_")), "left_semi").select("lang", "text")
+    return sampled_texts(mine, ["lang"], per_language).select("lang", "text")
 
 
 def fit(
     labelled: DataFrame, per_language: int = SAMPLE_PER_LANGUAGE, centroids: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text",
     lang_col: str = "lang", least: float = LEAST_COSINE,
 ) -> Model:
-    """Fit on at most ``per_language`` rows of each language (rows without a letter or without a language are left out).
+    """Fit on at most ``per_language`` rows and ``common.SAMPLE_BYTES`` bytes of each language, an id once.
+
+    Rows without a letter, a language or an id, and texts above a sixteenth of those bytes, are left out.
 
     A text is rejected below the cosine ``least``, the same for each language whatever its sample holds; ``predictor`` asks more of long texts.
     Document frequencies are summed by Spark, each language is clustered in a task of its own, and only the model itself

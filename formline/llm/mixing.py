@@ -12,6 +12,7 @@ iterations run over the cells. Each iteration brings one number per domain to th
 
 from __future__ import annotations
 
+import logging
 import math
 from collections.abc import Mapping
 
@@ -21,10 +22,12 @@ from pyspark.sql import functions as F
 from formline.llm.common import bounded_sample
 from formline.session import write_and_reload
 
+_LOG = logging.getLogger(__name__)
 SLOTS = 1 << 14
 SAMPLE_PER_DOMAIN = 4000
 STEPS = 256  # a posterior is a multiple of 1 / STEPS
 TEMPERATURE = 2.0
+_ROUND = 50  # gradient steps between writings of the rates
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -95,10 +98,10 @@ def memberships(
     return scored.select("id", F.col("n_tokens").cast("bigint").alias("n_tokens"), cell.alias("cell"))
 
 
-def rate_after(steps: list[list[float]], cell: Column) -> Column:
-    """The rate after gradient ``steps`` (one list over the domains each), projected to non-negative values after each."""
+def rate_after(steps: list[list[float]], cell: Column, start: Column) -> Column:
+    """The rate after gradient ``steps`` from ``start`` (one list over the domains each), projected to non-negative values after each."""
     if not steps:
-        return F.lit(1.0)
+        return start
     flat = F.split(F.lit(";".join(",".join(f"{g:.12e}" for g in s) for s in steps)), ";")
     table = F.transform(flat, lambda s: F.split(s, ",").cast("array<double>"))
 
@@ -106,36 +109,49 @@ def rate_after(steps: list[list[float]], cell: Column) -> Column:
         fall = F.aggregate(F.arrays_zip(gradient.alias("g"), cell.alias("p")), F.lit(0.0), lambda a, x: a + x["g"] * x["p"] / STEPS)
         return F.greatest(F.lit(0.0), rate - fall)
 
-    return F.aggregate(table, F.lit(1.0), step)
+    return F.aggregate(table, start, step)
 
 
-def fit_rates(members: DataFrame, targets: Mapping[str, float], domains: list[str], tokens: float | None = None, max_steps: int = 100, tolerance: float = 1e-6):
+def fit_rates(
+    members: DataFrame, targets: Mapping[str, float], domains: list[str], tokens: float | None = None, max_steps: int | None = None, tolerance: float = 1e-6,
+):
     """(cells with their rate, report): rates whose expected domain totals meet ``targets`` (shares, scaled to one).
 
-    ``tokens`` is the size of the mix, by default that of the corpus. A domain that no document belongs to cannot be met and
-    is reported with its shortfall.
+    ``tokens`` is the size of the mix, by default that of the corpus. Steps go on until the largest miss is within
+    ``tolerance`` of the mix, or ``_ROUND`` steps lessen it by under a twentieth: then the targets cannot be met, or only by very many
+    more steps. The rates so far are written after each round, so that a step replays a bounded number of earlier ones.
+    ``max_steps`` ends it sooner if given. The report has each domain's natural, target and expected tokens; a miss is logged.
     """
-    cells = write_and_reload(members.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")), "cells").coalesce(1)
+    cells = write_and_reload(members.groupBy("cell").agg(F.sum("n_tokens").alias("tokens")).withColumn("rate", F.lit(1.0)), "cells")
     k, share = len(domains), sum(targets.get(d, 0.0) for d in domains)
     if share <= 0 or any(targets.get(d, 0.0) < 0 for d in domains):
         raise ValueError("targets are not negative and not all zero")
 
-    def totals(rate: Column) -> list[float]:
+    def totals(cells: DataFrame, rate: Column) -> list[float]:
         mass = [F.sum(rate * F.col("tokens") * F.get("cell", F.lit(d)) / STEPS) for d in range(k)]
         return [float(x or 0.0) for x in cells.agg(*mass).first()]
 
-    natural = totals(F.lit(1.0))
+    natural = totals(cells, F.lit(1.0))
     size = sum(natural) if tokens is None else tokens
     wanted = [size * targets.get(d, 0.0) / share for d in domains]
-    steps, now = [], natural
-    while len(steps) < max_steps:
-        rest = [a - b for a, b in zip(now, wanted)]
-        if max((abs(r) for r, m in zip(rest, natural) if m), default=0.0) <= tolerance * max(size, 1.0):
-            break
-        steps.append([r / m if m else 0.0 for r, m in zip(rest, natural)])
-        now = totals(rate_after(steps, F.col("cell")))
+
+    def miss(now: list[float]) -> float:
+        return max((abs(a - b) for a, b, m in zip(now, wanted, natural) if m), default=0.0)
+
+    steps, now, taken, before = [], natural, 0, float("inf")
+    while miss(now) > tolerance * max(size, 1.0) and (max_steps is None or taken < max_steps):
+        if len(steps) == _ROUND:
+            if max_steps is None and miss(now) > 0.95 * before:
+                break
+            cells = write_and_reload(cells.withColumn("rate", rate_after(steps, F.col("cell"), F.col("rate"))), "cells")
+            before, steps = miss(now), []
+        steps.append([(a - b) / m if m else 0.0 for a, b, m in zip(now, wanted, natural)])
+        now, taken = totals(cells, rate_after(steps, F.col("cell"), F.col("rate"))), taken + 1
     report = {d: {"natural": natural[i], "target": wanted[i], "expected": now[i]} for i, d in enumerate(domains)}
-    return cells.select("cell", rate_after(steps, F.col("cell")).alias("rate")), report
+    short = {d: r for d, r in report.items() if abs(r["expected"] - r["target"]) > max(tolerance * size, 1e-9)}
+    if short:
+        _LOG.warning("targets missed after %d steps: %s", taken, short)
+    return cells.select("cell", rate_after(steps, F.col("cell"), F.col("rate")).alias("rate")), report
 
 
 def mix(
@@ -145,7 +161,7 @@ def mix(
     """(doc_id, n_tokens, p_<domain>..., rate, expected_tokens) for each row of ``docs``.
 
     Null and empty texts have no tokens and the posterior of the priors. Repeated rows each get their rate. Without any
-    labelled row all domains are equally likely. An empty table gives an empty result. Extra columns are ignored.
+    labelled row all domains are equally likely. Targets that are missed are logged. An empty table gives an empty result. Extra columns are ignored.
     """
     domains = list(targets)
     priors, weights = fit_classifier(docs, labels, domain, domains, per_domain, id_col, text_col, label_id_col)

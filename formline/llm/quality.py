@@ -17,7 +17,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from formline.llm.common import bounded_sample, raw_texts
+from formline.llm.common import bounded_sample, raw_texts, sampled_texts
 from formline.session import write_and_reload
 
 DICTIONARY_BYTES = 65_536
@@ -83,16 +83,16 @@ def fit(
 ) -> Model:
     """Fit on labelled rows. ``part`` is a column over ``labels``: 'dictionary', 'curve' or null for rows not to learn from.
 
-    At most ``per_label`` rows of each label and part are used, those with the smallest hash of their id. Labels other than 0
-    and 1 are left out. Without rows of both labels the score is the same for every text.
+    At most ``per_label`` rows and ``common.SAMPLE_BYTES`` bytes of each label and part are used, those with the smallest hash
+    of their id, an id once; texts above a sixteenth of those bytes are left out. Labels other than 0 and 1 are left out. Without rows of both labels the score is the same for every text.
     """
     known = labels.select(F.col(label_id_col).alias("id"), F.col(label_col).cast("int").alias("label"), part.alias("part"))
     known = known.filter("id is not null and label in (0, 1) and part in ('dictionary', 'curve')").distinct()
     chosen = bounded_sample(known, ["part", "label"], per_label)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter("text is not null")
     # At most 4 x per_label ids: the bound is proven, so they are broadcast and the texts stay where they are.
-    sample = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "part", "text")
-    sample = write_and_reload(sample.repartition(16), "quality-sample")
+    labelled = texts.join(F.broadcast(chosen), F.col("doc") == F.col("id")).select("id", "label", "part", "text")
+    sample = write_and_reload(sampled_texts(labelled, ["part", "label"], per_label).repartition(16), "quality-sample")
 
     def train(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         texts = [t.encode() for _, t in sorted(zip(rows["id"], rows["text"]))]

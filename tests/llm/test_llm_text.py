@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from formline.llm import decontaminate, langid, licenses, mixing, quality, queries
-from formline.llm.common import table, text_pieces
+from formline.llm.common import sampled_texts, table, text_pieces
 
 EMPTY = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 ITEMS = [(1, "hello world again my friend"), (2, "ONE"), (3, None), (4, " ... "), (5, " ".join(f"w{k}" for k in range(14))), (5, "x y"), (10, "hello world again my friend")]
@@ -299,3 +299,37 @@ def test_native_plans_have_no_python(spark, sf):
     for name in ("op2_mixing", "op8_url_filter"):
         plan = queries.QUERIES[name](spark, sf)._jdf.queryExecution().toString()
         assert not re.search("Python|Pandas|Arrow", plan), json.dumps(name)
+
+
+# ---- bounds of training samples ---------------------------------------------------------------
+
+
+def test_samples_are_bounded_in_rows_and_bytes(spark):
+    hot = spark.range(20_000).select(F.lit("en").alias("lang"), F.lit(7).cast("bigint").alias("id"), F.concat(F.lit("the text "), F.col("id") % 9).alias("text"))
+    rest = spark.range(100, 400).select(F.lit("de").alias("lang"), "id", F.concat(F.lit("ein Text "), F.repeat(F.lit("z"), F.col("id").cast("int"))).alias("text"))
+    rows = hot.unionByName(rest).unionByName(spark.createDataFrame([("de", None, "ohne Nummer")], "lang string, id bigint, text string"))
+    got = sampled_texts(rows, ["lang"], 60, max_bytes=16 * 350).collect()
+    sizes = {lang: [len(r.text) for r in got if r.lang == lang] for lang in ("en", "de")}
+    assert len(sizes["en"]) == 1  # one id is one row, however often it comes
+    assert 5 < len(sizes["de"]) <= 60 and sum(sizes["de"]) <= 16 * 350 and max(sizes["de"]) <= 350
+    again = sampled_texts(rows.repartition(5), ["lang"], 60, max_bytes=16 * 350).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, again))
+    assert len(langid.fit(rows.withColumnRenamed("id", "doc_id")).languages) == 1 + langid.CENTROIDS
+
+
+def test_mixing_rounds_tolerance_and_a_reported_miss(spark, caplog, monkeypatch):
+    domains = list("abcdefgh")
+    targets = dict(zip(domains, (0.05, 0.1, 0.15, 0.2, 0.05, 0.15, 0.1, 0.2)))
+    cells = [[200 if j == i % 8 else 8 for j in range(8)] for i in range(40)]
+    members = spark.createDataFrame([(100 + 7 * i, c) for i, c in enumerate(cells)], "n_tokens bigint, cell array<int>")
+    rates = lambda **kw: sorted(map(tuple, mixing.fit_rates(members, targets, domains, **kw)[0].collect()))
+    whole = rates(max_steps=5, tolerance=0.0)
+    monkeypatch.setattr(mixing, "_ROUND", 2)
+    assert [r for _, r in rates(max_steps=5, tolerance=0.0)] == pytest.approx([r for _, r in whole], abs=1e-9)
+    caplog.clear()
+    _, report = mixing.fit_rates(members, targets, domains, tolerance=1e-3)
+    size = sum(r["target"] for r in report.values())
+    assert max(abs(r["expected"] - r["target"]) for r in report.values()) <= 1e-3 * size and not caplog.records
+    one = spark.createDataFrame([(100, [128, 128]), (100, [128, 128])], "n_tokens bigint, cell array<int>")
+    _, report = mixing.fit_rates(one, {"a": 0.8, "b": 0.2}, ["a", "b"])  # no rates give the domains different totals
+    assert report["a"]["expected"] == pytest.approx(100) and "targets missed" in caplog.text
