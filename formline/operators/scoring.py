@@ -8,6 +8,7 @@ numbers, whatever the data size) ever reach the driver.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 
@@ -17,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from formline.functions.seasons import season_year
+from formline.operators.ranks import up_to_position, values_at
 from formline.operators.running import Running, running
 from formline.session import write_and_reload
 
@@ -90,22 +92,9 @@ def season_weights(rows: DataFrame, decay: float = DECAY, reference: str | None
 def temporal_split(rows: DataFrame, when: str = "game_date", tie: str = "game_id", share: float = TRAIN_SHARE) -> DataFrame:
     """Add ``is_train``: true for the oldest ``share`` of the rows by (day, id).
 
-    Days are counted first (one row per day), which tells the day the cut falls
-    into; only the rows of that day are then numbered.
+    The key at the cut is found first (``ranks``); marking the rows then moves none of them. Rows with equal keys go together.
     """
-    days = rows.groupBy(when).agg(F.count(F.lit(1)).alias("__n"))
-    upto = running(days, [], [when], {"__before": Running(F.col("__n"))}, inclusive=False, block=F.trunc(when, "year"))
-    total = days.agg(F.sum("__n").alias("t")).scalar()
-    cut = F.floor(total * F.lit(share))
-    before = F.coalesce("__before", F.lit(0).cast("bigint"))
-    marked = upto.select(
-        F.col(when), ((before + F.col("__n")) <= cut).alias("__all"), (before < cut).alias("__some"), (cut - before).alias("__room"))
-    classed = rows.join(marked, when)
-    whole = classed.filter(F.col("__all") | ~F.col("__some")).withColumn("is_train", F.col("__all"))
-    split = running(
-        classed.filter(~F.col("__all") & F.col("__some")), [when], [tie], {"__place": Running(F.lit(1).cast("bigint"))})
-    split = split.withColumn("is_train", F.col("__place") <= F.col("__room")).drop("__place")
-    return whole.unionByName(split).drop("__all", "__some", "__room")
+    return rows.withColumn("is_train", up_to_position(rows, when, tie, share))
 
 
 def second_moments(rows: DataFrame, scaler: Scaler, weight: str | None = None, by: str | None = None) -> dict[object, np.ndarray]:
@@ -209,17 +198,6 @@ def fit_reconstruction(
 # ---- ranks of errors ------------------------------------------------------------------------
 
 
-def distribution(rows: DataFrame, column: str = "error") -> DataFrame:
-    """Distinct values with their count and the number of rows strictly below.
-
-    Equal values are merged before the running count, so a value shared by many
-    rows is one row here.
-    """
-    values = rows.groupBy(column).agg(F.count(F.lit(1)).alias("n"))
-    counted = running(values, [], [column], {"below": Running(F.col("n"))}, inclusive=False)
-    return counted.withColumn("below", F.coalesce("below", F.lit(0).cast("bigint")))
-
-
 def error_percentiles(train: DataFrame, scored: DataFrame, column: str = "error") -> DataFrame:
     """Add ``percentile``: 100 times the share of training rows with a strictly smaller error, exactly."""
     marks = scored.select(column).distinct().withColumn("n", F.lit(0).cast("bigint"))
@@ -233,16 +211,16 @@ def error_percentiles(train: DataFrame, scored: DataFrame, column: str = "error"
 
 
 def quantile(rows: DataFrame, share: float, column: str = "error") -> DataFrame:
-    """One row: the value at ``share`` of the sorted rows, interpolated linearly, exact at any size."""
-    dist = distribution(rows, column)
-    total = rows.agg(F.count(F.lit(1)).alias("t")).scalar()
-    position = F.lit(share) * (total - 1).cast("double")
-    low, high = F.floor(position), F.ceil(position)
-    holds_low = (F.col("below") <= low) & (low < F.col("below") + F.col("n"))
-    holds_high = (F.col("below") <= high) & (high < F.col("below") + F.col("n"))
-    ends = dist.agg(
-        F.max(F.when(holds_low, F.col(column))).alias("a"), F.max(F.when(holds_high, F.col(column))).alias("b"))
-    return ends.select((F.col("a") + (F.col("b") - F.col("a")) * (position - low)).alias("value"))
+    """One row: the value at ``share`` of the sorted rows, interpolated linearly, exact at any size; nulls take no part."""
+    at = {}
+
+    def ends(total: int) -> list[int]:
+        at["position"] = share * (total - 1)
+        return [math.floor(at["position"]), math.ceil(at["position"])]
+
+    (a, b), _ = values_at(rows.withColumn(column, F.col(column).cast("double")), column, ends)
+    value = None if a is None else a + (b - a) * (at["position"] - math.floor(at["position"]))
+    return rows.sparkSession.range(1).select(F.lit(value).cast("double").alias("value"))
 
 
 def league_outliers(

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.people import has_word_starting
+from formline.session import write_and_reload
 
 
 def by_letter(players: DataFrame, letter: str) -> DataFrame:
@@ -13,38 +14,59 @@ def by_letter(players: DataFrame, letter: str) -> DataFrame:
     return players.filter(has_word_starting(F.col("full_name"), letter))
 
 
-def _word_runs(name) -> F.Column:
-    """All runs of consecutive words of a lower-case name; names have few words."""
-    words = F.split(F.lower(name), " ")
-    n = F.size(words)
-    starts = F.sequence(F.lit(1), n)
-    runs = F.flatten(F.transform(starts, lambda i: F.transform(
-        F.sequence(F.lit(1), n - i + 1), lambda k: F.array_join(F.slice(words, i, k), " "))))
-    return F.array_distinct(runs)
+def word_index(names: DataFrame) -> DataFrame:
+    """Positional index of a table with a column ``name``: (term, at, name) for every word and every two words in a row.
+
+    ``at`` counts words from 0. A name of n words has 2n - 1 entries, where all its runs of words would be n(n + 1) / 2.
+    """
+    words = F.split("name", " ")
+    entries = F.transform(words, lambda w, i: F.struct(w.alias("term"), i.alias("at")))
+    pairs = F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.struct(
+        F.concat(w, F.lit(" "), F.get(words, i + 1)).alias("term"), i.alias("at")))
+    return names.select("name", F.inline(F.concat(entries, pairs)))
+
+
+def names_with_runs(runs: DataFrame, index: DataFrame) -> DataFrame:
+    """(run, name) for every text of ``runs`` (column ``run``, distinct) that is a run of complete words of an indexed name.
+
+    A run is looked up by one term, the one with the fewest entries: its word, or two of its words in a row. The words
+    around the entry are then compared. A frequent word in a longer run so brings up no names that lack its neighbour.
+    """
+    words = F.split("run", " ")
+    terms = runs.select("run", F.inline(F.when(
+        F.size(words) == 1, F.array(F.struct(F.element_at(words, 1).alias("term"), F.lit(0).alias("offset")))
+    ).otherwise(F.transform(F.slice(words, 1, F.size(words) - 1), lambda w, i: F.struct(
+        F.concat(w, F.lit(" "), F.get(words, i + 1)).alias("term"), i.alias("offset"))))))
+    entries = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
+    rarest = terms.join(entries, "term", "left").groupBy("run").agg(
+        F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "offset", "term")).alias("best")).select("run", "best.*").filter("n > 0")
+    start = F.col("at") - F.col("offset")
+    around = F.slice(F.split("name", " "), F.greatest(start, F.lit(0)) + 1, F.size(words))
+    return rarest.join(index, "term").filter((start >= 0) & (around == words)).select("run", "name").distinct()
 
 
 def validated_guesses(guesses: DataFrame, players: DataFrame, members: DataFrame) -> DataFrame:
     """Guesses (guess_id, guess, letter, category) with the lowest player that fits all three, or none.
 
-    ``members`` lists (category, player_id). A player fits if the guess is a run of
-    complete words of the name, any word starts with the letter, and the player is
-    in the category. Only word runs that somebody guessed are looked at, each once per
-    letter and category asked for, so that popular names do not multiply with popular guesses.
+    ``members`` lists (category, player_id). A player fits if the guess is a run of complete words of the name, any word
+    starts with the letter, and the player is in the category. Players are first brought together by name and category, so
+    that a name of many players is looked at once; guesses meet names, in a positional index, and not players.
     """
     wanted = guesses.withColumns({"__run": F.lower(F.trim("guess")), "__letter": F.lower("letter")})
-    asked = wanted.select("__run", "__letter", "category").distinct()
-    runs = players.select(F.col("id").alias("player_id"), "full_name", F.explode(_word_runs(F.col("full_name"))).alias("__run"))
-    runs = runs.join(asked.select("__run").distinct(), "__run", "left_semi")
-    initials = F.transform(F.split(F.lower("full_name"), " +"), lambda w: F.substring(w, 1, 1))
-    best = (
-        runs.join(asked, "__run").filter(F.array_contains(initials, F.col("__letter")))
-        .join(members, ["player_id", "category"], "left_semi")
-        .groupBy("__run", "__letter", "category")
-        .agg(F.min(F.struct("player_id", "full_name")).alias("hit"))
+    people = players.select(F.col("id").alias("player_id"), "full_name", F.lower("full_name").alias("name"))
+    # Index, look-up and answers all read the names: write them once.
+    named = write_and_reload(
+        people.join(members, "player_id", "left").groupBy("name", "category").agg(F.min(F.struct("player_id", "full_name")).alias("hit")), "names")
+    runs = wanted.select(F.col("__run").alias("run")).filter("run is not null").distinct()
+    found = names_with_runs(runs, word_index(named.select("name").distinct()))
+    initials = F.array_distinct(F.transform(F.split("name", " +"), lambda w: F.substring(w, 1, 1)))
+    answers = (
+        found.join(named, "name").select(F.col("run").alias("__run"), "category", "hit", F.explode(initials).alias("__letter"))
+        .groupBy("__run", "__letter", "category").agg(F.min("hit").alias("hit"))
     )
-    known = runs.select("__run").distinct().withColumn("__named", F.lit(True))
+    known = found.select(F.col("run").alias("__run")).distinct().withColumn("__named", F.lit(True))
     return (
-        wanted.join(best, ["__run", "__letter", "category"], "left").join(known, "__run", "left")
+        wanted.join(answers.filter("category is not null"), ["__run", "__letter", "category"], "left").join(known, "__run", "left")
         .select(
             "guess_id", "guess", "letter", "category", F.col("hit").isNotNull().alias("valid"),
             F.col("hit.player_id").alias("player_id"), F.col("hit.full_name").alias("full_name"),

@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from formline.functions.seasons import season_bounds
 from formline.operators import filters, paging, rankings, relations, rollups, search, validation
+from formline.operators.page_index import By, PageIndex
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.registry import query
+from formline.session import shared_dir
 
 
 def season_rows(spark, sf):
@@ -75,6 +77,29 @@ def page_concat(spark, sf):
     return paging.page_of_parts(parts, [F.asc("full_name"), F.asc("id")], 7, 200)
 
 
+_BY_POINTS = "SELECT id, pts, row_number() OVER (ORDER BY pts DESC, id) - 1 AS place, count(*) OVER () AS total FROM form_lines"
+
+
+def lines_by_points(spark, sf):
+    """The stat lines laid out by points, most first."""
+    lines = L.form_lines(spark, sf).select("id", "pts", "player_id")
+    return PageIndex.build(lines, [By("pts", True), By("id")], shared_dir(spark, "by-points"))
+
+
+@query("deep_page", sql("""
+    SELECT id, CAST(pts AS BIGINT) AS pts FROM n WHERE place // 50 = total // 50 * 2 // 3""", "form_lines", extra={"n": _BY_POINTS}))
+def deep_page(spark, sf):
+    index = lines_by_points(spark, sf)
+    return index.page(index.total // 50 * 2 // 3 + 1, 50).select("id", "pts")
+
+
+@query("page_after", sql("""
+    SELECT id, CAST(pts AS BIGINT) AS pts FROM (SELECT *, row_number() OVER (ORDER BY place) AS k FROM n WHERE pts < 30 OR (pts = 30 AND id > 5000)) WHERE k <= 50""",
+    "form_lines", extra={"n": _BY_POINTS}))
+def page_after(spark, sf):
+    return lines_by_points(spark, sf).after({"pts": 30, "id": 5000}, 50).select("id", "pts")
+
+
 @query("fact_search", sql("""
     SELECT game_id, player_id, pts, CAST(date AS VARCHAR) AS date FROM box_lines
     WHERE team_id = 3 AND season = '1997-98' AND pts >= 40""", "box_lines"))
@@ -278,12 +303,7 @@ _INCHES = """SELECT *, TRY_CAST(trim(split_part(height, '-', 1)) AS INTEGER) * 1
     f"(SELECT '{n}' AS criterion, id, full_name, {v} AS value, {d} AS detail FROM measured WHERE is_active AND {w} ORDER BY {o}, id LIMIT 25)"
     for n, (w, o, v, d) in _RANK_SQL.items()), "players", extra={"measured": _INCHES}))
 def rank_biographic(spark, sf):
-    people = L.players(spark, sf)
-    out = None
-    for name in rankings.CRITERIA:
-        part = rankings.biographic_ranking(people, name, limit=25).select(F.lit(name).alias("criterion"), "*")
-        out = part if out is None else out.unionByName(part)
-    return out
+    return rankings.biographic_rankings(L.players(spark, sf), limit=25).drop("place")
 
 
 @query("seasons_listed", sql("""
