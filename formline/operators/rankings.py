@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,18 +25,18 @@ class Board:
 def top_boards(rows: DataFrame, boards: dict[str, Board], key: str, carry: Sequence[str] = (), limit: int = 10) -> DataFrame:
     """The first ``limit`` rows of every board: ``criterion``, ``place``, the key, ``carry``, ``value``, ``detail``.
 
-    One scan, however many boards: a row becomes one small row a board. Spark keeps the first ``limit`` rows of a board in
-    each task before the shuffle, so that what is moved depends on tasks and boards, not on rows. Ties go by ``key``.
+    A board reads its columns alone, and a task keeps no more than the first ``limit`` rows of it, however many rows it reads: nothing
+    is sorted, and what is moved depends on tasks and boards. Ties go by ``key``.
     """
     width = max(len(b.order) for b in boards.values())
-    entries = []
+    firsts = []
     for name, b in boards.items():
         order = [c.cast("bigint") for c in b.order] + [F.lit(0).cast("bigint")] * (width - len(b.order))
-        entries.append(F.when(b.keep, F.struct(
-            F.lit(name).alias("criterion"), F.array(*order).alias("__rank"), b.value.alias("value"), b.detail.alias("detail"))))
-    cells = F.filter(F.array(*entries), lambda e: e.isNotNull())
+        cells = rows.filter(b.keep).select(
+            key, *carry, F.lit(name).alias("criterion"), F.array(*order).alias("__rank"), b.value.alias("value"), b.detail.alias("detail"))
+        firsts.append(cells.orderBy("__rank", key).limit(limit))
     first = Window.partitionBy("criterion").orderBy("__rank", key)
-    placed = rows.select(key, *carry, F.inline(cells)).withColumn("place", F.row_number().over(first))
+    placed = reduce(DataFrame.unionAll, firsts).withColumn("place", F.row_number().over(first))
     return placed.filter(F.col("place") <= limit).drop("__rank")
 
 

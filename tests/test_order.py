@@ -134,6 +134,18 @@ def test_boards_from_one_scan(spark):
         rankings.biographic_rankings(df, ["weight"])
 
 
+def test_boards_sort_no_whole_table(spark):
+    """Of each board a task keeps its first rows in a queue: what it holds does not grow with what it reads."""
+    df = spark.range(2000).selectExpr("id", "id * 7919 % 1000 x").repartition(3)
+    boards = {n: rankings.Board(F.col("x") >= 0, [c], F.col("x").cast("string"), F.lit("-")) for n, c in (("low", F.col("x")), ("high", -F.col("x")))}
+    found = rankings.top_boards(df, boards, "id", limit=4)
+    assert found._jdf.queryExecution().executedPlan().toString().count("TakeOrderedAndProject(") == 2
+    got = [(r["criterion"], r["place"], r["id"], r["value"]) for r in found.orderBy("criterion", "place").collect()]
+    numbers = [(i * 7919 % 1000, i) for i in range(2000)]
+    want = [("high", k + 1, i, str(x)) for k, (x, i) in enumerate(sorted(numbers, key=lambda n: (-n[0], n[1]))[:4])]
+    assert got == want + [("low", k + 1, i, str(x)) for k, (x, i) in enumerate(sorted(numbers)[:4])]
+
+
 def test_names_by_word(spark):
     rnd = random.Random(3)
     words = ["ann", "bo", "cy", "de", "x", ""]
