@@ -27,6 +27,16 @@ class Running:
         return {"sum": F.sum, "min": F.min, "max": F.max}[self.kind](column)
 
 
+#: Rows of a task where each becomes dozens.
+ROWS_A_TASK = 100_000
+
+
+def parts_of(stored: DataFrame, rows: int = ROWS_A_TASK) -> int | None:
+    """Tasks for a stored table, which Spark counts from its files' footers; none of its own for a table of few rows."""
+    n = -(-stored.count() // rows)
+    return n if n > stored.sparkSession.sparkContext.defaultParallelism else None
+
+
 def block_of(df: DataFrame, name: str) -> Column:
     """A coarser value of column ``name`` that never falls while the column rises; it depends on the type alone."""
     kind, c = df.schema[name].dataType, F.col(name)
@@ -50,11 +60,13 @@ def running(
     aggregates: dict[str, Running],
     inclusive: bool = True,
     block: Column | None = None,
+    parts: int | None = None,
 ) -> DataFrame:
     """Add running aggregates over each group of ``keys`` in ``order`` (which must be unique in a group).
 
     With ``inclusive=False`` a row sees only the rows before it. No keys means one group, the whole input. ``block`` must not
     fall along ``order``; by default it is a coarser value of the first order column, which is then given by name.
+    ``parts`` deals the rows out to so many tasks, for callers that know how many rows there are and multiply them afterwards.
     """
     keys, order = list(keys), list(order)
     block = block_of(df, order[0]) if block is None else block
@@ -70,5 +82,7 @@ def running(
     rows = rows.withColumns({name: F.col(name).cast(kind) for name, kind in wide.items()})
     frame = Window.partitionBy(*keys, "__block").orderBy("__row", *order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     whole = rows.unionByName(starts, allowMissingColumns=True)
+    if parts:
+        whole = whole.repartition(parts, *keys, "__block")
     folded = whole.withColumns({name: agg.fold(F.col(f"__in_{name}")).over(frame) for name, agg in aggregates.items()})
     return folded.filter("__row = 1").drop("__block", "__row", *inputs)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from formline.functions.boxline import is_triple_double
@@ -56,30 +56,41 @@ def streak_rows(
     rules: dict[str, Column] | None = None,
     competitions: dict[str, str] = COMPETITIONS,
     keys: Keys = Keys(),
+    parts: int | None = None,
 ) -> DataFrame:
-    """Long form of the rows that extend or break: (entity, type, competition, day, game, met, island).
+    """Long form of the rows that extend or break: (entity, type, competition, day, game, place, met, island).
 
     ``island`` counts the breaks before the row, so a run and the break that ends
-    it share a number. All type/competition counters run in one window over the
-    entity, before the rows are multiplied; grouping by entity and more columns
-    then needs no further exchange.
+    it share a number; ``place`` numbers the entity's rows. All type/competition
+    counters run in one window over the entity, before the rows are multiplied;
+    grouping by entity and more columns then needs no further exchange. A row becomes
+    up to 27 rows: ``parts`` bounds what a task makes of its share (see :func:`running`).
     """
     rules = criteria() if rules is None else rules
 
-    def counted(base: DataFrame, breaks: dict[str, Column]) -> DataFrame:
-        return running(base, [keys.entity], [keys.when, keys.tie], {name: Running(brk) for name, brk in breaks.items()})
+    def counted(base: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        return running(base, [keys.entity], [keys.when, keys.tie], {name: Running(c) for name, c in sums.items()}, parts=parts)
 
     return _pair_rows(lines, rules, competitions, keys, [keys.entity], counted)
 
 
 def streak_cells(
-    lines: DataFrame, rules: dict[str, Column], competitions: dict[str, str], keys: Keys, sofar: Callable[[Column], Column], cell: Sequence[str],
+    lines: DataFrame, rules: dict[str, Column], competitions: dict[str, str], keys: Keys, cell: Sequence[str], parts: int | None = None,
 ) -> DataFrame:
-    """:func:`streak_rows` with the breaks counted inside each cell only; ``sofar`` is the window sum of a column over its cell."""
-    return _pair_rows(lines, rules, competitions, keys, cell, lambda base, breaks: base.withColumns({name: sofar(brk) for name, brk in breaks.items()}))
+    """:func:`streak_rows` with the breaks counted inside each cell only, the rows of which are few."""
+    order = Window.partitionBy(*cell).orderBy(keys.when, keys.tie).rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
+    def counted(base: DataFrame, sums: dict[str, Column]) -> DataFrame:
+        dealt = base.repartition(parts, *cell) if parts else base
+        return dealt.withColumns({name: F.coalesce(F.sum(c).over(order), F.lit(0)) for name, c in sums.items()})
 
-def _pair_rows(lines, rules, competitions, keys: Keys, group: Sequence[str], counted: Callable[[DataFrame, dict[str, Column]], DataFrame]) -> DataFrame:
+    return _pair_rows(lines, rules, competitions, keys, cell, counted)
+
+
+def _pair_rows(
+    lines: DataFrame, rules: dict[str, Column], competitions: dict[str, str], keys: Keys, group: Sequence[str],
+    counted: Callable[[DataFrame, dict[str, Column]], DataFrame],
+) -> DataFrame:
     played = F.col(keys.seconds) >= MIN_SECONDS
     base = lines.select(
         *group, keys.when, keys.tie,
@@ -87,7 +98,7 @@ def _pair_rows(lines, rules, competitions, keys: Keys, group: Sequence[str], cou
         *[F.coalesce(F.col(flag), F.lit(False)).alias(f"in_{comp}") for comp, flag in competitions.items()],
     )
     pairs = [(rule, comp) for comp in competitions for rule in rules]
-    breaks = {f"brk_{rule}_{comp}": (F.col(f"in_{comp}") & ~F.col(f"met_{rule}")).cast("int").cast("bigint") for rule, comp in pairs}
+    sums = {f"brk_{rule}_{comp}": (F.col(f"in_{comp}") & ~F.col(f"met_{rule}")).cast("int").cast("bigint") for rule, comp in pairs}
     cells = F.array(*[
         F.struct(
             F.lit(rule).alias("streak_type"), F.lit(comp).alias("competition_type"),
@@ -98,28 +109,41 @@ def _pair_rows(lines, rules, competitions, keys: Keys, group: Sequence[str], cou
     ])
     live = F.filter(cells, lambda c: c["met"].isNotNull())
     return (
-        counted(base, breaks).select(*group, keys.when, keys.tie, F.inline(live))
+        counted(base, sums | {"place": F.lit(1).cast("bigint")}).select(*group, keys.when, keys.tie, "place", F.inline(live))
         .withColumn("island", F.col("breaks") - (~F.col("met")).cast("int"))
         .drop("breaks")
     )
 
 
-def islands(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    """Length, first and last met row and breaking day of each run."""
-    place = F.struct(F.col(keys.when).alias("day"), F.col(keys.tie).alias("game"))
-    met = F.col("met")
+def run_columns(keys: Keys = Keys()) -> list[Column]:
+    """Length, first and last met row and breaking day of a group of rows.
+
+    Everything kept while rows are added up has a fixed width (if the ids have), so Spark aggregates by hash and sorts nothing.
+    """
+    met, when, tie = F.col("met"), F.col(keys.when), F.col(keys.tie)
+    place = F.when(met, F.col("place"))
+    return [
+        F.count_if(met).alias("length"),
+        F.min_by(when, place).alias("__first_day"), F.min_by(tie, place).alias("__first_game"),
+        F.max_by(when, place).alias("__last_day"), F.max_by(tie, place).alias("__last_game"),
+        F.min(F.when(~met, when)).alias("broken_on"),
+    ]
+
+
+def grouped_runs(rows: DataFrame, group: Sequence[str], keys: Keys = Keys()) -> DataFrame:
+    """The rows of :func:`streak_rows` brought together by ``group``, type, competition and island."""
+    ends = [F.when(F.col("length") > 0, F.struct(F.col(f"__{x}_day").alias("day"), F.col(f"__{x}_game").alias("game"))).alias(x) for x in ("first", "last")]
     return (
-        rows.groupBy(keys.entity, "streak_type", "competition_type", "island")
-        .agg(
-            F.count_if(met).alias("length"),
-            F.min(F.when(met, place)).alias("first"),
-            F.max(F.when(met, place)).alias("last"),
-            F.min(F.when(~met, F.col(keys.when))).alias("broken_on"),
-        )
-        .filter("length > 0")
+        rows.groupBy(*group, "streak_type", "competition_type", "island").agg(*run_columns(keys))
+        .select(*group, "streak_type", "competition_type", "island", "length", *ends, "broken_on")
     )
 
 
+def islands(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
+    """Length, first and last met row and breaking day of each run."""
+    return grouped_runs(rows, [keys.entity], keys).filter("length > 0")
+
+
 def last_rows(lines: DataFrame, competitions: dict[str, str] = COMPETITIONS, keys: Keys = Keys()) -> DataFrame:
     """The entity's last row of each competition, counting rows without playing time too."""
     place = F.struct(F.col(keys.when).alias("day"), F.col(keys.tie).alias("game"))
@@ -136,6 +160,7 @@ def streaks(
     rules: dict[str, Column] | None = None,
     competitions: dict[str, str] = COMPETITIONS,
     keys: Keys = Keys(),
+    parts: int | None = None,
 ) -> DataFrame:
     """All streaks of all entities, without the historic badge.
 
@@ -143,7 +168,7 @@ def streaks(
     if its entity is in ``active`` and its last row is also the entity's last row of
     the competition; otherwise it ends with its last row.
     """
-    runs = islands(streak_rows(lines, rules, competitions, keys), keys)
+    runs = islands(streak_rows(lines, rules, competitions, keys, parts), keys)
     finals = last_rows(lines, competitions, keys)
     flagged = active.select(keys.entity).distinct().withColumn("entity_active", F.lit(True))
     is_active = (

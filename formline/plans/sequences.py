@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from formline.operators import gaps, streaks, trends, zscore
 from formline.operators.asof import asof_join
+from formline.operators.running import parts_of
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.registry import query
@@ -250,7 +251,7 @@ def streaks_sql(body: str) -> str:
 
 
 def found_streaks(spark, sf):
-    return streaks.streaks(L.form_lines(spark, sf), L.active_people(spark, sf))
+    return streaks.streaks(L.form_lines(spark, sf), L.active_people(spark, sf), parts=parts_of(L.table(spark, sf, "events")))
 
 
 def completed_records(spark, sf, found):

@@ -15,7 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from formline.operators.streaks import COMPETITIONS, criteria, streak_cells
+from formline.operators.running import parts_of
+from formline.operators.streaks import COMPETITIONS, criteria, grouped_runs, streak_cells
 from formline.operators.zscore import Keys
 from formline.sources.keyed_log import KeyedLog
 from formline.streaming.lines import LineStore, numbers
@@ -23,48 +24,41 @@ from formline.streaming.lines import LineStore, numbers
 HISTORY = -1  # the batch number of a bootstrap
 
 
-def segments(lines: DataFrame, cell: list[str], rules: dict[str, Column], competitions: dict[str, str] = COMPETITIONS, keys: Keys = Keys()) -> DataFrame:
+def segments(lines: DataFrame, cell: list[str], rules: dict[str, Column], competitions: dict[str, str] = COMPETITIONS, keys: Keys = Keys(), parts: int | None = None) -> DataFrame:
     """The runs of each cell: island 0 leads, the last may be open at the end; a run of length 0 only says that the cell begins with a break.
 
     A cell is an entity's week, so its rows are few and one window numbers them. The last row of each competition
     is a run of its own, without a type.
     """
-    order = Window.partitionBy(*cell).orderBy(keys.when, keys.tie)
-    numbered = streak_cells(lines, rules, competitions, keys, lambda brk: F.coalesce(F.sum(brk).over(order), F.lit(0)), cell)
-    place, met = F.struct(F.col(keys.when).alias("day"), F.col(keys.tie).alias("game")), F.col("met")
-    runs = numbered.groupBy(*cell, "streak_type", "competition_type", "island").agg(
-        F.count_if(met).alias("length"), F.min(F.when(met, place)).alias("first"), F.max(F.when(met, place)).alias("last"),
-        F.min(F.when(~met, F.col(keys.when))).alias("broken_on"),
-    ).filter("length > 0 or island = 0")
+    numbered = streak_cells(lines, rules, competitions, keys, cell, parts)
+    place = F.struct(F.col(keys.when).alias("day"), F.col(keys.tie).alias("game"))
+    runs = grouped_runs(numbered, cell, keys).filter("length > 0 or island = 0")
     flags = F.array_compact(F.array(*[F.when(F.coalesce(F.col(flag), F.lit(False)), F.lit(comp)) for comp, flag in competitions.items()]))
     finals = lines.withColumn("competition_type", F.explode(flags)).groupBy(*cell, "competition_type").agg(F.max(place).alias("last"))
     return runs.unionByName(finals, allowMissingColumns=True)
 
 
-def merged_runs(found: DataFrame, entity: str, week: str) -> DataFrame:
+def merged_runs(found: DataFrame, entity: str, week: str, parts: int | None = None) -> DataFrame:
     """All runs of all entities from their segments, in the form of :func:`formline.operators.streaks.islands`.
 
     A leading run belongs to what was open before its week, so it is numbered by the broken weeks before; an open trailing run
-    by those up to its own week. Pieces with one number are one run.
+    by those up to its own week. Pieces with one number are one run. A week has one leading run, which its first break closes,
+    and at most one open trailing run, which comes after it: one window numbers both.
     """
     group = [entity, "streak_type", "competition_type"]
     found = found.filter("streak_type is not null")
-    broken = F.max(F.col("broken_on").isNotNull().cast("int"))
-    # One row for each week in which the pair has rows: as many as an entity has weeks.
-    weeks = found.groupBy(*group, week).agg(
-        broken.alias("broken"), F.max("island").alias("islands"),
-        F.max(F.when(F.col("island") == 0, F.struct("length", "first", "last", "broken_on"))).alias("lead"),
-        F.max(F.when((F.col("island") > 0) & F.col("broken_on").isNull(), F.struct("length", "first", "last", "broken_on"))).alias("trail"),
-    )
-    upto = F.sum("broken").over(Window.partitionBy(*group).orderBy(week))
-    pieces = weeks.withColumn("upto", upto).select(
-        *group, F.inline(F.filter(F.array(
-            F.struct((F.col("upto") - F.col("broken")).alias("number"), F.col("lead").alias("piece")), F.struct(F.col("upto").alias("number"), F.col("trail").alias("piece")),
-        ), lambda x: x["piece"].isNotNull())),
-    )
+    closing = F.expr("if(island = 0 and broken_on is not null, 1L, 0L)")
+    # As many rows as an entity has weeks, twice at most.
+    upto = F.sum("closing").over(Window.partitionBy(*group).orderBy(week, "island").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    pieces = found.filter("island = 0 or broken_on is null").withColumn("closing", closing)
+    pieces = (pieces.repartition(parts, *group) if parts else pieces).withColumn("number", upto - F.col("closing"))
+    at = F.when(F.col("length") > 0, F.col(week))  # weeks differ in a run, so they order its pieces
     across = pieces.groupBy(*group, "number").agg(
-        F.sum("piece.length").alias("length"), F.min("piece.first").alias("first"), F.max("piece.last").alias("last"), F.max("piece.broken_on").alias("broken_on"),
-    ).drop("number")
+        F.sum("length").alias("length"), *[f(F.col(f"{x}.{c}"), at).alias(f"{x}_{c}") for x, f in (("first", F.min_by), ("last", F.max_by)) for c in ("day", "game")],
+        F.max("broken_on").alias("broken_on"),
+    )
+    ends = [F.struct(F.col(f"{x}_day").alias("day"), F.col(f"{x}_game").alias("game")).alias(x) for x in ("first", "last")]
+    across = across.select(*group, "length", *ends, "broken_on")
     inside = found.filter("island > 0 and broken_on is not null").select(*across.columns)
     return across.unionByName(inside).filter("length > 0")
 
@@ -97,7 +91,7 @@ class StreakStream:
         touched = arrivals.select(*self.cell).distinct()
         weeks = numbers(arrivals, "__week")
         mine = self.lines.rows(weeks, number + 1).join(touched, self.cell, "left_semi")
-        made = segments(mine, self.cell, self.rules(), self.competitions, self.keys)
+        made = segments(mine, self.cell, self.rules(), self.competitions, self.keys, parts_of(arrivals))
         self.segments.write(made.unionByName(touched, allowMissingColumns=True), number, weeks)
 
     def streaks(self, active: DataFrame) -> DataFrame:
@@ -109,7 +103,7 @@ class StreakStream:
             F.col("broken_on").isNull() & F.coalesce(F.col("__entity_active"), F.lit(False)) & F.coalesce(F.col("last.game") == F.col("final.game"), F.lit(False))
         )
         return (
-            merged_runs(now, k.entity, "__week").join(finals, [k.entity, "competition_type"], "left").join(flagged, k.entity, "left")
+            merged_runs(now, k.entity, "__week", parts_of(self.segments.stored(), 300_000)).join(finals, [k.entity, "competition_type"], "left").join(flagged, k.entity, "left")
             .withColumn("is_active", is_active)
             .select(
                 k.entity, "streak_type", "competition_type", "length", "is_active", F.col("first.day").alias("started_at"),
