@@ -24,12 +24,14 @@ FAN, MOST = 8, 64
 class KeyedLog:
     """``slot``: a whole number for each row, from its key alone. ``many``: a key has several rows, those of one run together.
 
+    ``once``: the writer puts a key into a run only once, so rows of a run need not be compared with each other.
+
     In a log of several rows a key, a row of which only the key is set says that the run has no row for it: it takes the earlier
     rows away and is not returned itself (``payload`` names a column that is set in all other rows).
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: Sequence[str], slot: Column, many: bool = False, payload: str | None = None):
-        self.spark, self.path, self.key, self.slot, self.many, self.payload = spark, path, list(key), slot, many, payload
+    def __init__(self, spark: SparkSession, path: str, schema: T.StructType | str, key: Sequence[str], slot: Column, many: bool = False, payload: str | None = None, once: bool = False):
+        self.spark, self.path, self.key, self.slot, self.many, self.payload, self.once = spark, path, list(key), slot, many, payload, once
         self.schema = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
         self.columns = self.schema.fieldNames()
         self.read_folders: list[str] = []  # what reads have asked for, for monitoring
@@ -90,22 +92,35 @@ class KeyedLog:
         wanted = None if slots is None else set(slots)
         if wanted is None or len(wanted) > MOST:
             wanted = [s for s in self.slots() if wanted is None or s in wanted]
-        folders = [x[0] for s in sorted(wanted) for x in self._live(s, before).values()]
+        live = [sorted(self._live(s, before).items()) for s in sorted(wanted)]
+        folders = [x[0] for runs in live for _, x in runs]
         self.read_folders += folders
-        wide = T.StructType([*self.schema.fields, T.StructField("slot", T.LongType()), T.StructField("run", T.LongType())])
         if not folders:
             return self.spark.createDataFrame([], self.schema)
-        rows = self.spark.read.schema(wide).option("basePath", self.path).parquet(*folders)
-        if not self.many:
+        rows = self._rows(folders)
+        if not (self.many or self.once):
             rest = [c for c in self.columns if c not in self.key]
             return rows.groupBy(*self.key).agg(F.max_by(F.struct(*rest), "run").alias("r")).select(*[c if c in self.key else f"r.{c}" for c in self.columns])
-        newest = rows.groupBy(*[F.col(c).alias(f"__{c}") for c in self.key]).agg(F.max("run").alias("__run"))
-        same = F.col("run") == F.col("__run")
-        for c in self.key:
-            same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
-        now = rows.join(newest, same, "left_semi").select(*self.columns)
+        # A row can only be out of date by a later run of its slot, and later runs hold few rows of the slot.
+        later = [x[0] for runs in live for _, x in runs[1:]]
+        if later:
+            newest = self._rows(later).groupBy(*[F.col(c).alias(f"__{c}") for c in self.key]).agg(F.max("run").alias("__run"))
+            same = F.lit(True)
+            for c in self.key:
+                same &= F.col(c).eqNullSafe(F.col(f"__{c}"))
+            rows = rows.join(newest, same, "left").filter("__run is null or run = __run")
+        now = rows.select(*self.columns)
         return now if self.payload is None else now.filter(F.col(self.payload).isNotNull())
 
+    def stored(self) -> DataFrame:
+        """Every row of the runs that count, out of date or not: enough to know how large the table is."""
+        folders = [x[0] for s in self.slots() for x in self._live(s, None).values()]
+        return self._rows(folders) if folders else self.spark.createDataFrame([], self.schema)
+
+    def _rows(self, folders: list[str]) -> DataFrame:
+        wide = T.StructType([*self.schema.fields, T.StructField("slot", T.LongType()), T.StructField("run", T.LongType())])
+        return self.spark.read.schema(wide).option("basePath", self.path).parquet(*folders)
+
 
 def hash_slot(*key: str, slots: int = 16) -> Column:
     return F.pmod(F.xxhash64(*key), F.lit(slots))

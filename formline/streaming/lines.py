@@ -39,9 +39,9 @@ class LineStore:
         self.cell = [keys.entity, keys.period, "__week"]
         week, gone = T.StructField("__week", T.LongType()), T.StructField("__gone", T.BooleanType())
         self.schema = T.StructType([*plain.fields, week, gone])
-        self.lines = KeyedLog(spark, f"{path}/lines", self.schema, [keys.row_id, *self.cell], F.col("__week"))
+        self.lines = KeyedLog(spark, f"{path}/lines", self.schema, [keys.row_id, *self.cell], F.col("__week"), once=True)
         place = T.StructType([kinds[keys.row_id], kinds[keys.entity], kinds[keys.period], week])
-        self.ids = KeyedLog(spark, f"{path}/ids", place, [keys.row_id], id_slot(place, keys.row_id))
+        self.ids = KeyedLog(spark, f"{path}/ids", place, [keys.row_id], id_slot(place, keys.row_id), once=True)
 
     def write(self, batch: DataFrame, number: int) -> DataFrame:
         """Keep a batch, rows repeated inside it once; returns its lines and those that it takes out of other places.

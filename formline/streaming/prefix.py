@@ -33,7 +33,7 @@ class PrefixTree:
         head = "level int, at bigint, rows bigint, first_week bigint, last_week bigint, games bigint"
         schema = T.StructType([kinds[keys.entity], kinds[keys.period], *T.StructType.fromDDL(head).fields, T.StructField("first_day", kinds[keys.when].dataType), *sums.fields])
         self.wide = wide
-        self.log = KeyedLog(spark, path, schema, [keys.entity, keys.period, "level", "at"], F.col("level") * F.lit(_LEVEL_SLOTS) + F.col("at") + _MIDDLE)
+        self.log = KeyedLog(spark, path, schema, [keys.entity, keys.period, "level", "at"], F.col("level") * F.lit(_LEVEL_SLOTS) + F.col("at") + _MIDDLE, once=True)
 
     def _folded(self, rows: DataFrame, *group: str) -> DataFrame:
         """Sums of nodes."""

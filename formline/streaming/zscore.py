@@ -38,7 +38,7 @@ class ZScoreStream:
         kinds = dict(spark.createDataFrame([], lines_schema).dtypes)
         entity = f"{keys.entity} {kinds[keys.entity]}"
         periods = f"{entity}, periods array<struct<period:{kinds[keys.period]},first_week:bigint,last_week:bigint>>"
-        self.entities = KeyedLog(spark, f"{root}/entities", periods, [keys.entity], hash_slot(keys.entity))
+        self.entities = KeyedLog(spark, f"{root}/entities", periods, [keys.entity], hash_slot(keys.entity), once=True)
         nothing = spark.createDataFrame([], lines_schema)
         week = T.StructField("__week", T.LongType())
         self.found = KeyedLog(
