@@ -105,8 +105,10 @@ def trend_history(
     upto = running(by_day, [k.entity], [k.when], {f"upto_{n}": Running(F.col(n)) for n in in_windows}).select(k.entity, F.col(k.when).alias("__day"), *[f"upto_{n}" for n in in_windows])
     days = base.join(upto.withColumnRenamed("__day", "reference_date"), [k.entity, "reference_date"])
     for w in windows:
-        days = days.withColumn("__edge", F.date_sub("reference_date", w.days))
-        days = asof_join(days, upto, [k.entity], "__edge", "__day", {f"{w.name}_was_{n}": f"upto_{n}" for n in in_windows}).drop("__edge")
+        # Only the day goes through the as-of join; the other columns stay where they are.
+        edges = days.select(k.entity, "reference_date", F.date_sub("reference_date", w.days).alias("__edge"))
+        was = asof_join(edges, upto, [k.entity], "__edge", "__day", {f"{w.name}_was_{n}": f"upto_{n}" for n in in_windows})
+        days = days.join(was.drop("__edge"), [k.entity, "reference_date"])
     sums = [
         f"upto_{n} - coalesce({w.name}_was_{n}, 0) as {w.name}_{'games' if n == 'played' else n}" for w in windows for n in in_windows
     ]

@@ -44,3 +44,15 @@ def test_trend_history_has_the_trend_of_every_day(spark):
         want = trends.trend_scores(lines, reference)
         got = history.filter((F.col("player_id") == player) & (F.col("reference_date") == F.lit(day))).select(*want.columns)
         assert rows(got, "window_type") == rows(want, "window_type")
+
+
+def test_trend_history_sends_only_days_through_the_asof_join(spark, monkeypatch):
+    widths = []
+
+    def seen(left, *rest):
+        widths.append(len(left.columns))
+        return asof_join(left, *rest)
+
+    monkeypatch.setattr(trends, "asof_join", seen)
+    trends.trend_history(lines_df(spark, random_lines(seed=5, players=1, per_season=3)))
+    assert widths == [3, 3]
