@@ -124,11 +124,13 @@ def line_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def box_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Stat lines with date, season, flags and sides of their game."""
-    facts = games(spark, sf_dir).select(F.col("id").alias("game_id"), *GAME_COLUMNS)
+def box_lines(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
+    """Stat lines with date, season, flags and sides of their game; ``parts`` tasks join them, if given."""
+    lines, facts = line_stats(spark, sf_dir), games(spark, sf_dir).select(F.col("id").alias("game_id"), *GAME_COLUMNS)
+    if parts:
+        lines, facts = lines.repartition(parts, "game_id"), facts.repartition(parts, "game_id")
     return (
-        line_stats(spark, sf_dir).join(facts, "game_id")
+        lines.join(facts, "game_id")
         .withColumn("team_id", F.when(F.col("at_home"), F.col("home_team_id")).otherwise(F.col("away_team_id")))
         .drop("at_home")
     )

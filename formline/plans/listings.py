@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from formline.functions.seasons import season_bounds
 from formline.operators import filters, paging, rankings, relations, rollups, search, validation
 from formline.operators.page_index import By, PageIndex
+from formline.operators.running import parts_of
 from formline.plans import league as L
 from formline.plans.league import sql
 from formline.plans.registry import query
@@ -14,7 +15,8 @@ from formline.session import shared_dir
 
 
 def season_rows(spark, sf):
-    return rollups.season_rollup(L.box_lines(spark, sf))
+    """A task of the join may hold a group for each line and type, so its tasks follow the lines."""
+    return rollups.season_rollup(L.box_lines(spark, sf, parts_of(L.table(spark, sf, "lineitem"), 300_000)))
 
 
 @query("table_counts", """
