@@ -19,7 +19,7 @@ from formline.operators.running import parts_of
 from formline.operators.streaks import COMPETITIONS, criteria, grouped_runs, streak_cells
 from formline.operators.zscore import Keys
 from formline.sources.keyed_log import KeyedLog
-from formline.streaming.lines import LineStore, numbers
+from formline.streaming.lines import NO_DAY, LineStore, numbers
 
 HISTORY = -1  # the batch number of a bootstrap
 
@@ -50,9 +50,14 @@ def merged_runs(found: DataFrame, entity: str, week: str, parts: int | None = No
     closing = F.expr("if(island = 0 and broken_on is not null, 1L, 0L)")
     # As many rows as an entity has weeks, twice at most.
     upto = F.sum("closing").over(Window.partitionBy(*group).orderBy(week, "island").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    pieces = found.filter("island = 0 or broken_on is null").withColumn("closing", closing)
+    # A break without a day leaves runs of the week without days open: of those only the largest counts.
+    ends = ["length", "first", "last", "broken_on"]
+    dayless = (F.col(week) == NO_DAY) & (F.col("island") > 0)
+    pieces = found.filter("island = 0 or broken_on is null")
+    largest = pieces.filter(dayless).groupBy(*group, week).agg(F.max(F.struct(*ends)).alias("r")).select(*group, week, F.lit(1).cast("bigint").alias("island"), "r.*")
+    pieces = pieces.filter(~dayless).select(*largest.columns).unionByName(largest).withColumn("closing", closing)
     pieces = (pieces.repartition(parts, *group) if parts else pieces).withColumn("number", upto - F.col("closing"))
-    at = F.when(F.col("length") > 0, F.col(week))  # weeks differ in a run, so they order its pieces
+    at = F.when(F.col("length") > 0, F.col(week) * 2 + (F.col("island") > 0).cast("int"))  # orders the pieces of a run
     across = pieces.groupBy(*group, "number").agg(
         F.sum("length").alias("length"), *[f(F.col(f"{x}.{c}"), at).alias(f"{x}_{c}") for x, f in (("first", F.min_by), ("last", F.max_by)) for c in ("day", "game")],
         F.max("broken_on").alias("broken_on"),

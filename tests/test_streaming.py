@@ -13,8 +13,10 @@ from test_detectors import random_lines
 from pyspark.sql import functions as F
 
 from formline.operators import rollups, streaks, trends, zscore
+from formline.sources.keyed_log import KeyedLog
+from formline.streaming.lines import week_of
 from formline.streaming.rollups import RollupStream
-from formline.streaming.streaks import StreakStream
+from formline.streaming.streaks import StreakStream, merged_runs, segments
 from formline.streaming.zscore import ZScoreStream
 
 
@@ -223,3 +225,35 @@ def test_a_batch_reads_its_own_weeks_however_long_the_history(spark, tmp_path):
         read.append(sum(pq.ParquetFile(f).metadata.num_rows for folder in job.lines.lines.read_folders for f in glob.glob(f"{folder.removeprefix('file:')}/*.parquet")))
     assert max(read[1:15] + read[16:]) <= 10 and read[15] <= 21
     assert job.streaks(spark.createDataFrame([(9,)], "player_id bigint")).filter("player_id = 9").first()["length"] == 20
+
+
+def aggregates(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.count("SortAggregate"), plan.count("Aggregate"), plan.count("Join")
+
+
+def test_runs_are_grouped_by_hash_in_bounded_tasks(spark):
+    lines = lines_df(spark, random_lines(seed=23, players=3, per_season=15))
+    rows_of = streaks.streak_rows(lines, parts=37)
+    assert aggregates(streaks.islands(rows_of))[0] == 0 and "REPARTITION_BY_NUM" in rows_of._jdf.queryExecution().executedPlan().toString()
+    active = spark.createDataFrame([(1,), (2,)], "player_id bigint")
+    want = streaks.streaks(lines, active)
+    assert rows(streaks.streaks(lines, active, parts=37)) == rows(want) and want.count() > 50
+
+
+def test_runs_of_segments_need_one_window_and_keep_rows_without_a_day(spark):
+    items = [line(3008, 1, None, 25), line(5000, 1, None, 2), line(8986, 1, None, 25), line(9000, 1, date(2021, 11, 1), 25), line(9001, 1, date(2021, 11, 6), 2)]
+    df = lines_df(spark, items).withColumn("__week", week_of("game_date"))
+    made = segments(df, ["player_id", "__week"], streaks.criteria(["pts_20"]), {"regular": "rs"})
+    found = merged_runs(made, "player_id", "__week", 5)
+    assert [(r["length"], r["first"]["game"], r["last"]["game"], r["broken_on"]) for r in found.collect()] == [(3, 3008, 9000, date(2021, 11, 6))]
+
+
+def test_a_log_compares_rows_with_later_runs_only(spark, tmp_path):
+    log = KeyedLog(spark, str(tmp_path / "l"), "k bigint, v bigint", ["k"], F.shiftright("k", 4), once=True)
+    log.write(spark.range(64).selectExpr("id k", "0L v"), 0)
+    assert aggregates(log.read())[1:] == (0, 0)
+    log.write(spark.createDataFrame([(3, 1), (20, 1)], "k bigint, v bigint"), 1)
+    log.write(spark.createDataFrame([(3, 2), (70, 2)], "k bigint, v bigint"), 2)
+    assert dict(log.read().filter("v > 0").collect()) == {3: 2, 20: 1, 70: 2} and log.read().count() == 65
+    assert dict(log.read(before=2).filter("v > 0").collect()) == {3: 1, 20: 1} and log.stored().count() == 68
