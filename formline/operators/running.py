@@ -66,13 +66,17 @@ def running(
 
     With ``inclusive=False`` a row sees only the rows before it. No keys means one group, the whole input. ``block`` must not
     fall along ``order``; by default it is a coarser value of the first order column, which is then given by name.
-    ``parts`` deals the rows out to so many tasks, for callers that know how many rows there are and multiply them afterwards.
+    ``parts`` deals the rows and the totals out to so many tasks, for callers that know how many rows there are and multiply them afterwards.
     """
     keys, order = list(keys), list(order)
     block = block_of(df, order[0]) if block is None else block
     inputs = {f"__in_{name}": agg.value for name, agg in aggregates.items()}
     rows = df.withColumns({"__block": block, "__row": F.lit(1), **inputs})
-    totals = rows.groupBy(*keys, "__block").agg(*[agg.fold(F.col(f"__in_{name}")).alias(f"__in_{name}") for name, agg in aggregates.items()])
+    # Dealt out before the inputs are made from them, the rows for the totals are narrow.
+    dealt = df.withColumn("__block", block).repartition(parts, *keys, "__block").withColumns(inputs) if parts else rows
+    totals = dealt.groupBy(*keys, "__block").agg(*[agg.fold(F.col(f"__in_{name}")).alias(f"__in_{name}") for name, agg in aggregates.items()])
+    if parts and keys:
+        totals = totals.repartition(parts, *keys)
     earlier = Window.partitionBy(*keys).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     starts = totals.select(
         *keys, "__block", F.lit(0).alias("__row"), *[agg.fold(F.col(f"__in_{name}")).over(earlier).alias(f"__in_{name}") for name, agg in aggregates.items()]

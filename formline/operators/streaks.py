@@ -139,8 +139,10 @@ def grouped_runs(rows: DataFrame, group: Sequence[str], keys: Keys = Keys()) ->
     )
 
 
-def islands(rows: DataFrame, keys: Keys = Keys()) -> DataFrame:
-    """Length, first and last met row and breaking day of each run."""
+def islands(rows: DataFrame, keys: Keys = Keys(), parts: int | None = None) -> DataFrame:
+    """Length, first and last met row and breaking day of each run; ``parts`` tasks bring the runs together, if given."""
+    if parts:
+        rows = rows.repartition(parts, keys.entity, "streak_type", "competition_type", "island")
     return grouped_runs(rows, [keys.entity], keys).filter("length > 0")
 
 
@@ -166,11 +168,16 @@ def streaks(
 
     A broken streak ends on the day of the breaking row. An unbroken one is active
     if its entity is in ``active`` and its last row is also the entity's last row of
-    the competition; otherwise it ends with its last row.
+    the competition; otherwise it ends with its last row. With ``parts`` every step
+    over rows or runs has so many tasks, whatever the session's number of shuffle
+    partitions, and runs pass by a task's few last rows unsorted.
     """
-    runs = islands(streak_rows(lines, rules, competitions, keys, parts), keys)
-    finals = last_rows(lines, competitions, keys)
+    runs = islands(streak_rows(lines, rules, competitions, keys, parts), keys, parts)
     flagged = active.select(keys.entity).distinct().withColumn("entity_active", F.lit(True))
+    finals = last_rows(lines, competitions, keys).join(flagged, keys.entity, "left")
+    if parts:
+        runs, finals = (side.repartition(parts, keys.entity, "competition_type") for side in (runs, finals))
+        finals = finals.hint("shuffle_hash")
     is_active = (
         F.col("broken_on").isNull()
         & F.coalesce(F.col("entity_active"), F.lit(False))
@@ -178,7 +185,6 @@ def streaks(
     )
     return (
         runs.join(finals, [keys.entity, "competition_type"], "left")
-        .join(flagged, keys.entity, "left")
         .withColumn("is_active", is_active)
         .select(
             keys.entity, "streak_type", "competition_type", "length", "is_active",

@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import glob
 import random
+import re
 import time
 from datetime import date, timedelta
 
@@ -241,6 +242,18 @@ def test_runs_are_grouped_by_hash_in_bounded_tasks(spark):
     assert rows(streaks.streaks(lines, active, parts=37)) == rows(want) and want.count() > 50
 
 
+def test_every_step_over_runs_has_its_own_number_of_tasks(spark):
+    """Also where the session has few shuffle partitions: the runs are neither held nor sorted in so few tasks."""
+    lines = lines_df(spark, random_lines(seed=29, players=4, per_season=12) + [line(9990, None, date(2023, 11, 1), 25), line(9991, None, date(2023, 11, 2), 25)])
+    active = spark.createDataFrame([(1,), (None,)], "player_id bigint")
+    found = streaks.streaks(lines, active, parts=37)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"ShuffledHashJoin \[player_id#\d+L, competition_type#\d+\]", plan)
+    for keys in (["player_id", "__block"], ["player_id"], ["player_id", "streak_type", "competition_type", "island"], ["player_id", "competition_type"]):
+        assert re.search(r"hashpartitioning\(" + ", ".join(rf"{k}#\d+L?" for k in keys) + r", 37\), REPARTITION_BY_NUM", plan), keys
+    assert rows(found) == rows(streaks.streaks(lines, active)) and found.filter("player_id is null and not is_active").count() > 0
+
+
 def test_runs_of_segments_need_one_window_and_keep_rows_without_a_day(spark):
     items = [line(3008, 1, None, 25), line(5000, 1, None, 2), line(8986, 1, None, 25), line(9000, 1, date(2021, 11, 1), 25), line(9001, 1, date(2021, 11, 6), 2)]
     df = lines_df(spark, items).withColumn("__week", week_of("game_date"))
