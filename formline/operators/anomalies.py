@@ -139,7 +139,7 @@ def is_relevant(record: Column) -> Column:
 
 def with_records(streaks: DataFrame, records: DataFrame) -> DataFrame:
     limits = records.select("streak_type", "competition_type", F.col("length").alias("record_length"), F.col("player_id").alias("holder_id"))
-    return streaks.join(limits, ["streak_type", "competition_type"], "left")
+    return streaks.join(F.broadcast(limits), ["streak_type", "competition_type"], "left")
 
 
 def active_streaks(badged: DataFrame, records: DataFrame, active: DataFrame, competition: str = "regular", streak_type: str | None = None) -> DataFrame:

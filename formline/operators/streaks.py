@@ -238,10 +238,13 @@ def historic_threshold(record_length: Column) -> Column:
 
 
 def with_badges(found: DataFrame, records: DataFrame) -> DataFrame:
-    """Mark streaks that reach 70 percent of the record of their (type, competition)."""
+    """Mark streaks that reach 70 percent of the record of their (type, competition).
+
+    There is one record a pair, however many streaks, so the records go to the streaks.
+    """
     limits = records.select("streak_type", "competition_type", historic_threshold(F.col("length")).alias("__limit"))
     return (
-        found.join(limits, ["streak_type", "competition_type"], "left")
+        found.join(F.broadcast(limits), ["streak_type", "competition_type"], "left")
         .withColumn("is_historical", F.coalesce(F.col("length") >= F.col("__limit"), F.lit(False)))
         .drop("__limit")
     )

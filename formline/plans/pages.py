@@ -64,7 +64,7 @@ def streak_progress(spark, sf):
     """Open streaks by the share of the record that they have reached."""
     found = Q.stored_streaks(spark, sf)
     limits = Q.completed_records(spark, sf, found).select("streak_type", "competition_type", F.col("length").alias("record"))
-    shown = found.filter("is_active").join(limits, ["streak_type", "competition_type"]).withColumn("progress", progress_percent(F.col("length"), F.col("record")))
+    shown = found.filter("is_active").join(F.broadcast(limits), ["streak_type", "competition_type"]).withColumn("progress", progress_percent(F.col("length"), F.col("record")))
     return shown.orderBy(F.desc("progress"), F.desc("length"), "player_id", "streak_type", "competition_type").limit(100).select(
         "player_id", "streak_type", "competition_type", "length", "record", "progress")
 

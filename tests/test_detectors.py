@@ -13,8 +13,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from formline.operators import streaks, trends, zscore
+from formline.operators.anomalies import with_records
 from formline.operators.running import Running, running
 from formline.plans import league as L
+from formline.plans import pages as PG
 
 START = date(2024, 1, 1)
 
@@ -267,6 +269,22 @@ def test_records_badges_and_placeholder(spark):
     assert summary["ast_10"]["total_streaks"] == 0 and summary["ast_10"]["notable_threshold"] == 2
 
 
+def test_badges_do_not_deal_streaks_out_by_pair(spark, sf):
+    """With 27 pairs a task would get all streaks of one; the records are broadcast instead, whatever Spark expects of sizes."""
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = spark.createDataFrame([(1, "pts_20", "regular", 10)], "player_id bigint, streak_type string, competition_type string, length bigint")
+        records = found.select("streak_type", "competition_type", "length", "player_id")
+        for made in (streaks.with_badges(found, records), with_records(found, records)):
+            plan = made._jdf.queryExecution().executedPlan().toString()
+            assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan and made.count() == 1
+        plan = PG.streak_progress(spark, sf)._jdf.queryExecution().executedPlan().toString()
+        assert "BroadcastHashJoin" in plan
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_ties_of_records(spark):
     active = spark.createDataFrame([(1,)], "player_id bigint")
     items = [line(i, 5, START + timedelta(days=i), 25) for i in range(3)] + [line(50 + i, 4, START + timedelta(days=i), 25) for i in range(3)]
