@@ -61,14 +61,19 @@ def running(
     inclusive: bool = True,
     block: Column | None = None,
     parts: int | None = None,
+    whole: bool = False,
 ) -> DataFrame:
     """Add running aggregates over each group of ``keys`` in ``order`` (which must be unique in a group).
 
     With ``inclusive=False`` a row sees only the rows before it. No keys means one group, the whole input. ``block`` must not
     fall along ``order``; by default it is a coarser value of the first order column, which is then given by name.
     ``parts`` deals the rows and the totals out to so many tasks, for callers that know how many rows there are and multiply them afterwards.
+    ``whole`` leaves groups uncut, without an exchange, for rows that are dealt out by some of the keys and are bounded in a group.
     """
     keys, order = list(keys), list(order)
+    if whole:
+        frame = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+        return df.withColumns({name: agg.fold(agg.value).over(frame) for name, agg in aggregates.items()})
     block = block_of(df, order[0]) if block is None else block
     inputs = {f"__in_{name}": agg.value for name, agg in aggregates.items()}
     rows = df.withColumns({"__block": block, "__row": F.lit(1), **inputs})

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from formline.operators.asof import asof_join
-from formline.operators.running import Running, running
+from formline.operators.running import ROWS_A_TASK, Running, running
 from formline.operators.zscore import (
     DEFAULT_FEATURES,
     MIN_BASELINE_ROWS,
@@ -17,11 +17,14 @@ from formline.operators.zscore import (
     Feature,
     Keys,
     baseline_inputs,
+    counted,
     deviation_of,
+    fixed_point,
     headline,
     map_of,
     mean_of,
     sentiment,
+    square,
 )
 
 
@@ -46,14 +49,14 @@ def last_days(lines: DataFrame, keys: Keys = Keys()) -> DataFrame:
     )
 
 
-def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys, *more: str) -> DataFrame:
+def _addends(lines: DataFrame, features: Sequence[Feature], keys: Keys) -> DataFrame:
     """(entity, period, day) with the addends of the sums, row by row.
 
     The join with the reference day is an inner join on the entity: Spark splits the rows of a huge entity, and the
     aggregation after it combines on the map side.
     """
     inputs = baseline_inputs(features, keys) | {"played": f"if({keys.seconds} > 0, 1L, null)"}
-    return lines.select(keys.entity, keys.period, keys.when, *more, *[F.expr(c).alias(name) for name, c in inputs.items()])
+    return lines.select(keys.entity, keys.period, keys.when, *[F.expr(c).alias(name) for name, c in inputs.items()])
 
 
 def trend_scores(
@@ -86,33 +89,70 @@ def trend_scores(
 
 def trend_history(
     lines: DataFrame, windows: Sequence[TrendWindow] = (WEEK, MONTH), features: Sequence[Feature] = DEFAULT_FEATURES, keys: Keys = Keys(),
+    parts: int | None = None, most: int = ROWS_A_TASK,
 ) -> DataFrame:
     """:func:`trend_scores` with every day on which an entity has a row as reference day, in one pass.
 
     A window's sums are the entity's sums up to the day less those up to the day before the window, found by an as-of join;
-    the baseline is a running sum of the period. Both run over blocks of weeks, so no task holds an entity.
+    the baseline is a running sum of the period. Rows are dealt out by entity with nothing but their values in them
+    (:func:`_dealt`), and all sums, joins and scores are made where they arrive. A task thus holds the days of an entity.
     """
-    k, names = keys, [*baseline_inputs(features, keys), "played"]
-    in_windows = ["played", *[f"{f.name}_{x}" for f in features for x in "sn"]]
-    added = [F.expr(f"coalesce(sum({n}), 0) as {n}") for n in names]
-    rows = _addends(lines.withColumn("__tie", F.col(k.tie)), features, k, "__tie")
-    by_period = rows.groupBy(k.entity, k.period, k.when).agg(F.max("__tie").alias("__tie"), *added)
-    base = running(by_period, [k.entity, k.period], [k.when], {f"run_{n}": Running(F.col(n)) for n in names})
+    k, counts = keys, _counters(features)
+    in_windows = list(dict.fromkeys(["played", *[f"{f.name}_s" for f in features], *counts.values()]))
+    names = [*in_windows, *[f"{f.name}_q" for f in features]]
+    rows = _dealt(lines, features, k, parts, most)
+    one = {f"{f.name}_q": f"coalesce(__sums.{f.name}_q, {square(f, f'{f.name}_s')})" for f in features}
+    one |= {c: f"coalesce(__sums.{c}, if({c.removesuffix('_n')}_s is null, 0, 1))" for c in counts.values() if c != "played"}
+    by_period = rows.groupBy(k.entity, k.period, k.when).agg(F.max("__tie").alias("__tie"), *[F.expr(f"coalesce(sum({one.get(n, n)}), 0) as {n}") for n in names])
+    base = running(by_period, [k.entity, k.period], [k.when], {f"run_{n}": Running(F.col(n)) for n in names}, whole=True)
     # A day belongs to the period of the entity's last row on it.
-    base = base.groupBy(k.entity, F.col(k.when).alias("reference_date")).agg(F.max_by(F.struct(*[F.col(f"run_{n}").alias(n) for n in names]), "__tie").alias("b"))
-    base = base.select(k.entity, "reference_date", F.col("b.played").alias("base_games"), *[F.col(f"b.{n}").alias(n) for n in names if n != "played"])
-    by_day = by_period.groupBy(k.entity, k.when).agg(*[F.expr(f"sum({n}) as {n}") for n in in_windows])
-    upto = running(by_day, [k.entity], [k.when], {f"upto_{n}": Running(F.col(n)) for n in in_windows}).select(k.entity, F.col(k.when).alias("__day"), *[f"upto_{n}" for n in in_windows])
-    days = base.join(upto.withColumnRenamed("__day", "reference_date"), [k.entity, "reference_date"])
+    last = F.max_by(F.struct(*[F.col(f"run_{n}").alias(n) for n in names]), "__tie").alias("base")
+    by_day = base.groupBy(k.entity, k.when).agg(last, *[F.sum(n).alias(n) for n in in_windows])
+    upto = running(by_day, [k.entity], [k.when], {f"upto_{n}": Running(F.col(n)) for n in in_windows}, whole=True)
+    day, sums = F.col(k.when).alias("reference_date"), F.struct(*[F.col(f"upto_{n}").alias(n) for n in in_windows]).alias("upto")
+    right = upto.select(k.entity, F.col(k.when).alias("__day"), sums)
+    found = upto.filter(F.col(k.when).isNotNull()).select(k.entity, day, "base", sums)
+    days = rows.filter(F.col(k.when).isNotNull()).select(k.entity, day).distinct()
     for w in windows:
         # Only the day goes through the as-of join; the other columns stay where they are.
-        edges = days.select(k.entity, "reference_date", F.date_sub("reference_date", w.days).alias("__edge"))
-        was = asof_join(edges, upto, [k.entity], "__edge", "__day", {f"{w.name}_was_{n}": f"upto_{n}" for n in in_windows})
-        days = days.join(was.drop("__edge"), [k.entity, "reference_date"])
-    sums = [
-        f"upto_{n} - coalesce({w.name}_was_{n}, 0) as {w.name}_{'games' if n == 'played' else n}" for w in windows for n in in_windows
-    ]
-    return _scores_of(days.selectExpr(k.entity, "reference_date", "base_games", *[n for n in names if n != "played"], *sums), windows, features, keys)
+        edges = days.withColumn("__edge", F.date_sub("reference_date", w.days))
+        was = asof_join(edges, right, [k.entity], "__edge", "__day", {f"__{w.name}": "upto"}, None, False, True)
+        found = found.unionByName(was.drop("__edge"), allowMissingColumns=True)
+    # A join on entity and day would deal all sums out anew, grouping does not.
+    found = found.groupBy(k.entity, "reference_date").agg(*[F.first(c, ignorenulls=True).alias(c) for c in found.columns[2:]])
+    near = {(w.name, n): f"upto.{n} - coalesce(__{w.name}.{n}, 0)" for w in windows for n in in_windows}
+    return _scores_of(
+        found.selectExpr(
+            k.entity, "reference_date", "base.played as base_games", *[f"base.{f.name}_{x} as {f.name}_{x}" for f in features for x in "sq"],
+            *[f"base.{counts[f.name]} as {f.name}_n" for f in features], *[f"{near[w.name, 'played']} as {w.name}_games" for w in windows],
+            *[f"{near[w.name, f'{f.name}_s']} as {w.name}_{f.name}_s" for w in windows for f in features],
+            *[f"{near[w.name, counts[f.name]]} as {w.name}_{f.name}_n" for w in windows for f in features]),
+        windows, features, keys)
+
+
+def _counters(features: Sequence[Feature]) -> dict[str, str]:
+    """The column of each feature's count: without attempts that of the played rows, with the same attempts the same one."""
+    first = {f.attempts: f.name for f in reversed(features)}
+    return {f.name: f"{first[f.attempts]}_n" if f.attempts else "played" for f in features}
+
+
+def _dealt(lines: DataFrame, features: Sequence[Feature], keys: Keys, parts: int | None, most: int) -> DataFrame:
+    """Rows in ``parts`` tasks by entity: the day, ``__tie``, ``played`` and ``<feature>_s``, from which squares and counts can be made.
+
+    The rows of an entity that has more than ``most`` are first added up by day, on the map side, and bring their squares and
+    counts in ``__sums``: no task gets more of such an entity than its days.
+    """
+    k, counters = keys, [c for c in dict.fromkeys(_counters(features).values()) if c != "played"]
+    values = [F.expr(f"if({counted(f, k)}, {fixed_point(f)}, null)").alias(f"{f.name}_s") for f in features]
+    rows = lines.filter(F.col(k.entity).isNotNull()).select(
+        k.entity, k.period, k.when, F.col(k.tie).alias("__tie"), F.expr(f"if({k.seconds} > 0, 1L, 0L)").alias("played"), *values)
+    many = F.broadcast(rows.groupBy(k.entity).agg(F.count("*").alias("__rows")).filter(F.col("__rows") > most).select(k.entity))
+    sums = {f"{f.name}_q": f"sum({square(f, f'{f.name}_s')})" for f in features} | {c: f"count({c.removesuffix('_n')}_s)" for c in counters}
+    days = rows.join(many, k.entity, "left_semi").groupBy(k.entity, k.period, k.when).agg(
+        F.max("__tie").alias("__tie"), *[F.sum(n).alias(n) for n in ["played", *[f"{f.name}_s" for f in features]]], *[F.expr(c).alias(n) for n, c in sums.items()])
+    days = days.withColumn("__sums", F.struct(*sums)).drop(*sums)
+    together = rows.join(many, k.entity, "left_anti").unionByName(days, allowMissingColumns=True)
+    return together.repartition(parts or int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")), k.entity)
 
 
 def _scores_of(grouped: DataFrame, windows: Sequence[TrendWindow], features: Sequence[Feature], keys: Keys) -> DataFrame:

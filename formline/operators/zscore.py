@@ -81,9 +81,9 @@ def fixed_point(feature: Feature) -> str:
     return f"cast(round({value(feature)} * {feature.scale}) as bigint)"
 
 
-def square(feature: Feature) -> str:
-    """Squared fixed-point value, wide enough to be summed over any number of rows."""
-    x = fixed_point(feature)
+def square(feature: Feature, x: str | None = None) -> str:
+    """Squared fixed-point value, wide enough to be summed over any number of rows; ``x`` names the value where it is a column."""
+    x = x or fixed_point(feature)
     return f"{x} * {x}" if feature.scale == 1 else f"cast({x} * {x} as decimal(20, 0))"
 
 

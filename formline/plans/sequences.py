@@ -170,7 +170,7 @@ _HISTORY = {"daily": _DAILY, "sofar": _SOFAR, "near": _NEAR, "base": "SELECT *,
 
 @query("trend_history", sql(f"{_trend_rows('week', 7, 2)} UNION ALL {_trend_rows('month', 30, 5)}", "form_lines", extra=_HISTORY))
 def trend_history(spark, sf):
-    return trends.trend_history(L.form_lines(spark, sf)).drop(*[f"base_{f.name}" for f in FEATURES])
+    return trends.trend_history(L.form_lines(spark, sf), parts=parts_of(L.table(spark, sf, "events"))).drop(*[f"base_{f.name}" for f in FEATURES])
 
 
 @query("asof_form", sql("""
